@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Russian letters in Latin script, single letters and digraphs.
 LETTERS = {
@@ -31,7 +32,7 @@ def unescape_core(value: Column) -> Column:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(value: pd.Series) -> pd.Series:
     """B7. Every HTML entity; Spark has no function for it."""
     return value.map(html.unescape, na_action="ignore")

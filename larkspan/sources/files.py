@@ -10,6 +10,7 @@ from xml.sax.saxutils import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspan.functions import names, texts
 
@@ -73,11 +74,21 @@ def _archive_text(content: bytes) -> tuple[bool, str | None, str | None, str | N
         return False, None, None, f"damaged archive: {error}"
 
 
-@F.pandas_udf("is_document boolean, run_text string, paragraph_text string, zip_error string")
+ARCHIVE = T.StructType(
+    [
+        T.StructField("is_document", T.BooleanType()),
+        T.StructField("run_text", T.StringType()),
+        T.StructField("paragraph_text", T.StringType()),
+        T.StructField("zip_error", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(ARCHIVE)
 def open_archive(content: pd.Series) -> pd.DataFrame:
     """B31. Text of the zip archives in a batch; NULL stays NULL."""
     rows = [(None, None, None, None) if data is None else _archive_text(data) for data in content]
-    return pd.DataFrame(rows, columns=["is_document", "run_text", "paragraph_text", "zip_error"], dtype=object)
+    return pd.DataFrame(rows, columns=ARCHIVE.names, dtype=object)
 
 
 def documents(files: DataFrame) -> DataFrame:
