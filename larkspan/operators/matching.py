@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,9 +107,10 @@ def match_counts(
         F.least("files", "t_files").alias("qty"), F.lit(0).cast("long").alias("s_from"),
         F.lit(0).cast("long").alias("t_from"), F.lit("exact").alias("kind"),
     )
-    flows = cut(exact)
+    done = [cut(exact)]
 
     def remaining(files: DataFrame, size: str, sec: str) -> DataFrame:
+        flows = reduce(DataFrame.unionByName, done)
         used = flows.groupBy(F.col(size).alias("size"), F.col(sec).alias("sec")).agg(F.sum("qty").alias("used"))
         left = files.join(used, ["size", "sec"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
         return left.where("files > used").select("size", "sec", "used", (F.col("files") - F.col("used")).alias("left"))
@@ -137,8 +139,8 @@ def match_counts(
         )
         granted = cut(granted)
         if granted.isEmpty():
-            return flows
-        flows = cut(flows.unionByName(granted))
+            return reduce(DataFrame.unionByName, done)
+        done.append(granted)
 
 
 def match_files(
