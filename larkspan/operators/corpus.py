@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import names
 from larkspan.operators.skew import MAX_GROUP_ROWS, attach, number_rows, running_sum
 from larkspan.operators.state import last_per_key
+from larkspan.session import settle
 
 # Extensions and how real types map to them.
 VALID_EXTENSIONS = [".doc", ".docx", ".rtf"]
@@ -50,8 +51,9 @@ def duplicate_groups(keyed: DataFrame) -> DataFrame:
 
 def duplicate_plan(keyed: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """F5. The first file by name is kept under its clean name, every other one is a duplicate."""
-    groups = duplicate_groups(keyed)
-    rows = attach(keyed, groups, DUPLICATE_KEY, ["path"], max_group_rows)
+    # From here on only names and keys are read, the contents once for the digest above.
+    keyed = settle(keyed)
+    rows = attach(keyed, duplicate_groups(keyed), DUPLICATE_KEY, ["path"], max_group_rows)
     is_keeper = F.col("path") == F.col("keeper.path")
     clean = F.concat(names.base_clean(names.stem(F.col("name"))), F.lit(TEXT_EXTENSION))
     return rows.select(
@@ -109,21 +111,21 @@ def repair_plan(files: DataFrame, format_column: str = "format") -> DataFrame:
 
 def inventory_summary(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """E5. Totals of source and text files, distinct source names, names with several files."""
-    is_source = has_extension(F.col("name"), SOURCE_EXTENSIONS)
-    per_name = (
-        sources.where(is_source)
-        .groupBy(F.lower(names.stem(F.col("name"))).alias("stem"))
+    is_source = F.coalesce(has_extension(F.col("name"), SOURCE_EXTENSIONS), F.lit(False))
+    stem = F.when(is_source, F.lower(names.stem(F.col("name"))))
+    files = (
+        sources.groupBy(is_source.alias("is_source"), stem.alias("stem"))
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("source_files"),
-            F.count(F.lit(1)).alias("distinct_names"),
-            F.count_if(F.col("n") > 1).alias("duplicated_names"),
+            F.coalesce(F.sum(F.when(F.col("is_source"), F.col("n"))), F.lit(0)).alias("source_files"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("all_files"),
+            F.count_if("is_source").alias("distinct_names"),
+            F.count_if(F.col("is_source") & (F.col("n") > 1)).alias("duplicated_names"),
         )
     )
-    files = sources.agg(F.count(F.lit(1)).alias("all_files"))
     texts = outputs.agg(F.count_if(F.endswith("name", F.lit(TEXT_EXTENSION))).alias("text_files"))
     columns = ["source_files", "all_files", "text_files", "distinct_names", "duplicated_names"]
-    counts = per_name.unionByName(files, True).unionByName(texts, True)
+    counts = files.unionByName(texts, True)
     return counts.agg(*[F.sum(c).alias(c) for c in columns])
 
 
@@ -165,13 +167,14 @@ def known_files(remote: DataFrame) -> DataFrame:
 
     Entries without a hash are unknown; of several entries for a name the last listed wins.
     """
-    by_url = remote.select(
-        names.basename(F.col("url")).alias("name"), "id", F.col("description").alias("hash"),
-        (F.col("position") * 2).alias("at"),
-    )
-    by_name = remote.select("name", "id", F.col("description").alias("hash"), (F.col("position") * 2 + 1).alias("at"))
-    present = (F.col("name") != "") & (F.col("hash") != "")
-    return last_per_key(by_url.unionByName(by_name).where(present), ["name"], "at").drop("at")
+    twice = F.array(
+        F.struct(names.basename(F.col("url")).alias("name"), (F.col("position") * 2).alias("at")),
+        F.struct(F.col("name"), (F.col("position") * 2 + 1).alias("at")),
+    )
+    entries = remote.where("description <> ''").select(
+        "id", F.col("description").alias("hash"), F.inline(twice).alias("name", "at")
+    )
+    return last_per_key(entries.where("name <> ''"), ["name"], "at").drop("at")
 
 
 def content_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -206,11 +209,10 @@ def unique_names(
         pattern, opened, closed = r"(?s)^(.*)_([1-9][0-9]{0,17})$", "_", ""
 
     plain = newcomers.groupBy("name").agg(F.min("path").alias("path")).join(taken.select("name"), "name", "left_anti")
+    plain = settle(plain)
     rest = newcomers.join(plain.select("path"), "path", "left_anti")
-    rest = number_rows(
-        rest.select("path", "name", base.alias("base"), ext.alias("ext")),
-        ["base", "ext"], [F.col("path")], "place", max_group_rows,
-    )
+    rest = settle(rest.select("path", "name", base.alias("base"), ext.alias("ext")))
+    rest = settle(number_rows(rest, ["base", "ext"], [F.col("path")], "place", max_group_rows))
 
     whole = names.root(name) if style == "parentheses" else names.stem(name)
     numbered = (
@@ -224,7 +226,7 @@ def unique_names(
         )
         .join(rest.select("base", "ext").distinct(), ["base", "ext"], "left_semi")
     )
-    numbered = number_rows(numbered, ["base", "ext"], [F.col("number")], "nth", max_group_rows)
+    numbered = number_rows(settle(numbered), ["base", "ext"], [F.col("number")], "nth", max_group_rows)
 
     # The nth used number stands before newcomer k if number - n < k: so many numbers below it are free.
     none = F.lit(None).cast("string")
@@ -238,7 +240,7 @@ def unique_names(
         )
     )
     order = [F.col("slot"), F.col("kind"), F.col("tie")]
-    merged = running_sum(merged, ["base", "ext"], order, 1 - F.col("kind"), "used", max_group_rows)
+    merged = running_sum(settle(merged), ["base", "ext"], order, 1 - F.col("kind"), "used", max_group_rows)
     number = (F.col("slot") + 1 + F.col("used")).cast("string")
     given = merged.where("kind = 1").select(
         "path", "name", F.concat("base", F.lit(opened), number, F.lit(closed), "ext").alias("new_name")

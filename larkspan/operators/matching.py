@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.skew import MAX_GROUP_ROWS, number_rows
-from larkspan.session import cut
+from larkspan.session import cut, settle
 
 # How far size and time may differ.
 SIZE_PERCENT = 1.0
@@ -100,8 +100,8 @@ def match_counts(
     its best target key with files left, and a target key serves its proposers from the best on. A
     round always finishes the closest remaining pair, so the rounds end.
     """
-    s = sources.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files"))
-    t = targets.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files"))
+    s = settle(sources.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
+    t = settle(targets.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
     exact = s.join(t.withColumnRenamed("files", "t_files"), ["size", "sec"]).select(
         "size", "sec", F.col("size").alias("t_size"), F.col("sec").alias("t_sec"),
         F.least("files", "t_files").alias("qty"), F.lit(0).cast("long").alias("s_from"),
@@ -155,7 +155,8 @@ def match_files(
 
     The join key holds the place within the key, so files of a frequent size and time spread evenly.
     """
-    s, t = with_second(sources), with_second(targets)
+    # The listings are walked once; everything below reads these narrow tables.
+    s, t = settle(with_second(sources)), settle(with_second(targets))
     if near:
         flows = match_counts(s, t, percent, seconds)
         block = F.lit(PAIR_BLOCK)

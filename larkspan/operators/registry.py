@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import names
 from larkspan.operators.state import first_per_key, upsert
+from larkspan.session import settle
 
 # What the dump is filtered by and how outcomes are called.
 CATEGORY_PART = "долев"
@@ -49,6 +50,18 @@ def has_attachments(attachments: Column) -> Column:
     return F.coalesce(~F.to_json(attachments).isin("null", "[]", "{}", '""', "0", "false"), F.lit(False))
 
 
+def valid_links(attachments: Column) -> Column:
+    """C4. The valid links of an attachments variant as an array."""
+
+    def link(a: Column) -> Column:
+        value = F.try_variant_get(a, "$.link", "variant")
+        text = F.try_variant_get(a, "$.link", "string")
+        return F.when(is_link(F.schema_of_variant(value), text), text)
+
+    elements = F.try_variant_get(attachments, "$", "array<variant>")
+    return F.array_compact(F.transform(elements, link))
+
+
 def attachment_rows(categorised_items: DataFrame) -> DataFrame:
     """D10, C4. One row per attachment object with its link, type-checked, and its display name."""
     elements = F.expr("try_variant_get(attachments, '$', 'array<variant>')")
@@ -106,17 +119,25 @@ def link_rows(links: DataFrame, source_id: Column, run_at: Column) -> DataFrame:
 
 def funnel(items: DataFrame, registry: DataFrame, part: str = CATEGORY_PART) -> DataFrame:
     """E6. One row of counts per level. A URL seen twice is new once and existing after that."""
-    rows = categorised(items, part)
-    lines = items.agg(
+    attachments = F.try_variant_get("item", "$.attachments", "variant")
+    matches = F.coalesce(contains_folded(category_text(), part), F.lit(False))
+    # The dump is parsed once, into flags and the valid links of each line.
+    rows = settle(
+        items.select("is_json", F.col("item").isNotNull().alias("is_object"), matches.alias("m"), attachments.alias("a"))
+        .select("is_json", (F.col("is_object") & F.col("m")).alias("matches"), "a")
+        .select(
+            "is_json", "matches", (F.col("matches") & has_attachments(F.col("a"))).alias("attached"),
+            F.when(F.col("matches"), valid_links(F.col("a"))).alias("links"),
+        )
+    )
+    lines = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("is_json").alias("valid_json"),
-    )
-    matching = rows.agg(
-        F.count(F.lit(1)).alias("matching_category"),
-        F.count_if(has_attachments(F.col("attachments"))).alias("has_attachments"),
+        F.count_if("matches").alias("matching_category"),
+        F.count_if("attached").alias("has_attachments"),
     )
     # Counted per URL first, so a URL that fills the dump is one row in the join.
-    per_url = attachment_rows(rows).where("is_valid").groupBy("link").agg(F.count(F.lit(1)).alias("seen"))
+    per_url = rows.select(F.explode("links").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("seen"))
     known = registry.select(F.col("url").alias("link")).distinct().withColumn("known", F.lit(True))
     is_new = F.col("known").isNull()
     links = per_url.join(known, "link", "left").agg(
@@ -125,7 +146,7 @@ def funnel(items: DataFrame, registry: DataFrame, part: str = CATEGORY_PART) ->
         F.coalesce(F.sum("seen"), F.lit(0)).alias("_seen"),
     )
     links = links.select("valid_links", "new_links", (F.col("_seen") - F.col("new_links")).alias("existing_links"))
-    counts = lines.unionByName(matching, True).unionByName(links, True)
+    counts = lines.unionByName(links, True)
     return counts.agg(*[F.sum(level).alias(level) for level in FUNNEL])
 
 

@@ -39,20 +39,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def text_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """I1. The k best chunks per query by BM25.
 
-    Only tokens that occur in a query leave the chunk. Terms are counted per chunk before the shuffle;
-    the statistics of the terms and of the collection are small tables, written once.
+    The texts are read once. Only tokens that occur in a query leave a chunk, counted before the
+    shuffle, and one empty term per chunk, which carries the chunk's length into the statistics. All
+    else works on the table of these counts.
     """
     terms = settle(query_terms(queries))
-    wanted = terms.select("term").distinct()
-    # A chunk has at most ``size`` tokens, and its length is kept although most tokens are dropped.
-    counts = (
-        chunks.select("doc_id", "chunk_no", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    empty = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = terms.select("term").union(empty).distinct()
+    counted = settle(
+        chunks.select(
+            "doc_id", "chunk_no", F.size("tokens").alias("length"),
+            F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"),
+        )
         .select("doc_id", "chunk_no", "length", F.lower("token").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("doc_id", "chunk_no", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    whole = settle(chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length")))
+    )
+    counts = counted.where("term <> ''")
+    whole = counted.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     n = whole.select("n").scalar()
     mean_length = whole.select("mean_length").scalar()
     df = F.col("df")

@@ -98,13 +98,14 @@ def attach(
     ``spread_by`` and the fact row of the key is repeated once per salt. Other keys keep salt 0.
     """
     keys = _names(keys)
+    facts = settle(facts)
+    if facts.where(F.col("members") > max_group_rows).isEmpty():
+        return rows.join(facts, keys)
     hot = settle(
         facts.where(F.col("members") > max_group_rows).select(
             *keys, F.ceil(F.col("members") / F.lit(max_group_rows)).cast("int").alias("_salts")
         )
     )
-    if hot.isEmpty():
-        return rows.join(facts, keys)
     salted_rows = rows.join(hot, keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")), F.lit(0)).cast("int")
     )

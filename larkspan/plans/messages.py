@@ -160,7 +160,7 @@ def h1_live_logs(spark: SparkSession, d: str) -> DataFrame:
     """The stream writes one folder per chat log; the result is what the folders hold."""
     out, debug, marks = (staging_path(spark, name) for name in ("logs", "debug", "logs-checkpoint"))
     T.start_logs(_routable(_stream(spark, d)), out, debug, marks).awaitTermination()
-    return T.read_batches(spark, out).select("msg_id", F.col("log").cast("string").alias("log"))
+    return T.read_batches(spark, out).select("msg_id", "log")
 
 
 @query(f"SELECT msg_id FROM ({ROUTED}) WHERE log IS NULL")

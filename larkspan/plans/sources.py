@@ -115,10 +115,11 @@ def b10_locality_routing(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, offer_feed(spark, d)).select("id", "location_locality_name", "location_address")
 
 
-@query("SELECT o_orderkey AS id, ['a.jpg', o_custkey || '.jpg'] AS image FROM orders WHERE o_custkey % 3 = 0")
+@query("SELECT o_orderkey AS id, 'a.jpg,' || o_custkey || '.jpg' AS image, 2 AS n FROM orders WHERE o_custkey % 3 = 0")
 def b11_repeated_images(spark: SparkSession, d: str) -> DataFrame:
     offers = feeds.read_offers(spark, offer_feed(spark, d))
-    return feeds.flat_offers(offers).where("image IS NOT NULL").select("id", "image")
+    rows = feeds.flat_offers(offers).where("image IS NOT NULL")
+    return rows.select("id", F.array_join("image", ",").alias("image"), F.size("image").alias("n"))
 
 
 @query("SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 100")

@@ -68,13 +68,13 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Write a small aggregate to the shared folder and read it back.
+    """Write a narrow frame or an aggregate to the shared folder and read it back.
 
     Two effects: it is computed once although several branches use it, and the planner now knows its
     real size, so it becomes a broadcast side only below ``spark.sql.autoBroadcastJoinThreshold`` and
     a shuffled side above it. A written table outlives lost executors, a cached one does not.
     """
     spark = frame.sparkSession
-    path = staging_path(spark, "small")
+    path = staging_path(spark, "table")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -46,12 +46,15 @@ def batch_path(path: str, batch_id: int) -> str:
 def start_logs(stream: DataFrame, path: str, debug: str, checkpoint: str, live: str | None = None) -> StreamingQuery:
     """H1, H3. Every message to the log of its chat; messages without chat and sender to the debug sink.
 
-    ``live`` is a trigger interval; without it the query ends when the present input is done.
+    A log is a contiguous range of the batch's files, sorted by date, so a reader of one chat skips the
+    others by their statistics, and a busy chat is cut over several files. ``live`` is a trigger
+    interval; without it the query ends when the present input is done.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = routed(batch).persist()
-        rows.where("log IS NOT NULL").write.mode("overwrite").partitionBy("log").parquet(batch_path(path, batch_id))
+        logs = rows.where("log IS NOT NULL").repartitionByRange("log", "date").sortWithinPartitions("log", "date")
+        logs.write.mode("overwrite").parquet(batch_path(path, batch_id))
         rows.where("log IS NULL").drop("log").write.mode("overwrite").parquet(batch_path(debug, batch_id))
         rows.unpersist()
 
