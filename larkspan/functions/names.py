@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,20 +33,20 @@ UNSAFE_IN_ATTACHMENT = r'[\\/*?:"<>|]'
 STAMP = "yyyyMMdd_HHmmss"
 STAMP_COMPACT = "yyyyMMddHHmmss"
 
-# One character at least on both sides of the last dot.
-_SUFFIX = r"(?s)^.+(\.[^.]+)$"
-# Leading dots belong to the root, and a single trailing dot is an extension.
-_ROOT = r"(?s)^(\.*[^.].*)\.[^.]*$"
-_EXTENSION = r"(?s)^\.*[^.].*(\.[^.]*)$"
-
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _after_dot(name: Column) -> Column:
+    return F.substring_index(name, ".", -1)
+
+
 def suffix(name: Column) -> Column:
-    """B16. Extension with its dot, '' for none; a leading dot starts no extension."""
-    return F.regexp_extract(name, _SUFFIX, 1)
+    """B16. Extension with its dot, '' for none; it needs a character on both sides of the dot."""
+    tail = _after_dot(name)
+    whole = (tail != "") & (F.length(tail) + 1 < F.length(name))
+    return F.when(whole, F.concat(F.lit("."), tail)).otherwise(F.lit(""))
 
 
 def stem(name: Column) -> Column:
@@ -54,12 +56,14 @@ def stem(name: Column) -> Column:
 
 def root(name: Column) -> Column:
     """B16. Name before the last dot, where leading dots never count."""
-    return F.when(name.rlike(_ROOT), F.regexp_extract(name, _ROOT, 1)).otherwise(name)
+    return F.left(name, F.length(name) - F.length(extension(name)))
 
 
 def extension(name: Column) -> Column:
-    """B16. The part that ``root`` cuts off."""
-    return F.regexp_extract(name, _EXTENSION, 1)
+    """B16. The part that ``root`` cuts off; it may be a single dot at the end."""
+    tail = _after_dot(name)
+    head = F.left(name, F.length(name) - F.length(tail) - 1)
+    return F.when(F.ltrim(head, F.lit(".")) != "", F.concat(F.lit("."), tail)).otherwise(F.lit(""))
 
 
 def first_part(name: Column) -> Column:
@@ -67,11 +71,21 @@ def first_part(name: Column) -> Column:
     return F.substring_index(name, ".", 1)
 
 
+def _any_of(chars: list[str]) -> str:
+    return "[" + "".join(re.escape(c) for c in chars) + "]"
+
+
 def strict_clean(name: Column) -> Column:
     """B14. A safe name of bounded length with a fixed extension."""
-    text = F.replace(strip(stem(name)), F.lit("."), F.lit("_"))
-    text = F.translate(text, "".join(NAME_REPLACEMENTS), "".join(NAME_REPLACEMENTS.values()))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \f\x0b]+", " "), "_+", "_")
+    text = strip(stem(name))
+    # A dot is replaced like the rest; runs of blanks and of underscores shrink to one.
+    to_blank = [c for c, new in NAME_REPLACEMENTS.items() if new == " "]
+    to_underscore = [c for c, new in NAME_REPLACEMENTS.items() if new == "_"]
+    text = F.regexp_replace(text, _any_of([" ", "\f", "\x0b", *to_blank]) + "+", " ")
+    text = F.regexp_replace(text, _any_of(["_", ".", *to_underscore]) + "+", "_")
+    for char, new in NAME_REPLACEMENTS.items():
+        if new not in (" ", "_"):
+            text = F.replace(text, F.lit(char), F.lit(new))
     text = F.left(text, F.lit(NAME_MAX_LENGTH))
     return F.concat(F.when(text == "", F.lit(EMPTY_NAME)).otherwise(text), F.lit(CLEAN_EXTENSION))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larkspan.functions.values import WHITESPACE
+
 # Russian letters in Latin script, single letters and digraphs.
 LETTERS = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "з": "z", "и": "i", "й": "j",
@@ -59,7 +61,8 @@ def cut_at_rule(value: Column) -> Column:
 
 def tokens(value: Column) -> Column:
     """Words between white space; an empty array for blank text."""
-    return F.filter(F.split(value, TOKEN_BREAK), lambda t: t != "")
+    text = F.trim(value, F.lit(WHITESPACE))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, TOKEN_BREAK))
 
 
 def chunk_starts(count: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -73,9 +76,11 @@ def chunk_starts(count: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_O
     return F.when(count > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def chunks(value: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
-    """B34. Chunks as an array of token arrays."""
-    words = tokens(value)
+def chunks(words: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
+    """B34. Chunks of an array of tokens, as an array of arrays.
+
+    ``words`` should be a column of an earlier select, or the text is split again for every chunk.
+    """
     return F.transform(chunk_starts(F.size(words), size, overlap), lambda s: F.slice(words, s + 1, F.lit(size)))
 
 

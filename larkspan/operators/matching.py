@@ -28,9 +28,9 @@ def within_size(target: Column, source: Column, percent: float = SIZE_PERCENT) -
     return F.abs(target - source) / F.greatest(source, F.lit(1)) * 100 <= percent
 
 
-def _shelf(size: Column, percent: float) -> Column:
-    """Sizes within the tolerance are on the same shelf or on neighbours."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log1p(2 * percent / 100)).cast("long")
+def _shelf(size: Column) -> Column:
+    """Range of sizes, each a tenth wider than the one before."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1.1)).cast("long")
 
 
 def nearest(
@@ -39,43 +39,38 @@ def nearest(
     """D7. For each distinct (size, sec) of the sources the best (t_size, t_sec) of the targets.
 
     Best is the smallest time difference, then size difference, then earlier time, then smaller size.
-    A source looks at each second of the window and at three shelves of sizes, and takes the next
-    smaller and the next larger size there from a sorted pass. So the work is a fixed multiple of the
-    distinct keys, however many files lie within the tolerance of each other.
+    A source looks at each second of the window and at the one or two shelves of sizes that the
+    tolerance touches, and takes the next smaller and the next larger size there from one sorted pass.
+    So the work is a fixed multiple of the distinct keys, however many files lie within the tolerance
+    of each other.
     """
-    shelves = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     window = F.array(*[F.lit(i) for i in range(-seconds, seconds + 1)])
-    absent = F.lit(None).cast("long")
+    size = F.col("size")
+    lowest = _shelf(F.floor(size * (1 - percent / 100)) - 1)
+    highest = _shelf(F.ceil(size * (1 + percent / 100)) + 1)
+    none = F.lit(None).cast("long")
     probes = (
         sources.select("size", "sec", F.explode(window).alias("shift"))
-        .select("size", "sec", "shift", F.explode(shelves).alias("step"))
-        .select(
-            (F.col("sec") + F.col("shift")).alias("at"),
-            (_shelf(F.col("size"), percent) + F.col("step")).alias("shelf"),
-            "size",
-            F.lit(1).alias("kind"),
-            F.col("sec").alias("s_sec"),
-        )
+        .select("size", "sec", "shift", F.explode(F.sequence(lowest, highest)).alias("shelf"))
+        .select((F.col("sec") + F.col("shift")).alias("at"), "shelf", "size", F.col("sec").alias("s_sec"))
     )
-    stock = targets.select(
-        F.col("sec").alias("at"),
-        _shelf(F.col("size"), percent).alias("shelf"),
-        "size",
-        F.lit(0).alias("kind"),
-        absent.alias("s_sec"),
+    # A size on the shelf knows the next larger one; size -1 stands before the first.
+    shelves = targets.select(F.col("sec").alias("at"), _shelf(size).alias("shelf"), "size")
+    following = F.lead("size").over(Window.partitionBy("at", "shelf").orderBy("size"))
+    first = shelves.groupBy("at", "shelf").agg(F.min("size").alias("next"))
+    stock = shelves.withColumn("next", following).unionByName(first.withColumn("size", F.lit(-1).cast("long")))
+    both = probes.withColumns({"next": none, "is_probe": F.lit(1)}).unionByName(
+        stock.withColumns({"s_sec": none, "is_probe": F.lit(0)})
     )
-    stocked = F.when(F.col("kind") == 0, F.col("size"))
-    up = Window.partitionBy("at", "shelf").orderBy("size", "kind")
-    down = Window.partitionBy("at", "shelf").orderBy(F.col("size").desc(), "kind")
+    upto = Window.partitionBy("at", "shelf").orderBy("size", "is_probe")
+    on_shelf = F.when(F.col("is_probe") == 0, F.struct(size.alias("smaller"), F.col("next").alias("larger")))
     t_size = F.col("t_size")
     t_sec = F.col("at")
     return (
-        probes.unionByName(stock)
-        .withColumn("smaller", F.last(stocked, ignorenulls=True).over(up))
-        .withColumn("larger", F.last(stocked, ignorenulls=True).over(down))
-        .where("kind = 1")
-        .select("size", "s_sec", "at", F.explode(F.array_distinct(F.array("smaller", "larger"))).alias("t_size"))
-        .where(t_size.isNotNull() & within_size(t_size, F.col("size"), percent))
+        both.withColumn("near", F.last(on_shelf, ignorenulls=True).over(upto))
+        .where("is_probe = 1 AND near IS NOT NULL")
+        .select("size", "s_sec", "at", F.explode(F.array("near.smaller", "near.larger")).alias("t_size"))
+        .where((t_size >= 0) & within_size(t_size, size, percent))
         .groupBy("size", F.col("s_sec").alias("sec"))
         .agg(
             F.min(

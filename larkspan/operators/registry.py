@@ -84,13 +84,13 @@ def unknown_links(links: DataFrame, registry: DataFrame, force: bool = False) ->
 
 
 def registry_rows(
-    links: DataFrame, registry: DataFrame, run_at: Column, source_id: int = 1, force: bool = False
+    links: DataFrame, registry: DataFrame, run_at: Column, source_id: int = 1
 ) -> DataFrame:
     """D3, G3, B18. Rows to append for the valid links of a dump: one per new URL."""
-    fresh = unknown_links(links.where("is_valid"), registry, force)
-    fresh = first_per_key(fresh, ["link"], [F.col("display_name").asc_nulls_last()])
-    if force:
-        fresh = fresh.join(registry.select("url"), fresh["link"] == registry["url"], "left_anti")
+    # One row per URL before the join, so that a URL that fills the dump is no hot key in it. Forcing
+    # loads a known file again, but a known URL never gets a second row.
+    fresh = first_per_key(links.where("is_valid"), ["link"], [F.col("display_name").asc_nulls_last()])
+    fresh = unknown_links(fresh, registry)
     name = names.attachment_name(F.col("link"), F.col("display_name"), run_at)
     return fresh.select(
         F.lit(source_id).cast("int").alias("source_id"),

@@ -25,9 +25,8 @@ VECTOR_PLACES = 9
 
 def chunk_table(documents: DataFrame, size: int = texts.CHUNK_TOKENS, overlap: int = texts.CHUNK_OVERLAP) -> DataFrame:
     """B34. Chunks of each document: doc_id, chunk_no and the chunk's tokens."""
-    return documents.select("doc_id", F.posexplode(texts.chunks(F.col("text"), size, overlap))).select(
-        "doc_id", F.col("pos").alias("chunk_no"), F.col("col").alias("tokens")
-    )
+    words = documents.select("doc_id", texts.tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.posexplode(texts.chunks(F.col("words"), size, overlap)).alias("chunk_no", "tokens"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

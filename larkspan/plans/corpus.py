@@ -191,8 +191,13 @@ def _files(spark: SparkSession, d: str, prefix: str, size: Column, mtime: Column
     )
 
 
+def _second() -> Column:
+    """Whole seconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
 def _hour() -> Column:
-    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    return F.floor(_second() / 3600)
 
 
 @query(
@@ -211,7 +216,7 @@ def d6_exact_match(spark: SparkSession, d: str) -> DataFrame:
 
 def _near_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sizes within a few percent; seconds squeezed so that files lie within the tolerance."""
-    second = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 26)
+    second = F.floor(_second() / 26)
     key = F.col("event_id")
     size = F.lit(10000) + F.col("user_id") * 3
     return _files(spark, d, "s", size, second), _files(spark, d, "t", size + key % 7, second + key % 3)

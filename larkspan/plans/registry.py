@@ -171,8 +171,8 @@ def c11_snapshot_freshness(spark: SparkSession, d: str) -> DataFrame:
     return R.stale_snapshots(remote, local).select("path", "reload")
 
 
-def _seconds(column: str = "ts") -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
+def _seconds() -> Column:
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D")
 
 
 @query("SELECT event_type AS status, count(*) AS files FROM events GROUP BY event_type")

@@ -57,8 +57,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so retries cannot mix runs."""
-    return f"{shared_dir(spark).rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused, so retries cannot mix runs.
+
+    All paths of an application share one folder, which can go when the application has ended.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/staged/{spark.sparkContext.applicationId}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = lines.where((text != "") & (text != ",")).select(F.ltrim(F.col(column), F.lit(",")).alias("line"))
     elements = F.expr("cast(try_parse_json(concat('[', line, ']')) as array<variant>)")
     member = F.expr("try_parse_json(concat('{\"v\":', line, '}'))")
-    item = F.expr("try_parse_json(line)")
+    item = F.get(elements, F.lit(0))
     is_json = F.coalesce((F.size(elements) == 1) & member.isNotNull(), F.lit(False))
     is_object = F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
     return rows.select("line", is_json.alias("is_json"), F.when(is_json & is_object, item).alias("item"))
