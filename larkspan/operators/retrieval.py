@@ -136,9 +136,11 @@ def _blockwise(vectors: DataFrame, queries: DataFrame, k: int, schema: str) -> D
     v_blocks, q_blocks = blocks(vectors), blocks(queries)
 
     def placed(frame: DataFrame, key: str, own: str, mine: int, other: str, others: int) -> DataFrame:
+        # New names on both sides: the query set may be made from the vectors themselves.
         return frame.select(
-            key, "vector", F.pmod(F.xxhash64(key), F.lit(mine)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
+            F.col(key).alias("id"), F.col("vector").alias("value"),
+            F.pmod(F.xxhash64(key), F.lit(mine)).cast("long").alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other),
         )
 
     left = placed(vectors, "vec_id", "v_block", v_blocks, "q_block", q_blocks)
@@ -147,12 +149,11 @@ def _blockwise(vectors: DataFrame, queries: DataFrame, k: int, schema: str) -> D
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(
-            q["query_id"].to_numpy(), _unit(q["vector"].tolist()), v["vec_id"].to_numpy(), _unit(v["vector"].tolist()), k
-        )
+        ids = q["id"].to_numpy(), v["id"].to_numpy()
+        return _best(ids[0], _unit(q["value"].tolist()), ids[1], _unit(v["value"].tolist()), k)
 
-    keys = [F.col("v_block").cast("long"), F.col("q_block").cast("long")]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    cells = ["v_block", "q_block"]
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(search, schema)
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:

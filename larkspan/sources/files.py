@@ -22,7 +22,10 @@ PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.DOTALL)
 
 
 def inventory(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """A5. Path, name, size and time of files. The content column is not selected, so it is not read."""
+    """A5. Path, name, size and time of files. The content column is not selected, so it is not read.
+
+    Spark's file sources leave out empty files.
+    """
     return (
         _binary(spark, path, recursive, glob)
         .select("path", "length", "modificationTime")
