@@ -42,6 +42,11 @@ def chat_id(username: Column, entity_id: Column, prefix: str = "id") -> Column:
     return F.coalesce(F.nullif(username, F.lit("")), F.concat(F.lit(prefix), entity_id.cast("string")))
 
 
+def log_name(username: Column) -> Column:
+    """B28. Name of a user's log: the user name without leading at-signs."""
+    return F.concat(F.ltrim(username, F.lit("@")), F.lit(".log"))
+
+
 def turn_line(is_own: Column, text: Column) -> Column:
     """B29. ``name: text`` as it appears in a prompt."""
     speaker = F.when(is_own, F.lit(OWN_NAME)).otherwise(F.lit(OTHER_NAME))

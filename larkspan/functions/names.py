@@ -87,7 +87,8 @@ def strict_clean(name: Column) -> Column:
         if new not in (" ", "_"):
             text = F.replace(text, F.lit(char), F.lit(new))
     text = F.left(text, F.lit(NAME_MAX_LENGTH))
-    return F.concat(F.when(text == "", F.lit(EMPTY_NAME)).otherwise(text), F.lit(CLEAN_EXTENSION))
+    # By pattern and not by a condition, which would compute the text twice.
+    return F.concat(F.regexp_replace(text, "^$", EMPTY_NAME), F.lit(CLEAN_EXTENSION))
 
 
 def base_clean(stem_text: Column) -> Column:

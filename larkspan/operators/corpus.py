@@ -65,6 +65,19 @@ def duplicate_plan(keyed: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Da
     )
 
 
+def named_duplicate_plan(plan: DataFrame, folder: DataFrame, moved: DataFrame) -> DataFrame:
+    """F5, F8. The duplicate plan with names that are free where the file goes.
+
+    ``folder`` holds the names in the texts' folder, ``moved`` those in the folder of duplicates. A
+    keeper whose clean name is its own needs no new one.
+    """
+    renamed = (F.col("action") == "keep") & (F.col("new_name") != F.col("name"))
+    keepers = plan.where(renamed).select("path", F.col("new_name").alias("name"))
+    duplicates = plan.where("action = 'duplicate'").select("path", "name")
+    given = unique_names(keepers, folder).unionByName(unique_names(duplicates, moved)).select("path", "new_name")
+    return plan.drop("new_name").join(given, "path", "left").withColumn("new_name", F.coalesce("new_name", "name"))
+
+
 def same_stem_groups(files: DataFrame) -> DataFrame:
     """E4. File names that differ only by extension or case."""
     return (

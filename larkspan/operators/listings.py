@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import values as V
-from larkspan.session import settle
+from larkspan.session import small
 
 # Fixed values of the domain; every one can be overridden by the caller.
 FLAT = "квартира"
@@ -111,8 +111,8 @@ def narrowed_median(
         F.count(F.lit(1)).alias("objects_count"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     middles = F.array_distinct(F.array(F.expr("(objects_count - 1) div 2"), F.expr("objects_count div 2")))
-    sizes = settle(sizes)
-    targets = settle(
+    sizes = small(sizes)
+    targets = small(
         sizes.select(
             group, F.explode(middles).alias("pos"), F.lit(0).cast("long").alias("below"), "lo", "hi",
             F.col("objects_count").alias("within"),
@@ -139,7 +139,7 @@ def narrowed_median(
                 F.col("n").alias("within"),
             )
         )
-        targets = settle(targets.where(~is_open).unionByName(narrower))
+        targets = small(targets.where(~is_open).unionByName(narrower))
 
     single = targets.where("lo = hi").select(group, "pos", F.col("lo").alias("v"))
     spans = targets.where("lo < hi").select(group, "lo", "hi").distinct()
@@ -172,19 +172,19 @@ def below_market(
     """The flagship: listings at least ``min_discount`` percent below the median of their group, or below
     mean - 2 deviations (C2, B21, E1, D1, E2, C10).
 
-    The fact rows are only scanned, never shuffled: both per-group tables are small aggregates, written
-    once, and joined by whichever strategy their real size allows.
+    The fact rows are only scanned, never shuffled: both per-group tables are aggregates, computed once
+    and joined by whichever strategy their checked size allows.
     """
     group, value = "rooms_normalized", "price_sqm"
     rows = comparable(listings, **comparable_options)
-    statistics = settle(group_statistics(rows, group, value))
+    statistics = small(group_statistics(rows, group, value))
     normal = inliers(rows.select(group, value), statistics, group, value)
     if statistics.where(F.col("members") > max_median_rows).isEmpty():
         medians = group_median(normal, group, value)
     else:
         medians = narrowed_median(normal, group, value, max_median_rows)
     # The inner join is the query's own: a group without inliers has no median and drops out.
-    facts = settle(statistics.drop("members").join(medians, group))
+    facts = small(statistics.drop("members").join(medians, group))
     columns = keep or [
         "id", "url", "price_value", "area_value", "price_sqm", "rooms", "renovation", "sales_agent_organization",
         "type", "rooms_normalized",

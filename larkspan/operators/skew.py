@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.session import cut, settle
+from larkspan.session import cut, settle, small
 
 MAX_GROUP_ROWS = 2_000_000
 
@@ -58,7 +58,7 @@ def running_sum(
     if keys:
         split = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ranges")).where("_ranges > 1").drop("_ranges")
         parts = parts.join(split, keys, "left_semi")
-    offsets = settle(
+    offsets = small(
         parts.withColumn(
             "_offset",
             F.sum("_part").over(spread.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
@@ -101,7 +101,7 @@ def attach(
     facts = settle(facts)
     if facts.where(F.col("members") > max_group_rows).isEmpty():
         return rows.join(facts, keys)
-    hot = settle(
+    hot = small(
         facts.where(F.col("members") > max_group_rows).select(
             *keys, F.ceil(F.col("members") / F.lit(max_group_rows)).cast("int").alias("_salts")
         )

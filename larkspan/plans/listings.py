@@ -11,7 +11,7 @@ from larkspan.operators import state
 from larkspan.operators.lookups import strict_lookup, unknown_names
 from larkspan.operators.skew import number_rows
 from larkspan.plans.catalog import query
-from larkspan.session import load, settle, staging_path
+from larkspan.session import load, small, staging_path
 from larkspan.sources import tables
 
 EXCLUDED = "7"
@@ -100,9 +100,9 @@ WHERE (1 - f.price_sqm / m.median_price_sqm) * 100 >= 5.0 OR f.price_sqm < s.low
 )
 def c10_below_market_predicate(spark: SparkSession, d: str) -> DataFrame:
     rows = _comparable(spark, d)
-    statistics = settle(L.group_statistics(rows))
+    statistics = small(L.group_statistics(rows))
     medians = L.group_median(L.inliers(rows, statistics), "rooms_normalized", "price_sqm")
-    facts = settle(statistics.join(medians, "rooms_normalized"))
+    facts = small(statistics.join(medians, "rooms_normalized"))
     joined = rows.join(facts, "rooms_normalized")
     low = L.is_below_market(F.col("price_sqm"), F.col("median_price_sqm"), F.col("lower_bound"))
     return joined.where(low).select(
@@ -142,7 +142,7 @@ SELECT rooms_normalized, round(median_price_sqm, 4) AS median_price_sqm, objects
 )
 def e2_inlier_median(spark: SparkSession, d: str) -> DataFrame:
     rows = _comparable(spark, d)
-    normal = L.inliers(rows, settle(L.group_statistics(rows)))
+    normal = L.inliers(rows, small(L.group_statistics(rows)))
     return _rounded(L.group_median(normal, "rooms_normalized", "price_sqm"))
 
 
@@ -159,7 +159,7 @@ def e2_narrowed_median(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LISTINGS}, {FILTERED}, {STATISTICS}, {NORMAL} SELECT id, line, rooms_normalized, price_sqm FROM normal")
 def d1_stats_join(spark: SparkSession, d: str) -> DataFrame:
     rows = _comparable(spark, d)
-    return L.inliers(rows, settle(L.group_statistics(rows))).select("id", "line", "rooms_normalized", "price_sqm")
+    return L.inliers(rows, small(L.group_statistics(rows))).select("id", "line", "rooms_normalized", "price_sqm")
 
 
 @query(

@@ -16,6 +16,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# A table of at most this many rows may be held in the plan instead of in a file.
+SMALL_ROWS = 10_000
+
 
 def build_session(app_name: str = "larkspan", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -71,6 +74,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A per-group table of few rows, computed once and held in the plan itself.
+
+    For aggregates that have a handful of rows in practice, such as statistics per room count. The size
+    is checked: with more than ``max_rows`` rows the table is written like any other by ``settle``.
+    """
+    head = frame.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return settle(frame)
+    return frame.sparkSession.createDataFrame(head, frame.schema)
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """Write a narrow frame or an aggregate to the shared folder and read it back.
 

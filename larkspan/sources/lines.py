@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.chat import line_date
 from larkspan.functions.values import strip
-from larkspan.session import settle
+from larkspan.session import small
 
 # Fixed value: the conversion log's message about a file that could not be read.
 DAMAGED_FILE = r"Ошибка конвертации (.*?\.docx?):"
@@ -49,7 +49,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     # One row per split, so one small sort for any input.
     in_order = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(splits.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).drop("n"))
+    offsets = small(splits.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).drop("n"))
     return lines.join(offsets, ["file", "start"]).select(
         (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "value"
     )

@@ -177,6 +177,7 @@ def test_messages(spark):
     assert lines == ["2024 | t <фото>", "2024 |  <документ>", "2024 | a | b"]
     assert column(spark, lines + ["free line"], C.line_date) == ["2024", "2024", "2024", ""]
     assert column(spark, ["x", "", None], lambda v: C.chat_id(v, F.lit(5))) == ["x", "id5", "id5"]
+    assert column(spark, ["@x", "y"], C.log_name) == ["x.log", "y.log"]
     assert column(spark, ["x", "", None], lambda v: C.turn_line(F.lit(True), v)) == ["Я: x", "Я: <медиа-контент>", "Я: <медиа-контент>"]
 
 

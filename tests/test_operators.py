@@ -95,6 +95,10 @@ def test_duplicates(spark):
     keyed = K.with_duplicate_key(spark.createDataFrame(data, "path string, name string, content string"))
     assert rows(K.duplicate_groups(keyed), "base_name", "members", "redundant") == [("a", 2, 1), ("b", 2, 1)]
     plan = rows(K.duplicate_plan(keyed), "path", "action", "new_name")
+    folder = spark.createDataFrame([("A.txt",), ("B(1).txt",)], "name string")
+    moved = spark.createDataFrame([("a.txt",)], "name string")
+    named = K.named_duplicate_plan(K.duplicate_plan(keyed), folder, moved)
+    assert rows(named, "path", "new_name") == [("1", "b (1).txt"), ("2", "a(1).txt"), ("3", "B.txt"), ("5", "A(1).txt")]
     assert plan == [("1", "duplicate", "b (1).txt"), ("2", "duplicate", "a.txt"), ("3", "keep", "B.txt"), ("5", "keep", "A.txt")]
 
 
