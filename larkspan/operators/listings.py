@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import values as V
-from larkspan.session import small
+from larkspan.session import settle, small
 
 # Fixed values of the domain; every one can be overridden by the caller.
 FLAT = "квартира"
@@ -93,6 +93,11 @@ def group_median(frame: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def value_bucket(value: Column) -> Column:
+    """Range of values, each 1/256 wider than the one before; keeps the order of the values."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 256).cast("long")
+
+
 def narrowed_median(
     frame: DataFrame,
     group: str,
@@ -102,63 +107,51 @@ def narrowed_median(
 ) -> DataFrame:
     """E2. The same exact median for groups of any size, with no group in one task.
 
-    Each pass counts the rows of a group in equal-width buckets (summed before the shuffle), finds the
-    bucket with the middle row, and continues inside that bucket's true minimum and maximum. When at
-    most ``max_rows`` rows or one value are left, the middle row is read off directly.
+    The first scan counts each group by value buckets, summed before the shuffle, which tells the bucket
+    of the middle row. The second scan writes the rows of these buckets only, well below a percent of
+    the input. If a bucket still has more than ``max_rows`` rows and several values, it is counted again
+    by equal parts of its true range, until the middle row can be read off.
     """
     rows = frame.select(group, F.col(value).alias("v")).where("v IS NOT NULL")
-    sizes = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("objects_count"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
-    middles = F.array_distinct(F.array(F.expr("(objects_count - 1) div 2"), F.expr("objects_count div 2")))
-    sizes = small(sizes)
-    targets = small(
-        sizes.select(
-            group, F.explode(middles).alias("pos"), F.lit(0).cast("long").alias("below"), "lo", "hi",
-            F.col("objects_count").alias("within"),
-        )
-    )
+    n, pos, below = F.col("n"), F.col("pos"), F.col("below")
     is_open = (F.col("within") > max_rows) & (F.col("lo") < F.col("hi"))
+
+    def counted(source: DataFrame, *keys: Column | str) -> DataFrame:
+        """Count, smallest and largest value by the keys."""
+        return source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
+
+    def containing(targets: DataFrame, parts: DataFrame, span: list[str]) -> DataFrame:
+        """The part of its span in which each target lies."""
+        upto = Window.partitionBy(*span).orderBy("b_lo").rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        start = below + F.col("before")
+        return (
+            targets.join(placed, span)
+            .where((pos >= start) & (pos < start + n))
+            .select(group, "pos", start.alias("below"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), n.alias("within"))
+        )
+
+    parts = small(counted(rows, group, value_bucket(F.col("v")).alias("bucket")))
+    sizes = parts.groupBy(group).agg(F.sum("n").alias("objects_count"))
+    middles = F.array_distinct(F.array(F.expr("(objects_count - 1) div 2"), F.expr("objects_count div 2")))
+    positions = sizes.select(group, F.explode(middles).alias("pos"), F.lit(0).cast("long").alias("below"))
+    targets = small(containing(positions, parts, [group]))
+    spans = targets.select(group, "lo", "hi").distinct()
+    rows = settle(rows.join(spans, group).where(F.col("v").between(F.col("lo"), F.col("hi"))).select(group, "v"))
+
+    span = [group, "lo", "hi"]
     while not (unsolved := targets.where(is_open)).isEmpty():
-        spans = unsolved.select(group, "lo", "hi").distinct()
         share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets
-        counts = (
-            rows.join(spans, group)
-            .where(F.col("v").between(F.col("lo"), F.col("hi")))
-            .groupBy(group, "lo", "hi", F.least(F.floor(share), F.lit(buckets - 1)).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
-        )
-        upto = Window.partitionBy(group, "lo", "hi").orderBy("bucket")
-        counts = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-        start = F.col("below") + F.col("before")
-        narrower = (
-            unsolved.join(counts, [group, "lo", "hi"])
-            .where((F.col("pos") >= start) & (F.col("pos") < start + F.col("n")))
-            .select(
-                group, "pos", start.alias("below"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"),
-                F.col("n").alias("within"),
-            )
-        )
-        targets = small(targets.where(~is_open).unionByName(narrower))
+        inside = rows.join(unsolved.select(*span).distinct(), group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        parts = counted(inside, *span, F.least(F.floor(share), F.lit(buckets - 1)).alias("bucket"))
+        targets = small(targets.where(~is_open).unionByName(containing(unsolved, parts, span)))
 
     single = targets.where("lo = hi").select(group, "pos", F.col("lo").alias("v"))
-    spans = targets.where("lo < hi").select(group, "lo", "hi").distinct()
-    counted = (
-        rows.join(spans, group)
-        .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .groupBy(group, "lo", "hi", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy(group, "lo", "hi").orderBy("v")
-    counted = counted.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    start = F.col("below") + F.col("before")
-    found = (
-        targets.join(counted, [group, "lo", "hi"])
-        .where((F.col("pos") >= start) & (F.col("pos") < start + F.col("n")))
-        .select(group, "pos", "v")
-    )
+    rest = targets.where("lo < hi")
+    inside = rows.join(rest.select(*span).distinct(), group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    found = containing(rest, counted(inside, *span, "v"), span).select(group, "pos", F.col("lo").alias("v"))
     medians = single.unionByName(found).groupBy(group).agg(F.avg("v").alias("median_price_sqm"))
-    return medians.join(sizes.select(group, "objects_count"), group)
+    return medians.join(sizes, group)
 
 
 def below_market(
@@ -172,8 +165,8 @@ def below_market(
     """The flagship: listings at least ``min_discount`` percent below the median of their group, or below
     mean - 2 deviations (C2, B21, E1, D1, E2, C10).
 
-    The fact rows are only scanned, never shuffled: both per-group tables are aggregates, computed once
-    and joined by whichever strategy their checked size allows.
+    The listings are scanned three times, or four with large groups, and never shuffled: the per-group
+    tables are aggregates, computed once and joined by whichever strategy their checked size allows.
     """
     group, value = "rooms_normalized", "price_sqm"
     rows = comparable(listings, **comparable_options)

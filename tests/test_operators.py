@@ -54,6 +54,18 @@ def test_narrowed_median_is_exact(spark):
         assert rows(got, "g", "median_price_sqm", "objects_count") == exact
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_below_market_plans_agree(spark, seed):
+    rng = random.Random(seed)
+    prices = [rng.lognormvariate(7, 1.5) for _ in range(400)] + [rng.choice([1000.0, 2000.0]) for _ in range(101)]
+    data = [(i, "u", L.SALE, rng.choice([1, None]), None, "x", p, 40.0) for i, p in enumerate(prices)]
+    frame = spark.createDataFrame(data, LISTING)
+    columns = ["id", F.round("median_price_sqm", 6), F.round("lower_bound", 6), "objects_count"]
+    plain = rows(L.below_market(frame, excluded_organization="out"), *columns)
+    assert rows(L.below_market(frame, excluded_organization="out", max_median_rows=2), *columns) == plain
+    assert len(plain) > 100
+
+
 def test_skewed_numbering_equals_the_window(spark):
     data = [("hot" if i % 3 else f"k{i % 50}", (i * 7919) % 10007, i) for i in range(3000)]
     frame = spark.createDataFrame(data, "k string, v long, i long").repartition(7)
