@@ -108,17 +108,17 @@ def narrowed_median(
     """E2. The same exact median for groups of any size, with no group in one task.
 
     The first scan counts each group by value buckets, summed before the shuffle, which tells the bucket
-    of the middle row. The second scan writes the rows of these buckets only, well below a percent of
-    the input. If a bucket still has more than ``max_rows`` rows and several values, it is counted again
-    by equal parts of its true range, until the middle row can be read off.
+    of the middle row. The second scan writes the values of these buckets with their counts, well below
+    a percent of the input. If a bucket still has more than ``max_rows`` rows and several values, it is
+    counted again by equal parts of its true range, until the middle row can be read off.
     """
-    rows = frame.select(group, F.col(value).alias("v")).where("v IS NOT NULL")
+    rows = frame.select(group, F.col(value).alias("v"), F.lit(1).cast("long").alias("w")).where("v IS NOT NULL")
     n, pos, below = F.col("n"), F.col("pos"), F.col("below")
     is_open = (F.col("within") > max_rows) & (F.col("lo") < F.col("hi"))
 
     def counted(source: DataFrame, *keys: Column | str) -> DataFrame:
         """Count, smallest and largest value by the keys."""
-        return source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
+        return source.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
 
     def containing(targets: DataFrame, parts: DataFrame, span: list[str]) -> DataFrame:
         """The part of its span in which each target lies."""
@@ -136,10 +136,11 @@ def narrowed_median(
     middles = F.array_distinct(F.array(F.expr("(objects_count - 1) div 2"), F.expr("objects_count div 2")))
     positions = sizes.select(group, F.explode(middles).alias("pos"), F.lit(0).cast("long").alias("below"))
     targets = small(containing(positions, parts, [group]))
-    spans = targets.select(group, "lo", "hi").distinct()
-    rows = settle(rows.join(spans, group).where(F.col("v").between(F.col("lo"), F.col("hi"))).select(group, "v"))
-
     span = [group, "lo", "hi"]
+    spans = targets.where("lo < hi").select(*span).distinct()
+    inside = rows.join(spans, group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    rows = settle(inside.groupBy(group, "v").agg(F.sum("w").alias("w")))
+
     while not (unsolved := targets.where(is_open)).isEmpty():
         share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets
         inside = rows.join(unsolved.select(*span).distinct(), group).where(F.col("v").between(F.col("lo"), F.col("hi")))
