@@ -39,3 +39,16 @@ def numbered(
     local = Window.partitionBy(*keys, "_range").orderBy(*tie)
     joined = rows.withColumn("_local", F.row_number().over(local)).join(offsets, [*keys, "_range"])
     return joined.withColumn(name, F.col("_offset") + F.col("_local") - 1).drop("_offset", "_local", "_range")
+
+
+def row_key(identity: Column, text: Column) -> Column:
+    """What tells rows apart: only rows that agree in id and text share it."""
+    return F.xxhash64(identity, F.coalesce(text, F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose row key is in ``keys.row_key``, one of each key, with all their columns."""
+    keyed = docs.withColumn("_row_key", row_key(docs[id_col], docs[text_col]))
+    found = keyed.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi")
+    one = Window.partitionBy("_row_key").orderBy("_row_key")
+    return found.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)

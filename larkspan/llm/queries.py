@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, packing, sharding
-from larkspan.session import load
+from larkspan.llm import bpe, exact, packing, sharding, warc
+from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,35 @@ def op6_weighted_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bucket of the least padding and its place in a token-budget batch."""
     return packing.length_buckets(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# SQL of the digest alone: DuckDB has no SHA-1 as bytes, so its hex form is cut into base32 letters.
+@query(r"""
+    WITH digests AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+        FROM pages
+    ), coded AS (
+        SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr(
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(hex || '0', CAST(5 * i // 4 AS INTEGER) + 1, 2))::INTEGER) >> (3 - (5 * i) % 4)) & 31) + 1, 1
+        )), 'string_agg', '') AS payload_digest
+        FROM digests
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+    FROM coded WINDOW w AS (PARTITION BY payload_digest)
+""")
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC and read back."""
+    arc, archive = staging_path(spark, "arc"), staging_path(spark, "warc")
+    warc.write_arc(load(spark, sf_dir, "pages"), arc)
+    warc.write_warc(spark, arc, archive)
+    records = settle(warc.read_warc(spark, archive))
+    return warc.resolved(records).select(
+        "page_id",
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
