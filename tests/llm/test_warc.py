@@ -6,13 +6,13 @@ import pytest
 from larkspan.llm import warc
 from larkspan.session import staging_path
 
+ABOUT = b"1 0 AlexaInternet\n" + warc.ARC_FIELDS[1].encode() + b"\n"
+PAGE = b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\n<b>\xe9\r\n\r\n</b>"
 V1 = (
-    b"filedesc://old.arc 0.0.0.0 19960923142103 text/plain 76\n"
-    b"1 0 AlexaInternet\nURL IP-address Archive-date Content-type Archive-length\n"
-    b"\nhttp://a.example/ 192.0.2.1 19961104142103 text/html 45\n"
-    b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\n<b>\xe9\r\n\r\n</b>"
-    b"\nhttp://b.example/ 192.0.2.2 1996110414 text/plain 5\nplain\n"
-)
+    b"filedesc://old.arc 0.0.0.0 19960923142103 text/plain %d\n" % len(ABOUT) + ABOUT
+    + b"\nhttp://a.example/ 192.0.2.1 19961104142103 text/html %d\n" % len(PAGE) + PAGE
+    + b"\nhttp://b.example/ 192.0.2.2 1996110414 text/plain 5\nplain\n"
+)
 
 
 def v2(body):
@@ -23,7 +23,7 @@ def v2(body):
 
 def test_header_lines_of_both_versions():
     one = list(warc.arc_records(V1))
-    assert [(f["URL"], len(b)) for _, f, b in one] == [("http://a.example/", 45), ("http://b.example/", 5)]
+    assert [(f["URL"], len(b)) for _, f, b in one] == [("http://a.example/", len(PAGE)), ("http://b.example/", 5)]
     assert V1[one[0][0] :].startswith(b"http://a.example/")
     two = list(warc.arc_records(gzip.compress(v2(b"x\n\ny")[:40]) + gzip.compress(v2(b"x\n\ny")[40:])))
     assert [(f["Result-code"], b) for _, f, b in two] == [("200", b"x\n\ny")]
