@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, packing, sharding, warc
+from larkspan.llm import bpe, exact, packing, sharding, simhash, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_simhash_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component at two or fewer differing bits."""
+    return simhash.clusters(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
 @query()
 def op6_weighted_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards of nearly equal bytes."""
