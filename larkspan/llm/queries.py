@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, packing, sharding, simhash, warc
+from larkspan.llm import bpe, exact, packing, pii, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,26 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query()
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document. The counts are those of plain spans; added ones are counted apart."""
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    rank = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
+    everything = F.array_sort(
+        F.transform(F.concat("plain", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    )
+    found = pii.identifiers(load(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(F.filter("plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined(F.col("plain")), 256).alias("base_sha256"),
+        joined(everything).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 @query()
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual rank file, and their bytes decoded again."""
@@ -88,6 +108,20 @@ def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op9_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels outside the held-out fold."""
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, load(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"),
+    )
+
+
 # SQL of the digest alone: DuckDB has no SHA-1 as bytes, so its hex form is cut into base32 letters.
 @query(r"""
     WITH digests AS (
