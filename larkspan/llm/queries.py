@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, packing, pii, sharding, simhash, toxicity, warc
+from larkspan.llm import bpe, exact, knn, packing, pii, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,28 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("""
+    WITH vectors AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id
+        WHERE q.vec_id % 100 = 0
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of each hundredth vector."""
+    found = knn.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 @query()
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document. The counts are those of plain spans; added ones are counted apart."""
