@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, knn, packing, pii, sharding, simhash, toxicity, warc
+from larkspan.llm import bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,18 @@ def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op8_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start elsewhere too."""
+    return repeats.without_repeats(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op9_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labels outside the held-out fold."""
