@@ -48,7 +48,16 @@ def row_key(identity: Column, text: Column) -> Column:
 
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose row key is in ``keys.row_key``, one of each key, with all their columns."""
-    keyed = docs.withColumn("_row_key", row_key(docs[id_col], docs[text_col]))
-    found = keyed.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi")
-    one = Window.partitionBy("_row_key").orderBy("_row_key")
-    return found.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)
+    key, copy = unused(docs, "row_key"), unused(docs, "copy")
+    keyed = docs.withColumn(key, row_key(docs[id_col], docs[text_col]))
+    found = keyed.join(keys.select(F.col("row_key").alias(key)), key, "left_semi")
+    one = Window.partitionBy(key).orderBy(key)
+    return found.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).select(*docs.columns)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -16,15 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import pick, shuffle_width
+from larkspan.llm.common import pick, row_key, shuffle_width
 from larkspan.session import settle
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 HEAD_BYTES = 16
 ROWS_OUT = 20_000
 
-_NORMAL = "id long, chars long, head binary, digest binary, content binary"
-_PLACED = "id long, keep_id long, copies long, leads boolean, digest binary, part int, edge boolean"
+_NORMAL = "id long, row_key long, chars long, head binary, digest binary, content binary"
+_PLACED = "id long, row_key long, keep_id long, copies long, leads boolean, digest binary, part int, edge boolean"
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,12 +34,13 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 batch.column("id"),
+                batch.column("row_key"),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([c[:HEAD_BYTES] for c in content], pa.binary()),
                 pa.array([hashlib.sha256(c).digest() for c in content], pa.binary()),
                 pa.array(content, pa.binary()),
             ],
-            names=["id", "chars", "head", "digest", "content"],
+            names=["id", "row_key", "chars", "head", "digest", "content"],
         )
 
 
@@ -53,18 +54,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(edge: bool) -> None:
         digest = held[1]
-        done.extend((row, group[0], len(group), i == 0, digest, part, edge) for i, row in enumerate(group))
+        done.extend((*row, group[0][0], len(group), i == 0, digest, part, edge) for i, row in enumerate(group))
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*done, strict=True))
         done.clear()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_()]
-        names = ["id", "keep_id", "copies", "leads", "digest", "part", "edge"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_()]
+        names = ["id", "row_key", "keep_id", "copies", "leads", "digest", "part", "edge"]
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("id", "digest", "content"))
-        for row, digest, content in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("id", "row_key", "digest", "content"))
+        for *row, digest, content in zip(*columns, strict=True):
             if held is not None and content == held[0]:
                 group.append(row)
                 continue
@@ -81,14 +82,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, digest (SHA-256 of the normalised text).
+    """One row per row of ``docs``: id, row_key, keep_id, group_size, kept, digest (SHA-256 of the normalised text).
 
     Texts are equal when they are identical without the characters of ``[\\x20\\x09-\\x0D]``; a NULL text is
     an empty one, and empty texts are equal to each other. The row with the most code points in its own
     text stays, then the one with the smallest id; a NULL id comes after all others. Of rows that agree in
     id and text one stays. Further columns are ignored, an empty table gives no rows.
     """
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
+    rows = pick(docs, id=id_col, text=text_col).select(
+        F.col("id").cast("long"), row_key(F.col("id"), F.col("text")).alias("row_key"), "text"
+    )
     order = ["head", "digest", F.desc("chars"), F.asc_nulls_last("id")]
     exact = ["head", "digest", "content", F.desc("chars"), F.asc_nulls_last("id")]
     placed = settle(
@@ -108,6 +111,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     across = F.col("edge") & F.col("from").isNotNull()
     return joined.select(
         "id",
+        "row_key",
         F.when(across, F.col("all_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(across, F.col("all_copies")).otherwise(F.col("copies")).alias("group_size"),
         (F.col("leads") & (~across | (F.col("part") == F.col("from")))).alias("kept"),

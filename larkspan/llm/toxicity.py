@@ -253,29 +253,41 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores, spans = [], []
-            for step in range(0, len(texts), 2_000):
-                some = texts[step : step + 2_000]
-                if model.prior is not None:
-                    scores += [model.prior] * len(some)
-                    spans += [[]] * len(some)
-                    continue
-                words = [TOKEN.findall(t) for t in some]
-                for text, (summary, marginal) in zip(some, _summaries(words, model, memo), strict=True):
-                    value = float(np.dot(model.document, (*summary, 1.0)))
-                    scores.append(1 / (1 + np.exp(-np.clip(value, -30, 30))))
-                    spans.append(_spans(text, marginal > 0.5))
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("row_key"), pa.array(scores, pa.float64()), pa.array(spans, span)],
-                names=["id", "row_key", "score", "spans"],
-            )
+            found = list(_judged(batch.column("text").to_pylist(), model, memo))
+            columns = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], span)]
+            yield pa.record_batch([batch.column("id"), batch.column("row_key"), *columns], names=["id", "row_key", "score", "spans"])
 
     rows = pick(docs, id=id_col, text=text_col)
     rows = rows.select(F.col("id").cast("long"), row_key(F.col("id"), F.col("text")).alias("row_key"), "text")
     return rows.mapInArrow(run, "id long, row_key long, score double, spans array<struct<start int, end int>>")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the bound, with all their columns. No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            scores = (score for score, _ in _judged(batch.column(at).to_pylist(), model, memo))
+            yield batch.filter(pa.array([score < below for score in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judged(texts: list[str | None], model: Model, memo: dict[str, float]) -> Iterator[tuple[float, list[dict[str, int]]]]:
+    """Score and spans of each text; some thousand run through the chain together."""
+    for step in range(0, len(texts), 2_000):
+        some = [t or "" for t in texts[step : step + 2_000]]
+        if model.prior is not None:
+            yield from ((model.prior, []) for _ in some)
+            continue
+        words = [TOKEN.findall(t) for t in some]
+        for text, (summary, marginal) in zip(some, _summaries(words, model, memo), strict=True):
+            value = float(np.dot(model.document, (*summary, 1.0)))
+            yield float(1 / (1 + np.exp(-np.clip(value, -30, 30)))), _spans(text, marginal > 0.5)
+
+
 def _spans(text: str, toxic: np.ndarray) -> list[dict[str, int]]:
     if not toxic.any():
         return []
