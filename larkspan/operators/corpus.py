@@ -5,11 +5,13 @@ Nothing is moved or renamed here: every operator gives a table of actions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions import names
-from larkspan.operators.skew import MAX_GROUP_ROWS, attach, number_rows, running_sum
+from larkspan.operators.skew import MAX_GROUP_ROWS, attach, null_safe_join, number_rows, running_sum
 from larkspan.operators.state import last_per_key
 from larkspan.session import settle
 
@@ -165,7 +167,7 @@ def missing_outputs(sources: DataFrame, outputs: DataFrame, max_group_rows: int
     rank = F.struct(F.lower(names.suffix(F.col("name"))).alias("ext"), F.col("name"))
     facts = keyed.groupBy("dir", "stem").agg(F.count(F.lit(1)).alias("members"), F.min(rank).alias("first"))
     done = outputs.select("dir", stem.alias("stem")).distinct().withColumn("done", F.lit(True))
-    facts = facts.join(done, ["dir", "stem"], "left")
+    facts = null_safe_join(facts, done, ["dir", "stem"], "left")
     open_groups = facts.where(F.col("done").isNull() | (F.col("members") > 1))
     is_rest = F.col("name") != F.col("first.name")
     return (
@@ -205,9 +207,13 @@ def unique_names(
     taken: DataFrame,
     style: str = "parentheses",
     max_group_rows: int = MAX_GROUP_ROWS,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """F8. A free name for every newcomer (path, name), given the names already taken.
 
+    ``scope`` names columns of both sides, such as the folder, within which a name must be free; a NULL scope
+    is one of its own. Rows of ``taken`` from further folders can be added under the newcomer's scope.
+
     ``parentheses`` makes ``name(n).ext`` from the name as it is; ``underscore`` makes ``name_n.ext``
     after removing a trailing ``_digits``. Plain names are given out first, to the first newcomer by
     path; then the k-th remaining newcomer of a base gets the k-th number that is free for the base.
@@ -221,44 +227,48 @@ def unique_names(
         base, ext = F.regexp_replace(names.stem(name), "_[0-9]+$", ""), names.suffix(name)
         pattern, opened, closed = r"(?s)^(.*)_([1-9][0-9]{0,17})$", "_", ""
 
-    plain = newcomers.groupBy("name").agg(F.min("path").alias("path")).join(taken.select("name"), "name", "left_anti")
-    plain = settle(plain)
+    scope = list(scope)
+    group = [*scope, "base", "ext"]
+    taken = settle(taken.select(*scope, "name"))
+    plain = newcomers.groupBy(*scope, "name").agg(F.min("path").alias("path"))
+    plain = settle(null_safe_join(plain, taken, [*scope, "name"], "left_anti"))
     rest = newcomers.join(plain.select("path"), "path", "left_anti")
-    rest = settle(rest.select("path", "name", base.alias("base"), ext.alias("ext")))
-    rest = settle(number_rows(rest, ["base", "ext"], [F.col("path")], "place", max_group_rows))
+    rest = settle(rest.select(*scope, "path", "name", base.alias("base"), ext.alias("ext")))
+    rest = settle(number_rows(rest, group, [F.col("path")], "place", max_group_rows))
 
     whole = names.root(name) if style == "parentheses" else names.stem(name)
     numbered = (
-        taken.select("name").unionByName(plain.select("name")).distinct()
-        .select(whole.alias("whole"), ext.alias("ext"))
+        taken.unionByName(plain.select(*scope, "name")).distinct()
+        .select(*scope, whole.alias("whole"), ext.alias("ext"))
         .where(F.col("whole").rlike(pattern))
         .select(
+            *scope,
             F.regexp_extract("whole", pattern, 1).alias("base"),
             "ext",
             F.regexp_extract("whole", pattern, 2).cast("long").alias("number"),
         )
-        .join(rest.select("base", "ext").distinct(), ["base", "ext"], "left_semi")
     )
-    numbered = number_rows(settle(numbered), ["base", "ext"], [F.col("number")], "nth", max_group_rows)
+    numbered = null_safe_join(numbered, rest.select(*group).distinct(), group, "left_semi")
+    numbered = number_rows(settle(numbered), group, [F.col("number")], "nth", max_group_rows)
 
     # The nth used number stands before newcomer k if number - n < k: so many numbers below it are free.
     none = F.lit(None).cast("string")
     merged = rest.select(
-        "base", "ext", (F.col("place") - 1).alias("slot"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"),
+        *group, (F.col("place") - 1).alias("slot"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"),
         "path", "name",
     ).unionByName(
         numbered.select(
-            "base", "ext", (F.col("number") - F.col("nth")).alias("slot"), F.lit(0).alias("kind"),
+            *group, (F.col("number") - F.col("nth")).alias("slot"), F.lit(0).alias("kind"),
             F.col("number").alias("tie"), none.alias("path"), none.alias("name"),
         )
     )
     order = [F.col("slot"), F.col("kind"), F.col("tie")]
-    merged = running_sum(settle(merged), ["base", "ext"], order, 1 - F.col("kind"), "used", max_group_rows)
+    merged = running_sum(settle(merged), group, order, 1 - F.col("kind"), "used", max_group_rows)
     number = (F.col("slot") + 1 + F.col("used")).cast("string")
     given = merged.where("kind = 1").select(
-        "path", "name", F.concat("base", F.lit(opened), number, F.lit(closed), "ext").alias("new_name")
+        *scope, "path", "name", F.concat("base", F.lit(opened), number, F.lit(closed), "ext").alias("new_name")
     )
-    return given.unionByName(plain.select("path", "name", F.col("name").alias("new_name")))
+    return given.unionByName(plain.select(*scope, "path", "name", F.col("name").alias("new_name")))
 
 
 def head_files(files: DataFrame, count: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import chat as C
 from larkspan.operators.skew import MAX_GROUP_ROWS, number_rows
+from larkspan.session import settle
 
 # Turns in a prompt and messages per history page.
 LAST_TURNS = 15
@@ -43,7 +44,8 @@ def merge_logs(new: DataFrame, history: DataFrame, max_group_rows: int = MAX_GRO
     """
     both = new.withColumn("origin", F.lit(0)).unionByName(history.withColumn("origin", F.lit(1)))
     order = [F.col("date").desc_nulls_last(), F.col("origin"), F.col("position")]
-    return number_rows(both, ["chat"], order, "place", max_group_rows)
+    # Written once, as the numbering first counts the chats.
+    return number_rows(settle(both), ["chat"], order, "place", max_group_rows)
 
 
 def history_page(messages: DataFrame, before_id: int | None = None, count: int = HISTORY_PAGE) -> DataFrame:

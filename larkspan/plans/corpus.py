@@ -287,6 +287,34 @@ def f8_unique_names_split(spark: SparkSession, d: str) -> DataFrame:
     return K.unique_names(newcomers, _taken(spark, d), max_group_rows=3)
 
 
+@query(
+    """WITH newcomers AS (SELECT lang AS dir, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, source || '.txt' AS name, source AS base FROM documents),
+taken AS (SELECT DISTINCT lang AS dir, CASE WHEN quality = 1 THEN source || '(' || doc_id % 9 || ').txt' ELSE source || '.txt' END AS name
+  FROM labels JOIN documents USING (doc_id)),
+plain AS (SELECT dir, name, min(path) AS path FROM newcomers n
+  WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.name = n.name AND t.dir = n.dir) GROUP BY dir, name),
+rest AS (SELECT *, row_number() OVER (PARTITION BY dir, base ORDER BY path) AS rn FROM newcomers WHERE path NOT IN (SELECT path FROM plain)),
+numbers AS (SELECT dir, base, unnest(range(1, n + 20)) AS number FROM (SELECT dir, base, count(*) AS n FROM rest GROUP BY dir, base)),
+free AS (SELECT dir, base, number, row_number() OVER (PARTITION BY dir, base ORDER BY number) AS rn FROM numbers u
+  WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.dir = u.dir AND t.name = base || '(' || number || ').txt'))
+SELECT dir, path, name, base || '(' || number || ').txt' AS new_name FROM rest JOIN free USING (dir, base, rn)
+UNION ALL SELECT dir, path, name, name FROM plain"""
+)
+def f8_unique_names_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are free in the newcomer's own folder; the language stands for it."""
+    docs = load(spark, d, "documents")
+    newcomers = docs.select(
+        F.col("lang").alias("dir"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"),
+        F.concat("source", F.lit(".txt")).alias("name"),
+    )
+    known = load(spark, d, "labels").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    by_parentheses = F.concat("source", F.lit("("), (F.col("doc_id") % 9).cast("string"), F.lit(").txt"))
+    name = F.when(F.col("quality") == 1, by_parentheses).otherwise(F.concat("source", F.lit(".txt")))
+    taken = known.select(F.col("lang").alias("dir"), name.alias("name")).distinct()
+    return K.unique_names(newcomers, taken, scope=["dir"], max_group_rows=20)
+
+
 @query(
     """WITH n AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, lang || '_' || doc_id % 5 || '.docx' AS name, lang FROM documents),
 taken AS (SELECT DISTINCT lang || '_' || doc_id % 4 * 3 || '.docx' AS name FROM labels JOIN documents USING (doc_id)),

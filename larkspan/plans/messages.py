@@ -97,6 +97,14 @@ def f4_newest_first_merge_split(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_logs(*_log_sides(spark, d), max_group_rows=10)
 
 
+@query(PLACED.replace("user_id AS chat", "CASE WHEN user_id % 3 > 0 THEN user_id END AS chat"))
+def f4_newest_first_merge_null_chat(spark: SparkSession, d: str) -> DataFrame:
+    """Most messages have no chat, which is one chat too large for one task."""
+    chat = F.when(F.col("chat") % 3 > 0, F.col("chat"))
+    new, history = (side.withColumn("chat", chat) for side in _log_sides(spark, d))
+    return G.merge_logs(new, history, max_group_rows=100)
+
+
 @query("SELECT event_id AS msg_id, user_id AS chat FROM events WHERE event_id < 700 ORDER BY event_id DESC LIMIT 100")
 def f11_history_page(spark: SparkSession, d: str) -> DataFrame:
     return G.history_page(_messages(spark, d), before_id=700).select("msg_id", "chat")
