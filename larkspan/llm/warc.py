@@ -87,7 +87,7 @@ class _Source:
     """Lines and byte counts of an archive that is inflated as it is read; gzip members may follow one another."""
 
     def __init__(self, content: bytes, step: int = 1 << 20):
-        self._parts, self._held, self.at = self._inflate(content, step), b"", 0
+        self._parts, self._held, self._read, self.at = self._inflate(content, step), b"", 0, 0
 
     @staticmethod
     def _inflate(content: bytes, step: int) -> Iterator[bytes]:
@@ -104,36 +104,35 @@ class _Source:
                 content = stream.unconsumed_tail
             content = stream.unused_data
 
-    def _more(self) -> bool:
-        part = next(self._parts, None)
-        if part is None:
-            return False
-        self._held += part
-        return True
-
     def line(self) -> bytes | None:
         """The next line without its end; None at the end of the archive."""
-        while (end := self._held.find(b"\n")) < 0:
-            if not self._more():
+        while (end := self._held.find(b"\n", self._read)) < 0:
+            part = next(self._parts, None)
+            self._held, self._read = self._held[self._read :] + (part or b""), 0
+            if part is None:
                 rest, self._held = self._held, b""
                 self.at += len(rest)
                 return rest or None
-        out, self._held = self._held[:end], self._held[end + 1 :]
-        self.at += end + 1
+        out = self._held[self._read : end]
+        self.at += end + 1 - self._read
+        self._read = end + 1
         return out.removesuffix(b"\r")
 
     def take(self, count: int) -> bytes:
-        parts, have = [self._held], len(self._held)
-        while have < count:
+        self.at += count
+        if len(self._held) - self._read >= count:
+            self._read += count
+            return self._held[self._read - count : self._read]
+        parts = [self._held[self._read :]]
+        missing = count - len(parts[0])
+        while missing > 0:
             part = next(self._parts, None)
             if part is None:
-                raise ValueError(f"a record declares {count} bytes, {have} are left")
-            parts.append(part)
-            have += len(part)
-        joined = b"".join(parts)
-        self._held = joined[count:]
-        self.at += count
-        return joined[:count]
+                raise ValueError(f"a record declares {count} bytes, {count - missing} are left")
+            parts.append(part[:missing])
+            self._held, self._read = part, min(missing, len(part))
+            missing -= len(part)
+        return b"".join(parts)
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
