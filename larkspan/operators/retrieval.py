@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +17,12 @@ from larkspan.session import settle
 # BM25 parameters.
 K1 = 1.2
 B = 0.75
-# A query set up to this many numbers is sent to every task; a larger one is searched in blocks.
-BROADCAST_NUMBERS = 8_000_000
-BLOCK_VECTORS = 4096
+# Terms of the queries that one pass over the chunks knows; more are searched in several passes.
+PASS_TERMS = 1_000_000
+# Numbers of the query vectors that one pass over the vectors knows.
+PASS_NUMBERS = 8_000_000
+# Scores that a Python batch holds at once.
+TILE_SCORES = 4_000_000
 # Ranks use scores rounded to this many places, so that sums in another order rank alike.
 TEXT_PLACES = 6
 VECTOR_PLACES = 9
@@ -35,45 +40,108 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
-def text_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def term_counts(chunks: DataFrame, number: dict[str, int]) -> DataFrame:
+    """Length of each chunk, and the numbers and counts of its known terms."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = number.keys()
+        for batch in batches:
+            found = [Counter(filter(known.__contains__, map(str.lower, words))) for words in batch["tokens"]]
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "chunk_no": batch["chunk_no"],
+                    "length": [len(words) for words in batch["tokens"]],
+                    "terms": [[number[t] for t in c] for c in found],
+                    "tfs": [list(c.values()) for c in found],
+                }
+            )
+
+    return chunks.mapInPandas(count, "doc_id long, chunk_no int, length int, terms array<int>, tfs array<int>")
+
+
+def text_search(chunks: DataFrame, queries: DataFrame, k: int = 5, pass_terms: int = PASS_TERMS) -> DataFrame:
     """I1. The k best chunks per query by BM25.
 
-    The texts are read once. Only tokens that occur in a query leave a chunk, counted before the
-    shuffle, and one empty term per chunk, which carries the chunk's length into the statistics. All
-    else works on the table of these counts.
+    The texts are read once, for the counts of the queries' terms in each chunk. A chunk is scored where its
+    counts are read, by one sparse product a batch, and only k rows for each query and batch move. Queries
+    with more than ``pass_terms`` terms together are searched in several such passes.
     """
     terms = settle(query_terms(queries))
-    empty = terms.sparkSession.range(1).select(F.lit("").alias("term"))
-    wanted = terms.select("term").union(empty).distinct()
-    counted = settle(
-        chunks.select(
-            "doc_id", "chunk_no", F.size("tokens").alias("length"),
-            F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"),
-        )
-        .select("doc_id", "chunk_no", "length", F.lower("token").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("doc_id", "chunk_no", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    counts = counted.where("term <> ''")
-    whole = counted.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    n = whole.select("n").scalar()
-    mean_length = whole.select("mean_length").scalar()
-    df = F.col("df")
-    weights = settle(
-        terms.join(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select(
-            "query_id", "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("idf")
+    blocks = max(1, -(-terms.count() // pass_terms))
+    hits = [
+        _text_pass(chunks, terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k) for block in range(blocks)
+    ]
+    return _top(reduce(DataFrame.unionByName, hits), k, [F.col("key").desc(), F.col("doc_id"), F.col("chunk_no")])
+
+
+def _text_pass(chunks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    known = terms.toPandas()
+    names, term_of = np.unique(known["term"].to_numpy(dtype=str), return_inverse=True)
+    query_ids, query_of = np.unique(known["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
+    counted = settle(term_counts(chunks, {t: i for i, t in enumerate(names.tolist())}))
+    n, mean_length = counted.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+    df = np.zeros(len(names))
+    # At most one row a term of the pass.
+    for row in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+        df[row["term"]] = row["count"]
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    # The queries of each term, one after another.
+    by_term = np.argsort(term_of, kind="stable")
+    asking = query_of[by_term]
+    first = np.searchsorted(term_of[by_term], np.arange(len(names) + 1))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = max(1, TILE_SCORES // max(len(query_ids), 1))
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                yield scored(whole.iloc[at : at + rows])
+
+    def scored(batch: pd.DataFrame) -> pd.DataFrame:
+        sizes = batch["terms"].map(len).to_numpy()
+        chunk = np.repeat(np.arange(len(batch)), sizes)
+        term = np.concatenate([*batch["terms"], np.empty(0, np.int64)]).astype(np.int64)
+        tf = np.concatenate([*batch["tfs"], np.empty(0, np.int64)])
+        norm = K1 * (1 - B + B * batch["length"].to_numpy() / mean_length)
+        value = idf[term] * tf * (K1 + 1) / (tf + norm[chunk])
+        times = first[term + 1] - first[term]
+        start = np.repeat(first[term] - np.cumsum(times) + times, times)
+        query = asking[start + np.arange(len(start))]
+        cell = query * len(batch) + np.repeat(chunk, times)
+        size = len(query_ids) * len(batch)
+        score = np.bincount(cell, np.repeat(value, times), minlength=size).reshape(len(query_ids), len(batch))
+        met = np.bincount(cell, minlength=size).reshape(score.shape) > 0
+        key = np.where(met, np.round(score, TEXT_PLACES), -np.inf)
+        by_place = np.lexsort((batch["chunk_no"].to_numpy(), batch["doc_id"].to_numpy()))
+        best = by_place[_highest(key[:, by_place], k)]
+        line = np.repeat(np.arange(len(query_ids)), best.shape[1])
+        best = best.ravel()
+        line, best = line[met[line, best]], best[met[line, best]]
+        return pd.DataFrame(
+            {
+                "query_id": query_ids[line],
+                "doc_id": batch["doc_id"].to_numpy()[best],
+                "chunk_no": batch["chunk_no"].to_numpy()[best],
+                "score": score[line, best],
+            }
         )
-    )
-    tf = F.col("tf")
-    norm = K1 * (1 - B + B * F.col("length") / mean_length)
-    scores = (
-        counts.join(weights, "term")
-        .groupBy("query_id", "doc_id", "chunk_no")
-        .agg(F.sum(F.col("idf") * tf * (K1 + 1) / (tf + norm)).alias("score"))
-        .withColumn("key", F.round("score", TEXT_PLACES))
-    )
-    return _top(scores, k, [F.col("key").desc(), F.col("doc_id"), F.col("chunk_no")])
+
+    hits = counted.mapInPandas(search, "query_id long, doc_id long, chunk_no int, score double")
+    return hits.withColumn("key", F.round("score", TEXT_PLACES))
+
+
+def _highest(keys: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest keys of each line, in order; ties to the left."""
+    if keys.shape[1] > 4 * k:
+        # All columns at or above the k-th key, so that ties at the edge are decided by their order.
+        edge = np.partition(keys, -k, axis=1)[:, -k][:, None]
+        above = keys >= edge
+        width = int(above.sum(axis=1).max(initial=0))
+        columns = np.argsort(~above, axis=1, kind="stable")[:, :width]
+    else:
+        columns = np.broadcast_to(np.arange(keys.shape[1]), keys.shape)
+    order = np.argsort(-np.take_along_axis(keys, columns, axis=1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(columns, order, axis=1)
 
 
 def _top(hits: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -87,73 +155,56 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best vectors of one block for each query: highest rounded cosine, then lowest id."""
-    scores = queries @ vectors.T
-    keys = np.round(scores, VECTOR_PLACES)
-    by_id = np.argsort(vec_ids, kind="stable")
-    order = by_id[np.argsort(-keys[:, by_id], axis=1, kind="stable")[:, :k]]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, order.shape[1]),
-            "vec_id": vec_ids[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        }
-    )
+def _best(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k best vectors of one batch for each query: highest rounded cosine, then lowest id.
 
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_numbers: int = BROADCAST_NUMBERS):
+    Products are taken in tiles of bounded size: some vectors with some queries at a time.
+    """
+    by_id = np.argsort(vec_ids, kind="stable")
+    vec_ids, vectors = vec_ids[by_id], vectors[by_id]
+    columns = min(len(vec_ids), max(1, TILE_SCORES // 1_000)) or 1
+    lines = max(1, TILE_SCORES // columns)
+    for at in range(0, len(query_ids), lines):
+        for start in range(0, len(vec_ids), columns):
+            scores = queries[at : at + lines] @ vectors[start : start + columns].T
+            order = _highest(np.round(scores, VECTOR_PLACES), k)
+            yield pd.DataFrame(
+                {
+                    "query_id": np.repeat(query_ids[at : at + lines], order.shape[1]),
+                    "vec_id": vec_ids[start + order].ravel(),
+                    "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                }
+            )
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, pass_numbers: int = PASS_NUMBERS) -> DataFrame:
     """I2. The k nearest vectors per query by cosine: (vec_id, vector) against (query_id, vector).
 
-    Each block of vectors is compared with the queries by one matrix product and gives at most k rows
-    per query, so no pair table exists. A query set of checked small size goes to every task. A larger
-    one is cut into blocks that are shuffled against blocks of vectors.
+    The vectors stay where they are read: each task compares its batches with the queries by matrix products
+    and gives at most k rows per query and tile. A query set of more than ``pass_numbers`` numbers is
+    cut into blocks of about that size, each searched in a pass of its own, so that what is sent to the
+    tasks is bounded.
     """
-    schema = "query_id long, vec_id long, score double"
-    width = F.coalesce(F.sum(F.size("vector")), F.lit(0))
-    if queries.agg(width.alias("n")).first()["n"] <= max_numbers:
-        known = queries.toPandas()
-        ids = known["query_id"].to_numpy()
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, _unit(known["vector"].tolist()) if len(ids) else None))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if len(batch) and matrix is not None:
-                    yield _best(ids, matrix, batch["vec_id"].to_numpy(), _unit(batch["vector"].tolist()), k)
-
-        hits = vectors.select("vec_id", "vector").mapInPandas(search, schema)
-    else:
-        hits = _blockwise(vectors, queries, k, schema)
-    hits = hits.withColumn("key", F.round("score", VECTOR_PLACES))
-    return _top(hits, k, [F.col("key").desc(), F.col("vec_id")])
-
-
-def _blockwise(vectors: DataFrame, queries: DataFrame, k: int, schema: str) -> DataFrame:
-    def blocks(frame: DataFrame) -> int:
-        return max(1, -(-frame.count() // BLOCK_VECTORS))
-
-    v_blocks, q_blocks = blocks(vectors), blocks(queries)
+    queries = settle(queries.select("query_id", "vector"))
+    numbers = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
+    blocks = max(1, -(-numbers // pass_numbers))
+    hits = []
+    for block in range(blocks):
+        known = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        hits.append(_vector_pass(vectors, known["query_id"].to_numpy(), known["vector"].tolist(), k))
+    found = reduce(DataFrame.unionByName, hits).withColumn("key", F.round("score", VECTOR_PLACES))
+    return _top(found, k, [F.col("key").desc(), F.col("vec_id")])
 
-    def placed(frame: DataFrame, key: str, own: str, mine: int, other: str, others: int) -> DataFrame:
-        # New names on both sides: the query set may be made from the vectors themselves.
-        return frame.select(
-            F.col(key).alias("id"), F.col("vector").alias("value"),
-            F.pmod(F.xxhash64(key), F.lit(mine)).cast("long").alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other),
-        )
 
-    left = placed(vectors, "vec_id", "v_block", v_blocks, "q_block", q_blocks)
-    right = placed(queries, "query_id", "q_block", q_blocks, "v_block", v_blocks)
+def _vector_pass(vectors: DataFrame, ids: np.ndarray, values: list, k: int) -> DataFrame:
+    matrix = _unit(values) if values else None
 
-    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = q["id"].to_numpy(), v["id"].to_numpy()
-        return _best(ids[0], _unit(q["value"].tolist()), ids[1], _unit(v["value"].tolist()), k)
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) and matrix is not None:
+                yield from _best(ids, matrix, batch["vec_id"].to_numpy(), _unit(batch["vector"].tolist()), k)
 
-    cells = ["v_block", "q_block"]
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(search, schema)
+    return vectors.select("vec_id", "vector").mapInPandas(search, "query_id long, vec_id long, score double")
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -170,11 +221,12 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     )
 
 
-def cited(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """I3. Hits with their number, text and source document."""
+def cited(hits: DataFrame, documents: DataFrame, size: int = texts.CHUNK_TOKENS, overlap: int = texts.CHUNK_OVERLAP) -> DataFrame:
+    """I3. Hits with their number, text and source document. Only documents with a hit are cut into chunks."""
+    found = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
-        hits.join(chunks, ["doc_id", "chunk_no"])
-        .join(documents.select("doc_id", "source", "lang"), "doc_id")
+        hits.join(chunk_table(found, size, overlap), ["doc_id", "chunk_no"])
+        .join(found.select("doc_id", "source", "lang"), "doc_id")
         .select(
             "query_id", F.col("rank").alias("citation"), "doc_id", "chunk_no", "source", "lang",
             F.array_join("tokens", " ").alias("fragment"),

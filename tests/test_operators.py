@@ -310,7 +310,7 @@ def test_vector_plans_agree(spark):
     vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "vec_id long, vector array<double>")
     queries = vectors.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), "vector")
     small = rows(retrieval.vector_search(vectors, queries, 4), "query_id", "vec_id", "rank")
-    large = rows(retrieval.vector_search(vectors, queries, 4, max_numbers=0), "query_id", "vec_id", "rank")
+    large = rows(retrieval.vector_search(vectors, queries, 4, pass_numbers=50), "query_id", "vec_id", "rank")
     assert small == large
     assert len(small) == 28
     assert {(q, q, 1) for q in range(7)} <= set(small)
