@@ -87,12 +87,32 @@ def inliers(frame: DataFrame, statistics: DataFrame, group: str = "rooms_normali
 
 
 def group_median(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """E2. Exact median and count per group, for groups whose distinct values fit one task."""
-    return frame.groupBy(group).agg(
+    """E2. Exact median and count of the non-NULL values per group, if their distinct values fit one task."""
+    return frame.where(F.col(value).isNotNull()).groupBy(group).agg(
         F.median(value).alias("median_price_sqm"), F.count(F.lit(1)).alias("objects_count")
     )
 
 
+def exact_median(
+    frame: DataFrame, group: str, value: str, largest_group: int, max_rows: int = MEDIAN_GROUP_ROWS
+) -> DataFrame:
+    """E2. The exact median by the plan for groups of up to ``largest_group`` rows."""
+    if largest_group <= max_rows:
+        return group_median(frame, group, value)
+    return narrowed_median(frame, group, value, max_rows)
+
+
+def inlier_medians(rows: DataFrame, max_rows: int = MEDIAN_GROUP_ROWS, group: str = "rooms_normalized", value: str = "price_sqm"):
+    """E1, D1, E2. Statistics of each group, and median and count of its rows within the bounds.
+
+    A group without such rows has no median and drops out.
+    """
+    statistics = small(group_statistics(rows, group, value))
+    normal = inliers(rows.select(group, value), statistics, group, value)
+    largest = statistics.agg(F.coalesce(F.max("members"), F.lit(0))).first()[0]
+    return statistics, exact_median(normal, group, value, largest, max_rows)
+
+
 def value_bucket(value: Column) -> Column:
     """Range of values, each 1/256 wider than the one before; keeps the order of the values."""
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 256).cast("long")
@@ -171,12 +191,7 @@ def below_market(
     """
     group, value = "rooms_normalized", "price_sqm"
     rows = comparable(listings, **comparable_options)
-    statistics = small(group_statistics(rows, group, value))
-    normal = inliers(rows.select(group, value), statistics, group, value)
-    if statistics.where(F.col("members") > max_median_rows).isEmpty():
-        medians = group_median(normal, group, value)
-    else:
-        medians = narrowed_median(normal, group, value, max_median_rows)
+    statistics, medians = inlier_medians(rows, max_median_rows, group, value)
     # The inner join is the query's own: a group without inliers has no median and drops out.
     facts = small(statistics.drop("members").join(medians, group))
     columns = keep or [

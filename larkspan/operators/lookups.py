@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def strict_lookup(rows: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
-    """D2. Add ``<name>_id`` from the dictionary (name, id); an unknown name fails the job."""
-    pairs = dictionary.select(F.col("name").alias(name), F.col("id").alias("_id"))
+    """D2. Add ``<name>_id`` from the dictionary (name, id); an unknown name fails the job.
+
+    Of several entries of a name the one with the largest id counts, so that rows never multiply.
+    """
+    pairs = dictionary.groupBy(F.col("name").alias(name)).agg(F.max("id").alias("_id"))
     message = F.concat(F.lit(f"unknown {name}: "), F.coalesce(F.col(name), F.lit("NULL")))
     known = F.when(F.col("_id").isNull(), F.raise_error(message)).otherwise(F.col("_id"))
     return rows.join(pairs, name, "left").withColumn(f"{name}_id", known).drop("_id")

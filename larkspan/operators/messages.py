@@ -41,9 +41,14 @@ def merge_logs(new: DataFrame, history: DataFrame, max_group_rows: int = MAX_GRO
     """G1, F4. New and stored lines (chat, date, position) of a chat with their place, newest first.
 
     Lines of one date keep their order, new before stored; lines without a date come last. Repeats stay.
+    A history that has places keeps the order they give.
     """
-    both = new.withColumn("origin", F.lit(0)).unionByName(history.withColumn("origin", F.lit(1)))
+    both = new.withColumn("origin", F.lit(0)).unionByName(history.withColumn("origin", F.lit(1)), True)
     order = [F.col("date").desc_nulls_last(), F.col("origin"), F.col("position")]
+    if "place" in both.columns:
+        both = both.withColumnRenamed("place", "_stored")
+        order.insert(2, F.col("_stored"))
+        return number_rows(settle(both), ["chat"], order, "place", max_group_rows).drop("_stored")
     # Written once, as the numbering first counts the chats.
     return number_rows(settle(both), ["chat"], order, "place", max_group_rows)
 

@@ -22,12 +22,21 @@ def last_per_key(rows: DataFrame, keys: Sequence[str], position: str) -> DataFra
     return first_per_key(rows, keys, [F.col(position).desc()])
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: str, update: Sequence[str]) -> DataFrame:
+def upsert(
+    target: DataFrame, changes: DataFrame, key: str, update: Sequence[str], position: str | None = None
+) -> DataFrame:
     """G2. Insert unknown keys whole; for known keys replace only the columns in ``update``.
 
-    Both sides have one row per key. A table format with MERGE can do this in place; the join works on
-    any of them.
+    ``target`` has one row per key. Of several changes of a key the one with the highest ``position`` counts;
+    without ``position`` a repeated key is an error, as no rule would choose. A table format with MERGE can do
+    this in place; the join works on any of them.
     """
+    if position is not None:
+        changes = last_per_key(changes, [key], position)
+    else:
+        once = F.row_number().over(Window.partitionBy(key).orderBy(key))
+        repeated = F.raise_error(F.concat(F.lit("repeated change of key "), F.col(key).cast("string")))
+        changes = changes.withColumn("_once", once).withColumn(key, F.when(F.col("_once") > 1, repeated).otherwise(F.col(key)))
     t, c = target.alias("t"), changes.alias("c")
     present, known = F.col(f"c.{key}").isNotNull(), F.col(f"t.{key}").isNotNull()
 

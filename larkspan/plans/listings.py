@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import values as V
 from larkspan.operators import listings as L
 from larkspan.operators import state
 from larkspan.operators.lookups import strict_lookup, unknown_names
-from larkspan.operators.skew import number_rows
 from larkspan.plans.catalog import query
 from larkspan.session import load, small, staging_path
 from larkspan.sources import tables
@@ -100,8 +99,7 @@ WHERE (1 - f.price_sqm / m.median_price_sqm) * 100 >= 5.0 OR f.price_sqm < s.low
 )
 def c10_below_market_predicate(spark: SparkSession, d: str) -> DataFrame:
     rows = _comparable(spark, d)
-    statistics = small(L.group_statistics(rows))
-    medians = L.group_median(L.inliers(rows, statistics), "rooms_normalized", "price_sqm")
+    statistics, medians = L.inlier_medians(rows)
     facts = small(statistics.join(medians, "rooms_normalized"))
     joined = rows.join(facts, "rooms_normalized")
     low = L.is_below_market(F.col("price_sqm"), F.col("median_price_sqm"), F.col("lower_bound"))
@@ -141,9 +139,16 @@ def e1_group_statistics(spark: SparkSession, d: str) -> DataFrame:
 SELECT rooms_normalized, round(median_price_sqm, 4) AS median_price_sqm, objects_count FROM medians"""
 )
 def e2_inlier_median(spark: SparkSession, d: str) -> DataFrame:
-    rows = _comparable(spark, d)
-    normal = L.inliers(rows, small(L.group_statistics(rows)))
-    return _rounded(L.group_median(normal, "rooms_normalized", "price_sqm"))
+    return _rounded(L.inlier_medians(_comparable(spark, d))[1])
+
+
+@query(
+    f"""WITH {LISTINGS}, {FILTERED}, {STATISTICS}, {NORMAL}, {MEDIANS}
+SELECT rooms_normalized, round(median_price_sqm, 4) AS median_price_sqm, objects_count FROM medians"""
+)
+def e2_inlier_median_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with groups treated as too large for one task."""
+    return _rounded(L.inlier_medians(_comparable(spark, d), max_rows=100)[1])
 
 
 @query(
@@ -413,5 +418,13 @@ def a12_result_dump(spark: SparkSession, d: str) -> DataFrame:
 )
 def f9_ordered_output(spark: SparkSession, d: str) -> DataFrame:
     """Rows written in id order; the place is the row's position in the written files."""
-    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    return number_rows(orders, [], [F.col("id")], "place").select("place", "id")
+    path = staging_path(spark, "ordered")
+    tables.dump(load(spark, d, "orders").select(F.col("o_orderkey").alias("id")), path)
+    rows = spark.read.parquet(path).select(
+        "id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    # The number of the file is part of its name, so the names order the files as they were written.
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = small(sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return rows.join(offsets, "file").select((F.col("before") + F.col("row") + 1).alias("place"), "id")

@@ -165,7 +165,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT msg_id, log FROM ({ROUTED}) WHERE log IS NOT NULL")
 def h1_live_logs(spark: SparkSession, d: str) -> DataFrame:
-    """The stream writes one folder per chat log; the result is what the folders hold."""
+    """The stream writes the logs as ranges of chat and date; the result is what the files hold."""
     out, debug, marks = (staging_path(spark, name) for name in ("logs", "debug", "logs-checkpoint"))
     T.start_logs(_routable(_stream(spark, d)), out, debug, marks).awaitTermination()
     return T.read_batches(spark, out).select("msg_id", "log")
@@ -191,10 +191,16 @@ def h2_periodic_merge(spark: SparkSession, d: str) -> DataFrame:
         )
 
     out, marks = staging_path(spark, "history"), staging_path(spark, "history-checkpoint")
+    stored = lines(load(spark, d, "events").where("event_type <> 'click'"))
     new = lines(_stream(spark, d).where("event_type = 'click'"))
+    # The stored rest is the first history; the stream's batches come after it.
+    G.merge_logs(stored.limit(0), stored).drop("origin").write.parquet(f"{out}/history/upto=-1")
     T.start_merge(new, out, marks, live=None).awaitTermination()
-    stored = lines(load(spark, d, "events").where("event_type <> 'click'"))
-    return G.merge_logs(T.read_batches(spark, out).drop("batch"), stored)
+    T.fold_history(spark, out, stored.schema)
+    folded = T.read_history(spark, out, stored.schema)
+    is_new = F.col("event_type") == "click"
+    origin = load(spark, d, "events").select(F.col("event_id").alias("position"), (~is_new).cast("int").alias("origin"))
+    return folded.join(origin, "position").select("chat", "position", "date", "origin", "place")
 
 
 @query("SELECT DISTINCT user_id AS chat FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)")

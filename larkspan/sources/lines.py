@@ -19,6 +19,8 @@ def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     Leading commas are dropped. Spark's parser accepts text after the value, so a line counts as JSON
     only if it is exactly one element of an array and one member of an object.
     """
+    # Of a key that is given twice the last value counts; without the setting such a line would be no JSON.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = strip(F.col(column))
     rows = lines.where((text != "") & (text != ",")).select(F.ltrim(F.col(column), F.lit(",")).alias("line"))
     elements = F.expr("cast(try_parse_json(concat('[', line, ']')) as array<variant>)")
@@ -55,6 +57,33 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def lines_after(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """A4. The lines after the first ``skip``, by file and offset, without joining all lines.
+
+    The counts of the splits show in which one the boundary lies. Later splits are kept whole by a filter
+    on file and offset, and only the boundary's own lines are numbered.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    if skip <= 0:
+        return lines.select("value")
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    # One row per split, so one small sort for any input.
+    in_order = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, 0)
+    upto = splits.withColumn("upto", F.sum("n").over(in_order))
+    boundary = upto.where(F.col("upto") > skip).orderBy("file", "start").limit(1).collect()
+    if not boundary:
+        return lines.limit(0).select("value")
+    file, start, first, n, end = boundary[0]
+    place = F.struct("file", "start")
+    inside = (F.col("file") == file) & (F.col("start") == start) & (F.col("row") - first >= skip - (end - n))
+    return lines.where((place > F.struct(F.lit(file), F.lit(start))) | inside).select("value")
+
+
 def links(lines: DataFrame, skip: int = 0) -> DataFrame:
     """A4. Links after the first ``skip`` lines; a skip beyond the end gives no rows."""
     url = strip(F.col("value"))

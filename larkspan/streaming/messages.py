@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspan.functions.chat import role_line
-from larkspan.operators.messages import allowed, routed
+from larkspan.operators.messages import allowed, merge_logs, routed
 
 # Fixed value: time between two merges of new messages into the history.
 MERGE_INTERVAL = "5 minutes"
@@ -64,7 +64,7 @@ def start_logs(stream: DataFrame, path: str, debug: str, checkpoint: str, live:
 def start_merge(
     stream: DataFrame, path: str, checkpoint: str, live: str | None = MERGE_INTERVAL
 ) -> StreamingQuery:
-    """H2. Append what has arrived to the history, once per interval. The order by date is made on read."""
+    """H2. Append what has arrived, once per interval; ``fold_history`` merges it into the sorted history."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
@@ -86,6 +86,53 @@ def start_sender_log(
     return _start(lines, write, checkpoint, live)
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All finished batches of a sink."""
-    return spark.read.parquet(path)
+def _finished(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers of the finished folders ``key=number`` below the path, in order; few, as folding removes them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All finished batches of a sink; with a schema, no rows before the first one."""
+    if schema is not None and not _finished(spark, path, "batch"):
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def _read_all(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """H2. The history with every line's place, newest first: the folded part and the batches after it."""
+    done = max(_finished(spark, f"{path}/history", "upto"), default=None)
+    later = [b for b in _finished(spark, path, "batch") if done is None or b > done]
+    new = _read_all(spark, [batch_path(path, b) for b in later], schema)
+    placed = StructType([*schema, StructField("place", LongType())])
+    folded = _read_all(spark, [] if done is None else [f"{path}/history/upto={done}"], placed)
+    return merge_logs(new, folded) if later else folded
+
+
+def fold_history(spark: SparkSession, path: str, schema: StructType) -> None:
+    """H2. Merge finished batches into one sorted history and remove them.
+
+    The new history is named by its last batch and counts once it is complete, so a lost run leaves the old
+    state, and one that ends before the removal only leaves folders that no reader looks at.
+    """
+    batches = _finished(spark, path, "batch")
+    old = _finished(spark, f"{path}/history", "upto")
+    if not batches or (old and batches[-1] <= old[-1]):
+        return
+    merged = read_history(spark, path, schema).select(*schema.names, "place")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = merged.repartitionByRange(files, "chat", "place").sortWithinPartitions("chat", "place")
+    ordered.write.mode("overwrite").parquet(f"{path}/history/upto={batches[-1]}")
+    for gone in [f"{path}/history/upto={n}" for n in old] + [batch_path(path, b) for b in batches]:
+        _remove(spark, gone)
