@@ -93,6 +93,45 @@ def a1_offer_feed_gzip(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, offer_feed(spark, d, "gzip"), partitions=spark.sparkContext.defaultParallelism)
 
 
+def damaged_feed(spark: SparkSession, d: str) -> str:
+    """The feed with an unclosed element in every seventh offer and a letter in every eleventh id."""
+    whole, damaged = offer_feed(spark, d), staging_path(spark, "damaged")
+    key = F.regexp_extract("value", '<offer internal-id="([0-9]+)"', 1).try_cast("long")
+    value = F.when(key % 7 == 0, F.replace("value", F.lit("</category>"), F.lit(""))).otherwise(F.col("value"))
+    value = F.when(key % 11 == 0, F.replace(value, F.lit('internal-id="'), F.lit('internal-id="x'))).otherwise(value)
+    parts = spark.read.option("lineSep", "</offer>").text(whole)
+    parts.select(value.alias("value")).write.option("lineSep", "</offer>").text(damaged)
+    return damaged
+
+
+@query(
+    """SELECT CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey END AS id, CAST(o_custkey AS VARCHAR) AS agency,
+  o_orderkey % 11 = 0 AS bad_id, false AS malformed FROM orders WHERE o_orderkey % 7 > 0
+UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), o_orderkey % 11 = 0, true FROM orders WHERE o_orderkey % 7 = 0"""
+)
+def a1_damaged_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Offers after a malformed one are read, and it is kept as text."""
+    offers = feeds.read_offers(spark, damaged_feed(spark, d))
+    flat = feeds.flat_offers(offers).select(
+        "id",
+        F.col("sales_agent_agency_id").cast("string").alias("agency"),
+        F.array_contains("rejected_fields", "id").alias("bad_id"),
+        F.lit(False).alias("malformed"),
+    )
+    text = feeds.malformed(offers).select(
+        F.regexp_extract("record", 'internal-id="x?([0-9]+)"', 1).cast("long").alias("id"),
+        F.regexp_extract("record", "<agency-id>([0-9]+)<", 1).alias("agency"),
+        F.contains("record", F.lit('internal-id="x')).alias("bad_id"),
+        F.lit(True).alias("malformed"),
+    )
+    return flat.unionByName(text)
+
+
+@query("SELECT count(*) AS offers FROM orders")
+def a14_damaged_count(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.offer_count(spark, damaged_feed(spark, d))
+
+
 @query(
     """SELECT o_orderkey AS id, 'RUB' AS price_currency, CAST(o_custkey % 30 AS INTEGER) AS location_metro_time_on_foot FROM orders"""
 )
@@ -188,6 +227,19 @@ def a4_link_list(spark: SparkSession, d: str) -> DataFrame:
     return lines.links(lines.numbered_lines(spark, path), skip=40)
 
 
+@query(
+    """WITH l AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'see ' || url ELSE url END AS url, row_number() OVER (ORDER BY page_id) - 1 AS line_no FROM pages)
+SELECT url FROM l WHERE line_no >= 40 AND url LIKE 'http%'"""
+)
+def a4_links_after_skip(spark: SparkSession, d: str) -> DataFrame:
+    """The same links when their numbers are not asked for."""
+    path = staging_path(spark, "links")
+    shown = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("see "), "url")).otherwise(F.concat(F.lit("  "), "url"))
+    load(spark, d, "pages").orderBy("page_id").select(F.concat(shown, F.lit(" ")).alias("value")).write.text(path)
+    found = lines.lines_after(spark, path, 40).withColumn("line_no", F.lit(0))
+    return lines.links(found).select("url")
+
+
 @query("SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def a5_file_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Texts written in one folder per language and listed recursively."""
@@ -198,6 +250,27 @@ def a5_file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(lang.alias("lang")).agg(F.sum("size").alias("bytes"))
 
 
+@query(
+    """SELECT lang, count(*) FILTER (rn = 1) AS full_folders, CAST(sum(CASE WHEN rn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS empty_files
+FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) GROUP BY lang"""
+)
+def a5_empty_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with text and a folder with an empty file for each language; both kinds are listed."""
+    path = staging_path(spark, "texts")
+    docs = load(spark, d, "documents").select("lang", "text")
+    docs.write.partitionBy("lang").text(f"{path}/full")
+    for row in docs.select("lang").distinct().collect():
+        docs.where("false").select("text").coalesce(1).write.text(f"{path}/empty/lang={row['lang']}")
+    found = files.inventory(spark, path, recursive=True, glob="*.txt").withColumn(
+        "lang", F.regexp_extract("path", "lang=([^/]+)/", 1)
+    )
+    folder = F.regexp_extract("path", "/(full|empty)/", 1)
+    per = found.groupBy("lang", folder.alias("folder")).agg(F.count_if(F.col("size") == 0).alias("empty"), F.sum("size").alias("bytes"))
+    return per.groupBy("lang").agg(
+        F.count_if((F.col("folder") == "full") & (F.col("bytes") > 0)).alias("full_folders"), F.sum("empty").alias("empty_files")
+    )
+
+
 @query(
     """SELECT CASE WHEN event_type = 'error' THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
   CASE WHEN event_type = 'error' THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || props || ' | x' END AS line FROM events"""

@@ -23,6 +23,8 @@ FLAGS = [
 ]
 TEXTS = ["type", "property-type", "category", "url", "creation-date", "last-update-date", "bathroom-unit"]
 ID_ATTRIBUTE = "_internal-id"
+# The text of a record that is no well-formed element; every other column of such a row is NULL.
+MALFORMED = "_malformed"
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -32,8 +34,7 @@ def _strings(*names: str) -> list[T.StructField]:
 # Every leaf is read as text; the rules below give it its type.
 OFFER_SCHEMA = T.StructType(
     [
-        T.StructField(ID_ATTRIBUTE, T.LongType()),
-        *_strings(*TEXTS, *LENIENT_INTS[:1], "rooms", "payed-adv", "manually-added", "new-flat"),
+        *_strings(ID_ATTRIBUTE, *TEXTS, *LENIENT_INTS[:1], "rooms", "payed-adv", "manually-added", "new-flat"),
         T.StructField(
             "location",
             T.StructType(
@@ -57,15 +58,14 @@ OFFER_SCHEMA = T.StructType(
 
 COMPLEX_SCHEMA = T.StructType(
     [
-        T.StructField("_id", T.LongType()),
-        *_strings("name", "region", "address"),
+        *_strings("_id", "name", "region", "address"),
         T.StructField(
             "houses",
             T.StructType(
                 [
                     T.StructField(
                         "house",
-                        T.ArrayType(T.StructType([T.StructField("_Id", T.LongType()), *_strings("name", "address")])),
+                        T.ArrayType(T.StructType(_strings("_Id", "name", "address"))),
                     )
                 ]
             ),
@@ -86,19 +86,38 @@ def default_rules(unescape: Callable[[Column], Column] = texts.unescape_html) ->
 
 
 def read_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
-    """Rows of an XML file, plain or gzip. Empty elements give '' so that blank and absent differ."""
-    return (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .option("nullValue", "\0")
-        .option("ignoreSurroundingSpaces", "true")
-        .schema(schema)
-        .load(path)
-    )
+    """Rows of a UTF-8 XML file, plain or gzip. Empty elements give '' so that blank and absent differ.
+
+    The file is cut at the closing tags and again before opening tags, each record parsed by itself: an
+    element that is not well-formed costs no other one, and a plain file is read in splits. Such a record
+    keeps its text in ``_malformed``.
+    """
+    parts = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    records = F.split("value", f"(?s)(?=<{row_tag}[\\s/>])")
+    opened = F.filter(records, lambda r: F.startswith(r, F.lit(f"<{row_tag}")))
+    last = F.size(opened) - 1
+    # Only the last part of a piece stands before a closing tag; an element without content has none.
+    closed = F.transform(opened, lambda r, i: F.when(i == last, F.concat(r, F.lit(f"</{row_tag}>"))).otherwise(r))
+    alone = rf"(?s)^(<{row_tag}(?:\s[^>]*)?/>).*$"
+    record = F.regexp_replace(F.col("record"), alone, "$1")
+    kind = T.StructType([*schema, T.StructField(MALFORMED, T.StringType())])
+    options = {
+        "rowTag": row_tag, "nullValue": "\0", "ignoreSurroundingSpaces": "true", "columnNameOfCorruptRecord": MALFORMED,
+    }
+    parsed = parts.select(F.explode(closed).alias("record")).select(F.from_xml(record, kind, options).alias("row"))
+    return parsed.select("row.*")
+
+
+def malformed(rows: DataFrame) -> DataFrame:
+    """A1, A2. The text of the records that could not be parsed."""
+    return rows.where(F.col(MALFORMED).isNotNull()).select(F.col(MALFORMED).alias("record"))
 
 
 def read_offers(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """A1. One nested row per ``<offer>``. A gzip file is one task: pass ``partitions`` to spread its rows."""
+    """A1. One nested row per ``<offer>``, malformed ones included.
+
+    A gzip file is one task: pass ``partitions`` to spread its rows.
+    """
     offers = read_rows(spark, path, "offer", OFFER_SCHEMA)
     return offers.repartition(partitions) if partitions else offers
 
@@ -114,8 +133,11 @@ def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> Iterator[tuple[
 def flat_offers(offers: DataFrame, rules: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """B8-B11. Flat typed rows: element path joined by ``_``, one rule per leaf name.
 
-    The agent's telephone keeps its text; the yes/no rule for ``phone`` is for the listing's own field.
+    The agent's telephone keeps its text; the yes/no rule for ``phone`` is for the listing's own field. An id
+    that is no number is NULL and listed in ``rejected_fields``; malformed records are left out.
     """
+    if MALFORMED in offers.columns:
+        offers = offers.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
     rules = default_rules() if rules is None else rules
     columns, rejects = [], []
     for path, data_type in _leaves(offers.schema):
@@ -123,7 +145,9 @@ def flat_offers(offers: DataFrame, rules: dict[str, Callable[[Column], Column]]
         name = "_".join(path).replace("-", "_")
         leaf = path[-1]
         if leaf == ID_ATTRIBUTE:
-            columns.append(source.alias("id"))
+            number = source.try_cast("long")
+            columns.append(number.alias("id"))
+            rejects.append(F.when(source.isNotNull() & number.isNull(), F.lit("id")))
         elif leaf == "locality-name":
             columns.append(first_locality(source).alias(name))
         elif path == ("location", "address"):
@@ -158,22 +182,27 @@ def read_complexes(spark: SparkSession, path: str) -> DataFrame:
 
 def complexes(nested: DataFrame) -> DataFrame:
     """A2. Parent rows, with the region's name in its normal spelling."""
-    return nested.select(
-        F.col("_id").alias("id"), V.normal_region(F.col("region")).alias("region"), "name", "address"
+    return _well_formed(nested).select(
+        F.col("_id").try_cast("long").alias("id"), V.normal_region(F.col("region")).alias("region"), "name", "address"
     )
 
 
 def houses(nested: DataFrame) -> DataFrame:
     """A2, D10. Child rows with the id of their complex."""
-    return nested.select(F.col("_id").alias("newobject_id"), F.explode("houses.house").alias("h")).select(
-        "newobject_id", F.col("h._Id").alias("id"), "h.name", "h.address"
+    children = _well_formed(nested).select(
+        F.col("_id").try_cast("long").alias("newobject_id"), F.explode("houses.house").alias("h")
     )
+    return children.select("newobject_id", F.col("h._Id").try_cast("long").alias("id"), "h.name", "h.address")
+
+
+def _well_formed(nested: DataFrame) -> DataFrame:
+    return nested.where(F.col(MALFORMED).isNull()) if MALFORMED in nested.columns else nested
 
 
 def write_offers(offers: DataFrame, path: str, compression: str = "none") -> None:
-    """Nested offers as a feed."""
+    """Nested offers as a feed; malformed records are left out."""
     (
-        offers.write.format("xml")
+        _well_formed(offers).drop(MALFORMED).write.format("xml")
         .option("rowTag", "offer")
         .option("rootTag", "realty-feed")
         .option("compression", compression)
@@ -182,12 +211,13 @@ def write_offers(offers: DataFrame, path: str, compression: str = "none") -> Non
 
 
 def feed_sample(offers: DataFrame, count: int = 100) -> DataFrame:
-    """A13. The first offers by id."""
-    return offers.orderBy(f"`{ID_ATTRIBUTE}`").limit(count)
+    """A13. The first offers by id; those without a numeric id come last, by its text."""
+    identity = F.col(f"`{ID_ATTRIBUTE}`").cast("string")
+    return _well_formed(offers).orderBy(F.asc_nulls_last(identity.try_cast("long")), identity).limit(count)
 
 
 def offer_count(spark: SparkSession, path: str) -> DataFrame:
-    """A14. Number of offers in a feed, by rows and not by byte pattern."""
-    return read_rows(spark, path, "offer", T.StructType([T.StructField(ID_ATTRIBUTE, T.LongType())])).agg(
+    """A14. Number of offers in a feed, malformed ones included."""
+    return read_rows(spark, path, "offer", T.StructType(_strings(ID_ATTRIBUTE))).agg(
         F.count(F.lit(1)).alias("offers")
     )

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import unescape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions import names, texts
+from larkspan.session import settle
 
 # Parts of a word-processing archive, in the order they are tried.
 MAIN_PART = "word/document.xml"
@@ -22,20 +26,50 @@ PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.DOTALL)
 
 
 def inventory(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """A5. Path, name, size and time of files. The content column is not selected, so it is not read.
+    """A5. Path, name, size and time of files, empty ones included. No content is read."""
+    found = _binary(spark, path, recursive, glob).select(
+        "path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime")
+    )
+    return found.unionByName(empty_files(spark, path, recursive, glob)).select(
+        "path", names.basename(F.col("path")).alias("name"), "size", "mtime"
+    )
+
 
-    Spark's file sources leave out empty files.
+def empty_files(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """A5. Path, size 0 and time of the empty files, which Spark's file sources leave out.
+
+    Folders are listed in tasks, one level of the tree at a time; as in Spark, names that begin with a dot or an
+    underscore are hidden. The store must be one that pyarrow reaches.
     """
-    return (
-        _binary(spark, path, recursive, glob)
-        .select("path", "length", "modificationTime")
-        .select(
-            "path",
-            names.basename(F.col("path")).alias("name"),
-            F.col("length").alias("size"),
-            (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
-        )
-    )
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    roots = [(s.getPath().toString(),) for s in store.globStatus(root) or [] if s.isDirectory()]
+    found = spark.createDataFrame([], "path string, size long, mtime double")
+    folders = spark.createDataFrame(roots, "path string")
+    wanted = F.lit(True) if glob is None else names.basename(F.col("path")).rlike(fnmatch.translate(glob))
+    while roots:
+        listed = settle(folders.repartition("path").mapInPandas(_listed, "path string, folder boolean, size long, mtime double"))
+        found = found.unionByName(listed.where(~F.col("folder") & (F.col("size") == 0) & wanted).select("path", "size", "mtime"))
+        folders = listed.where("folder").select("path")
+        if not recursive or folders.isEmpty():
+            break
+    return found
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder."""
+    for batch in batches:
+        for folder in batch["path"]:
+            # Hadoop writes a local path as file:/a, pyarrow wants file:///a.
+            uri = re.sub(r"^([a-z0-9]+):/(?!/)", r"\1:///", folder)
+            store, place = fs.FileSystem.from_uri(uri)
+            rows = [
+                (f"{folder.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, i.mtime_ns / 1e9 if i.mtime_ns else None)
+                for i in store.get_file_info(fs.FileSelector(place))
+                if i.base_name[0] not in "._"
+            ]
+            yield pd.DataFrame(rows, columns=["path", "folder", "size", "mtime"])
 
 
 def contents(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:

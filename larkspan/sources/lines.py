@@ -79,9 +79,9 @@ def lines_after(spark: SparkSession, path: str, skip: int) -> DataFrame:
     if not boundary:
         return lines.limit(0).select("value")
     file, start, first, n, end = boundary[0]
-    place = F.struct("file", "start")
+    later = (F.col("file") > file) | ((F.col("file") == file) & (F.col("start") > start))
     inside = (F.col("file") == file) & (F.col("start") == start) & (F.col("row") - first >= skip - (end - n))
-    return lines.where((place > F.struct(F.lit(file), F.lit(start))) | inside).select("value")
+    return lines.where(later | inside).select("value")
 
 
 def links(lines: DataFrame, skip: int = 0) -> DataFrame:
