@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.skew import MAX_GROUP_ROWS, number_rows
-from larkspan.session import cut, settle
+from larkspan.session import settle
 
 # How far size and time may differ.
 SIZE_PERCENT = 1.0
 TIME_SECONDS = 10
 # Pairs of one size and time are written out in blocks of this many.
 PAIR_BLOCK = 100_000
+# Grids of cells, by whether they are moved by half a cell in time and in size.
+GRIDS = [(0, 0), (1, 0), (0, 1), (1, 1)]
 
 
 def with_second(files: DataFrame) -> DataFrame:
@@ -86,14 +92,65 @@ def nearest(
     )
 
 
+def cell_flows(s: list[tuple], t: list[tuple], percent: float, seconds: int) -> list[tuple]:
+    """Within one cell always the closest remaining pair: (size, sec, t_size, t_sec, qty, s_from, t_from).
+
+    Both sides are keys (size, sec, files used, files left).
+    Closest by time difference, size difference, then the target's and the source's time and size. A source
+    looks up the sizes next to its own at each second from the nearest on. A pair that is no longer free only
+    gives way to a farther one, so the nearest proposals come from a heap.
+    """
+    stock: dict[int, list[int]] = {}
+    for size, sec, _, _ in t:
+        insort(stock.setdefault(sec, []), size)
+    t_state = {(size, sec): [used, left] for size, sec, used, left in t}
+    s_state = {(size, sec): [used, left] for size, sec, used, left in s}
+
+    def best(size: int, sec: int) -> tuple | None:
+        for apart in range(seconds + 1):
+            options = []
+            for at in {sec - apart, sec + apart}:
+                sizes = stock.get(at, [])
+                place = bisect_left(sizes, size)
+                options += [
+                    (apart, abs(z - size), at, z, sec, size)
+                    for z in sizes[max(place - 1, 0) : place + 1]
+                    if abs(z - size) / max(size, 1) * 100 <= percent
+                ]
+            if options:
+                return min(options)
+        return None
+
+    heap = [p for p in (best(*key) for key in s_state) if p]
+    heapify(heap)
+    flows = []
+    while heap:
+        _, _, t_sec, t_size, sec, size = heappop(heap)
+        source, target = s_state[size, sec], t_state[t_size, t_sec]
+        if target[1]:
+            qty = min(source[1], target[1])
+            flows.append((size, sec, t_size, t_sec, qty, source[0], target[0]))
+            for side in (source, target):
+                side[0] += qty
+                side[1] -= qty
+            if not target[1]:
+                stock[t_sec].pop(bisect_left(stock[t_sec], t_size))
+        if source[1] and (again := best(size, sec)):
+            heappush(heap, again)
+    return flows
+
+
 def match_counts(
     sources: DataFrame, targets: DataFrame, percent: float = SIZE_PERCENT, seconds: int = TIME_SECONDS
 ) -> DataFrame:
     """D6, D7. How many files of one (size, sec) go to another, and from which place on.
 
-    All equal keys are matched first. Then, in rounds, each source key proposes its remaining files to
-    its best target key with files left, and a target key serves its proposers from the best on. A
-    round always finishes the closest remaining pair, so the rounds end.
+    All equal keys are matched first. The rest is matched within the cells of four grids, one after another:
+    cells are several windows of time long and several tolerances of size wide, and the grids are moved by half
+    a cell in neither, one or both directions, so any pair within the tolerance shares a cell of some grid.
+    Within a cell the closest remaining pair is always served first; a pair across the edge of a cell comes
+    after those inside. So no free pair is left over, and the passes are four whatever the files. A cell holds
+    distinct keys only, of its seconds and its range of sizes, however many files have them.
     """
     s = settle(sources.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
     t = settle(targets.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
@@ -102,40 +159,44 @@ def match_counts(
         F.least("files", "t_files").alias("qty"), F.lit(0).cast("long").alias("s_from"),
         F.lit(0).cast("long").alias("t_from"), F.lit("exact").alias("kind"),
     )
-    done = [cut(exact)]
+    done = [settle(exact)]
+    length = max(8 * seconds, 1)
+    width = math.log1p(max(8 * percent, 1.0) / 100)
 
-    def remaining(files: DataFrame, size: str, sec: str) -> DataFrame:
+    def remaining(files: DataFrame, size: str, sec: str, grid: tuple[int, int]) -> DataFrame:
         flows = reduce(DataFrame.unionByName, done)
         used = flows.groupBy(F.col(size).alias("size"), F.col(sec).alias("sec")).agg(F.sum("qty").alias("used"))
-        left = files.join(used, ["size", "sec"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
-        return left.where("files > used").select("size", "sec", "used", (F.col("files") - F.col("used")).alias("left"))
-
-    while True:
-        s_left, t_left = remaining(s, "size", "sec"), remaining(t, "t_size", "t_sec")
-        served = Window.partitionBy("t_size", "t_sec").orderBy("dt", "ds", "sec", "size")
-        before = served.rowsBetween(Window.unboundedPreceding, -1)
-        granted = (
-            nearest(s_left, t_left, percent, seconds)
-            .join(s_left, ["size", "sec"])
-            .withColumn("asked", F.coalesce(F.sum("left").over(before), F.lit(0)))
-            .join(
-                t_left.select(
-                    F.col("size").alias("t_size"), F.col("sec").alias("t_sec"), F.col("used").alias("t_used"),
-                    F.col("left").alias("t_left"),
-                ),
-                ["t_size", "t_sec"],
-            )
-            .withColumn("qty", F.least("left", F.col("t_left") - F.col("asked")))
-            .where("qty > 0")
-            .select(
-                "size", "sec", "t_size", "t_sec", "qty", F.col("used").alias("s_from"),
-                (F.col("t_used") + F.col("asked")).alias("t_from"), F.lit("near").alias("kind"),
-            )
+        left = files.join(used, ["size", "sec"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+        log = F.log(F.greatest("size", F.lit(1)).cast("double")) / width
+        return left.where("files > used").select(
+            "size", "sec", "used", (F.col("files") - F.col("used")).alias("left"),
+            F.floor((F.col("sec") + grid[0] * (length // 2)) / F.lit(length)).cast("long").alias("when"),
+            F.floor(log + grid[1] / 2).cast("long").alias("shelf"),
         )
-        granted = cut(granted)
-        if granted.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        done.append(granted)
+
+    schema = "size long, sec long, t_size long, t_sec long, qty long, s_from long, t_from long"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by cell; only the keys of the present cell are held."""
+        now, sides = None, ([], [])
+        for batch in batches:
+            flows = []
+            for *cell, is_target, size, sec, used, left in batch[columns].itertuples(index=False):
+                if cell != now:
+                    flows += cell_flows(*sides, percent, seconds)
+                    now, sides = cell, ([], [])
+                sides[is_target].append((size, sec, used, left))
+            yield pd.DataFrame(flows, columns=names, dtype="int64")
+        yield pd.DataFrame(cell_flows(*sides, percent, seconds), columns=names, dtype="int64")
+
+    columns = ["when", "shelf", "is_target", "size", "sec", "used", "left"]
+    for grid in GRIDS:
+        free_s = remaining(s, "size", "sec", grid).withColumn("is_target", F.lit(0))
+        free_t = remaining(t, "t_size", "t_sec", grid).withColumn("is_target", F.lit(1))
+        both = free_s.unionByName(free_t).repartition("when", "shelf").sortWithinPartitions("when", "shelf")
+        done.append(settle(both.mapInPandas(meet, schema).withColumn("kind", F.lit("near"))))
+    return reduce(DataFrame.unionByName, done)
 
 
 def match_files(

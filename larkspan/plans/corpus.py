@@ -237,10 +237,29 @@ def d7_nearest_target(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d7_tolerance_match(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one pairs, exact ones first. Iterative, so compared with brute force in the tests."""
+    """One-to-one pairs, exact ones first. Sequential within a cell, so compared with brute force in the tests."""
     return M.match_files(*_near_sides(spark, d))
 
 
+@query(
+    """SELECT 's' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS source, 't' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS target,
+  CASE WHEN o_orderkey % 35 = 0 THEN 'exact' ELSE 'near' END AS kind FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 5 < 4"""
+)
+def d7_tolerance_match_apart(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs so far apart that only one matching leaves no free pair: some lie beyond the size, some have no target."""
+    key = F.col("o_orderkey")
+    orders = load(spark, d, "orders").where("o_orderkey > 0")
+
+    def side(rows: DataFrame, prefix: str, size: Column, mtime: Column) -> DataFrame:
+        path = F.concat(F.lit(prefix), F.lpad(key.cast("string"), 12, "0"))
+        return rows.select(path.alias("path"), size.cast("long").alias("size"), mtime.cast("double").alias("mtime"))
+
+    # Each order has its own 100 seconds; the size differs by 0, 0.3, 0.6, 0.9 or 1.2 percent.
+    sources = side(orders, "s", F.lit(1000), key * 100)
+    targets = side(orders.where("o_orderkey % 11 > 0"), "t", F.lit(1000) + key % 5 * 3, key * 100 + key % 7)
+    return M.match_files(sources, targets)
+
+
 def _taken(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "source"), "doc_id")
     number = (F.col("doc_id") % 9).cast("string")

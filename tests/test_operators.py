@@ -1,6 +1,7 @@
 """Operators with state, ranks, matching and naming: fixtures, invariants and brute force."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -229,12 +230,53 @@ def test_matching(spark, seed):
     free_t = [k for i, k in enumerate(targets) if f"t{i:03}" not in {r["target"] for r in got}]
     for a, b in itertools.product(free_s, free_t):
         assert not (abs(a[1] - b[1]) <= 10 and abs(a[0] - b[0]) / max(a[0], 1) * 100 <= 1.0)
-    # The closest pair of the second phase is among the results.
-    open_pairs = [p for p in pairs if left[(p[5], p[4])] and right[(p[3], p[2])]]
-    if open_pairs:
-        best = min(open_pairs)
-        keys = {(sources[int(r["source"][1:])], targets[int(r["target"][1:])]) for r in got if r["kind"] == "near"}
-        assert ((best[5], best[4]), (best[3], best[2])) in keys
+    flows = {}
+    for r in got:
+        key = sources[int(r["source"][1:])], targets[int(r["target"][1:])]
+        flows[key] = flows.get(key, 0) + 1
+    assert flows == by_cells(sources, targets)
+
+
+def by_cells(sources, targets, percent=1.0, seconds=10):
+    """Exact pairs, then the closest remaining one of each cell, grid by grid, from the list of all pairs."""
+    flows, pairs, left, right, move = brute_force(sources, targets, percent, seconds)
+
+    def cell(key, grid):
+        log = math.log(max(key[0], 1)) / math.log1p(8 * percent / 100)
+        return (key[1] + grid[0] * 4 * seconds) // (8 * seconds), math.floor(log + grid[1] / 2)
+
+    for grid in M.GRIDS:
+        for _, _, t_sec, t_size, sec, size in sorted(pairs):
+            if cell((size, sec), grid) == cell((t_size, t_sec), grid):
+                move((size, sec), (t_size, t_sec))
+    return flows
+
+
+def near_files(spark, keys, prefix):
+    return spark.createDataFrame([(f"{prefix}{i:04}", z, float(c)) for i, (z, c) in enumerate(keys)], "path string, size long, mtime double")
+
+
+@pytest.mark.parametrize("count", [8, 200])
+def test_one_sided_clusters_take_the_same_passes(spark, count):
+    sources, targets = [(100_000 + i, 40) for i in range(count)], [(100_300 + i, 41) for i in range(count)]
+    settled = []
+    original = M.settle
+    M.settle = lambda frame: settled.append(1) or original(frame)
+    try:
+        got = M.match_files(near_files(spark, sources, "s"), near_files(spark, targets, "t")).collect()
+    finally:
+        M.settle = original
+    assert len(got) == count
+    assert len(settled) == 2 + 2 + 1 + len(M.GRIDS)
+
+
+def test_growing_gaps_are_served_closest_first(spark):
+    sources = [(10_000, 0), (10_025, 0), (10_055, 0), (10_090, 0)]
+    targets = [(10_010, 0), (10_040, 0), (10_072, 0), (10_099, 0)]
+    flows = by_cells(sources, targets)
+    got = M.match_files(near_files(spark, sources, "s"), near_files(spark, targets, "t")).collect()
+    assert {(sources[int(r["source"][1:])], targets[int(r["target"][1:])]): 1 for r in got} == flows
+    assert flows == {(s, t): 1 for s, t in zip(sources, targets, strict=True)}
 
 
 def test_nearest_equals_brute_force(spark):
