@@ -107,7 +107,7 @@ def b6_unit_normalise(spark: SparkSession, d: str) -> DataFrame:
   '&amp;?', '&', 'g')) AS md5 FROM pages"""
 )
 def b7_html_unescape(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "pages").select("page_id", F.md5(X.unescape_html("html")).alias("md5"))
+    return load(spark, d, "pages").select("page_id", F.md5(X.unescape_html(F.col("html"))).alias("md5"))
 
 
 @query(
@@ -256,6 +256,32 @@ def b18_attachment_name(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT page_id, CAST(n AS BIGINT) AS n, page_id * 10 + n AS id, 'https://ads.example/sale/flat/' || (page_id * 10 + n) || '/?from=list' AS link,
+  url AS title, md5('Room ' || n || chr(10) || url) AS description, CASE WHEN n = 1 THEN 'a.jpg ' || page_id || '.jpg' ELSE '' END AS photos
+FROM pages, (VALUES (0), (1)) v(n)"""
+)
+def b33_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Two cards around each page's own markup, one of them without a gallery."""
+
+    def card(n: int) -> Column:
+        number = (F.col("page_id") * 10 + n).cast("string")
+        photos = F.concat(F.lit("<div data-name='Gallery'><ul><li><img src='a.jpg'></li><li><img alt='x' src='"), "page_id", F.lit(".jpg'></li></ul></div>"))
+        return F.concat(
+            F.lit("<article class='c' data-name='CardComponent'><div data-name='LinkArea'><a class='l' href='https://ads.example/sale/flat/"), number,
+            F.lit("/?from=list'>more</a></div><span data-mark='OfferTitle' class='t'> <span>"), F.col("url"),
+            F.lit(f"</span></span><div data-name='Description'><p class='d'>Room {n}\n"), F.col("url"), F.lit("</p></div>"),
+            photos if n else F.lit(""), F.lit("</article>"),
+        )
+
+    page = F.concat(card(0), F.replace("html", F.lit("</html>"), F.lit("<article data-name='Other'></article>")), card(1))
+    found = load(spark, d, "pages").select("page_id", F.posexplode(P.cards(page)).alias("n", "c"))
+    return found.select(
+        "page_id", F.col("n").cast("long").alias("n"), "c.id", "c.link", "c.title", F.md5("c.description").alias("description"),
+        F.array_join("c.photos", " ").alias("photos"),
+    )
+
+
 @query(
     """SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, strlen(text) AS size FROM documents"""
 )
@@ -267,9 +293,15 @@ def b20_checksums(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS fold),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS b FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(fold[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc32
+FROM bytes, t"""
+)
 def b20_crc32(spark: SparkSession, d: str) -> DataFrame:
-    """DuckDB has no crc32."""
+    """The SQL folds the bytes by a table that it derives from the polynomial."""
     return load(spark, d, "documents").select("doc_id", X.checksums(F.col("text"))["crc32"].alias("crc32"))
 
 
