@@ -58,10 +58,11 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = F.array_sort(
         F.transform(F.concat("plain", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
+    count = lambda kind: F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long")
     found = pii.identifiers(load(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
-        *[F.size(F.filter("plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(joined(F.col("plain")), 256).alias("base_sha256"),
         joined(everything).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

@@ -1,5 +1,6 @@
 """Plain identifiers against the patterns as they stand, disguised ones with their source offsets."""
 
+import hashlib
 import re
 
 import pytest
@@ -95,3 +96,17 @@ def test_frames(spark):
     texts = {r["doc_id"]: r["text"] for r in masked.collect()}
     assert texts[1] is None and texts[3] == "mail <EMAIL> now" and texts[None].startswith("<EMAIL> w ") and texts[None].endswith(" <PHONE>")
     assert pii.identifiers(docs.limit(0)).count() == 0
+
+
+def test_query_gives_the_spans_of_the_patterns(spark, sf):
+    from larkspan.llm import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = QUERIES["op2_pii_spans"](spark, sf).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        wanted = by_pattern(texts[r["doc_id"]])
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in wanted)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in wanted) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert r["spans"] == joined and r["n_added"] == 0
