@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,11 +21,12 @@ from pyspark.sql import functions as F
 from larkspan.llm.common import pick, row_key
 
 # Labelled documents of either class that the fit uses at most.
-SAMPLE_PER_CLASS = 2_000
-FEATURE_BITS = 18
+SAMPLE_PER_CLASS = 1_500
+FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
-# What a word or beginning needs to label tokens: evidence (likelihood ratio statistic) and share of toxic use.
-LEAST_EVIDENCE, LEAST_SHARE, LEAST_DOCS = 19.0, 0.95, 4
+# What a word or beginning needs to label tokens: evidence (likelihood ratio statistic), share of toxic use,
+# and toxic documents that have it, by number and by part of all.
+LEAST_EVIDENCE, LEAST_SHARE, LEAST_DOCS, LEAST_PART = 11.0, 0.95, 4, 0.003
 SEGMENT = 64
 STEPS = 80
 MEMO_WORDS = 400_000
@@ -111,22 +111,32 @@ def chain(moves: np.ndarray, drives: np.ndarray, lengths: np.ndarray) -> tuple[n
     return marginal, total
 
 
-def _telling(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features whose documents are toxic far more often than by chance."""
-    counts = (Counter(), Counter())
-    for words, label in zip(docs, toxic, strict=True):
-        counts[int(label)].update({f for w in set(words) for f in features(w) if f[0] != "s"})
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    out = set()
-    for feature, a in counts[1].items():
-        b = counts[0][feature]
-        if a < LEAST_DOCS or a / n1 < LEAST_SHARE * (a / n1 + b / n0):
-            continue
-        expected = (a + b) * n1 / (n1 + n0)
-        evidence = 2 * (a * np.log(a / expected) + (b * np.log(b / ((a + b) - expected)) if b else 0))
-        if evidence >= LEAST_EVIDENCE:
-            out.add(feature)
-    return out
+def _telling(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Slots that tell toxic documents from clean ones; ``docs``: the slots of each, once.
+
+    The slot with the most evidence is taken, then the best one among the toxic documents that it leaves
+    unexplained, and so on. So the other words of toxic near copies tell nothing.
+    """
+
+    def counted(some: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([np.empty(0, np.int64), *some]), minlength=1 << FEATURE_BITS).astype(float)
+
+    clean = counted([d for d, y in zip(docs, toxic, strict=True) if not y])
+    left = [d for d, y in zip(docs, toxic, strict=True) if y]
+    n1, n0 = float(len(left)), float(len(docs) - len(left))
+    found = []
+    while left:
+        a = counted(left)
+        expected = (a + clean) * n1 / (n1 + n0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = a * np.log(a / expected) + np.where(clean > 0, clean * np.log(clean / (a + clean - expected)), 0)
+            share = (a / n1) / (a / n1 + clean / n0)
+        fits = (a >= max(LEAST_DOCS, LEAST_PART * n1)) & (share >= LEAST_SHARE) & (2 * evidence >= LEAST_EVIDENCE)
+        if not fits.any():
+            break
+        found.append(int(np.argmax(np.where(fits, evidence, 0))))
+        left = [d for d in left if found[-1] not in d]
+    return np.array(found, np.int64)
 
 
 def fit(texts: list[str], toxic: list[bool], clean_weight: float = 1.0) -> Model:
@@ -134,28 +144,29 @@ def fit(texts: list[str], toxic: list[bool], clean_weight: float = 1.0) -> Model
 
     ``clean_weight``: clean documents that each clean one of the sample stands for, by toxic ones likewise.
     """
+    # Copies of a text are no further evidence.
+    first = dict(zip(reversed(texts), reversed(toxic), strict=True))
+    texts, toxic = list(first), list(first.values())
     label = np.asarray(toxic, dtype=bool)
     if label.all() or not label.any():
         return Model(np.zeros(1), np.zeros((2, 2)), np.zeros(3), (float(label.sum()) + 0.5) / (len(label) + 2))
-    docs = [TOKEN.findall(t or "") for t in texts]
-    telling = _telling(docs, label)
-    slots, known, rows, tags, lengths = _slots(FEATURE_BITS), {}, [], [], []
-    for words, is_toxic in zip(docs, label, strict=True):
-        for i in range(0, len(words), SEGMENT):
-            part = words[i : i + SEGMENT]
-            for word in part:
-                if word not in known:
-                    known[word] = (len(known), not telling.isdisjoint(features(word)))
-                number, marked = known[word]
-                rows.append(number)
-                tags.append(marked and is_toxic)
-            lengths.append(len(part))
-    table = [slots(w) for w in known]
+    # Each word is held once, whatever its count; tokens are its number.
+    numbers: dict[str, int] = {}
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in TOKEN.findall(t or "")], np.int64) for t in texts]
+    table = [np.array(s, np.int64) for s in map(_slots(FEATURE_BITS), numbers)]
+    # The last slot of a word is that of its ending, which alone tells too little.
+    several = [np.unique(np.concatenate([np.empty(0, np.int64), *(table[w][:-1] for w in np.unique(d))])) for d in docs]
+    telling = set(_telling(several, label).tolist())
+    marked = np.array([not telling.isdisjoint(s[:-1].tolist()) for s in table], bool)
+    parts = [(d[i : i + SEGMENT], y) for d, y in zip(docs, label, strict=True) for i in range(0, len(d), SEGMENT)]
+    rows = np.concatenate([np.empty(0, np.int64), *(d for d, _ in parts)])
+    tags = np.concatenate([np.empty(0, bool), *(marked[d] & y for d, y in parts)])
+    lengths = [len(d) for d, _ in parts]
     # Words by feature slot, as two flat arrays; a token's drive is that of its word.
     owner = np.repeat(np.arange(len(table)), [len(s) for s in table])
     slot = np.fromiter((x for s in table for x in s), dtype=np.int64, count=len(owner))
     used, slot = np.unique(slot, return_inverse=True)
-    word, tag, size = np.array(rows, np.int64), np.array(tags, np.float64), np.array(lengths, np.int64)
+    word, tag, size = rows, tags.astype(np.float64), np.array(lengths, np.int64)
     follows = np.ones(len(word), dtype=bool)
     follows[np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)] = False
     after = np.flatnonzero(follows)
@@ -181,7 +192,12 @@ def fit(texts: list[str], toxic: list[bool], clean_weight: float = 1.0) -> Model
     full = np.zeros((1 << FEATURE_BITS) + 1, np.float32)
     full[used], full[-1] = weights[:-1], weights[-1]
     model = Model(full, moves, np.zeros(3))
-    summary = np.array([s for s, _ in _summaries(docs, model)])
+    # Texts of like length run together, as a step costs as much for few as for many.
+    order = np.argsort([len(d) for d in docs], kind="stable")
+    summary = np.empty((len(texts), 2))
+    for at in range(0, len(order), 200):
+        some = order[at : at + 200]
+        summary[some] = [s for s, _ in _summaries([TOKEN.findall(texts[i] or "") for i in some], model)]
     model.document = _logistic(summary, label.astype(float), np.where(label, 1.0, clean_weight))
     return model
 
