@@ -38,6 +38,12 @@ HEADLINE = [
     "h2_periodic_merge",
     "i1_text_search",
     "i2_vector_search",
+    "i3_cited_sources",
+    "d7_tolerance_match",
+    "e2_narrowed_median",
+    "a1_offer_feed",
+    "b31_document_text",
+    "h1_live_logs",
 ]
 
 

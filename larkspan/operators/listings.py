@@ -87,8 +87,11 @@ def inliers(frame: DataFrame, statistics: DataFrame, group: str = "rooms_normali
 
 
 def group_median(frame: DataFrame, group: str, value: str) -> DataFrame:
-    """E2. Exact median and count of the non-NULL values per group, if their distinct values fit one task."""
-    return frame.where(F.col(value).isNotNull()).groupBy(group).agg(
+    """E2. Exact median and count of the non-NULL values per group, if their distinct values fit one task.
+
+    Rows without a group are left out, as by ``narrowed_median``.
+    """
+    return frame.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(
         F.median(value).alias("median_price_sqm"), F.count(F.lit(1)).alias("objects_count")
     )
 
@@ -132,7 +135,8 @@ def narrowed_median(
     a percent of the input. If a bucket still has more than ``max_rows`` rows and several values, it is
     counted again by equal parts of its true range, until the middle row can be read off.
     """
-    rows = frame.select(group, F.col(value).alias("v"), F.lit(1).cast("long").alias("w")).where("v IS NOT NULL")
+    rows = frame.select(group, F.col(value).alias("v"), F.lit(1).cast("long").alias("w"))
+    rows = rows.where(F.col("v").isNotNull() & F.col(group).isNotNull())
     n, pos, below = F.col("n"), F.col("pos"), F.col("below")
     is_open = (F.col("within") > max_rows) & (F.col("lo") < F.col("hi"))
 

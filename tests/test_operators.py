@@ -14,6 +14,7 @@ from larkspan.operators import matching as M
 from larkspan.operators import messages as G
 from larkspan.operators import registry as R
 from larkspan.operators import retrieval, skew, state
+from larkspan.operators.lookups import strict_lookup
 
 LISTING = (
     "id long, url string, type string, rooms int, renovation string, sales_agent_organization string, "
@@ -67,6 +68,26 @@ def test_below_market_plans_agree(spark, seed):
     assert len(plain) > 100
 
 
+def test_medians_agree_on_nulls(spark):
+    data = [(1, 1.0), (1, None), (2, None), (None, 3.0), (3, 2.0), (3, 5.0)]
+    frame = spark.createDataFrame(data, "g int, v double")
+    columns = ["g", "median_price_sqm", "objects_count"]
+    plain = rows(L.group_median(frame, "g", "v"), *columns)
+    assert plain == [(1, 1.0, 1), (3, 3.5, 2)]
+    assert rows(L.narrowed_median(frame, "g", "v", max_rows=1), *columns) == plain
+
+
+def test_repeated_names_and_changes(spark):
+    dictionary = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "name string, id int")
+    frame = spark.createDataFrame([("a",), ("b",)], "region string")
+    assert rows(strict_lookup(frame, dictionary, "region")) == [("a", 2), ("b", 3)]
+    target = spark.createDataFrame([(1, "old")], "id int, d string")
+    twice = spark.createDataFrame([(1, "first", 1), (1, "last", 2)], "id int, d string, at int")
+    assert rows(state.upsert(target, twice, "id", ["d"], "at")) == [(1, "last")]
+    with pytest.raises(Exception, match="repeated change of key 1"):
+        state.upsert(target, twice, "id", ["d"]).collect()
+
+
 def test_skewed_numbering_equals_the_window(spark):
     data = [(None if i % 3 else f"k{i % 50}", (i * 7919) % 10007 + 0.5, i) for i in range(3000)]
     frame = spark.createDataFrame(data, "k string, v double, i long").repartition(7)

@@ -2,6 +2,7 @@
 
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from larkspan.operators.messages import merge_logs, routed
 from larkspan.streaming import messages as T
@@ -77,3 +78,21 @@ def test_optional_deduplication(spark, tmp_path):
     stream = T.once_per_message(T.message_stream(spark, source, _messages(spark).schema))
     T.start_merge(stream, out, marks, live=None).awaitTermination()
     assert rows(T.read_batches(spark, out), "msg_id") == sorted([(i,) for i in range(15)], key=repr)
+
+
+def test_history_is_folded(spark, tmp_path):
+    path = str(tmp_path / "history")
+    schema = types.StructType([types.StructField(n, k) for n, k in (("chat", types.LongType()), ("date", types.StringType()), ("position", types.LongType()))])
+    assert T.read_history(spark, path, schema).count() == 0
+    assert T.read_batches(spark, path, schema).count() == 0
+    T.fold_history(spark, path, schema)
+    parts = [[(1, "d1", 1), (1, "d2", 2), (None, "d1", 3)], [(1, "d1", 4), (1, None, 5)], [(1, "d2", 6), (None, "d9", 7)]]
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).write.parquet(T.batch_path(path, number))
+        before = rows(T.read_history(spark, path, schema), "chat", "position", "place")
+        T.fold_history(spark, path, schema)
+        assert rows(T.read_history(spark, path, schema), "chat", "position", "place") == before
+        assert T._finished(spark, path, "batch") == [] and T._finished(spark, f"{path}/history", "upto") == [number]
+    places = {(c, p): n for c, p, n in before}
+    assert [p for (c, p), n in sorted(places.items(), key=lambda x: x[1]) if c == 1] == [6, 2, 4, 1, 5]
+    assert [p for (c, p), n in sorted(places.items(), key=lambda x: x[1]) if c is None] == [7, 3]
