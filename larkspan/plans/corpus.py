@@ -60,6 +60,25 @@ def f5_duplicate_keeper_salted(spark: SparkSession, d: str) -> DataFrame:
     return K.duplicate_plan(K.with_duplicate_key(_copies(spark, d)), max_group_rows=2)
 
 
+@query(
+    f"""WITH {COPIES},
+keepers AS (SELECT path, CASE WHEN name LIKE 'R%' THEN 'Report' ELSE 'report' END AS base,
+  row_number() OVER (PARTITION BY name LIKE 'R%' ORDER BY path) AS n FROM ranked WHERE members > 1 AND rn = 1)
+SELECT r.path, r.name, CASE WHEN rn = 1 THEN 'keep' ELSE 'duplicate' END AS action, CASE
+  WHEN rn = 1 AND base = 'Report' THEN 'Report(' || n || ').txt'
+  WHEN rn = 1 AND n = 1 THEN 'report.txt'
+  WHEN rn = 1 THEN 'report(' || (n - 1 + CAST(n > 2 AS INTEGER)) || ').txt'
+  WHEN CAST(r.path AS BIGINT) % 2 = 0 THEN replace(r.name, '.txt', '(1).txt') ELSE r.name END AS new_name, keeper_path
+FROM ranked r LEFT JOIN keepers k ON k.path = r.path WHERE members > 1"""
+)
+def f5_named_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The plan with free names: some are taken in the texts' folder, every second file was moved before."""
+    copies = _copies(spark, d)
+    folder = spark.createDataFrame([("Report.txt",), ("report(2).txt",)], "name string")
+    moved = copies.where(F.col("path").cast("long") % 2 == 0).select("name")
+    return K.named_duplicate_plan(K.duplicate_plan(K.with_duplicate_key(copies)), folder, moved)
+
+
 @query(f"WITH {COPIES} SELECT CASE WHEN rn = 1 THEN 'keep' ELSE 'duplicate' END AS action, count(*) AS files FROM ranked "
        "WHERE members > 1 GROUP BY 1")
 def e12_action_totals(spark: SparkSession, d: str) -> DataFrame:
