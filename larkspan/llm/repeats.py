@@ -231,7 +231,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_blocks: int = MAX_
     cores = anchors.groupBy("core").agg(
         F.count(F.lit(1)).alias("n"), (F.min("block") < F.max("block")).alias("mixed")
     )
-    again = settle(anchors.join(cores.where("n > 1").drop("n"), "core"))
+    # Written, so that the join deals its sides out anew and a core of very many anchors can be split.
+    again = settle(anchors.join(settle(cores.where("n > 1").drop("n")), "core"))
     span = ["id", "row_key", F.col("low").alias("start"), (F.col("high") + length).alias("end")]
     spans = again.where("NOT mixed").select(*span)
     mixed = again.where("mixed").drop("mixed")
