@@ -7,6 +7,8 @@ document of any length is one cheap Arrow cell.
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import pick
 
-# Entries of a worker's memo of words; when it is full it starts anew, so results never depend on it.
+# Entries of a worker's memo; results never depend on it.
 MEMO_WORDS = 250_000
 NONE = 1 << 62
 
@@ -52,32 +54,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         tree[node] = left if left < right else right
     after = list(range(1, n + 1))  # where the part that begins here ends, and the next one begins
     before = list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        node = width + i
-        while node and tree[node] != value:
-            tree[node] = value
-            node >>= 1
-            if node:
-                left, right = tree[2 * node], tree[2 * node + 1]
-                value = left if left < right else right
-
-    def pair(i: int, end: int) -> int:
-        rank = get(piece[i : after[end]]) if end < n else None
-        return NONE if rank is None else rank * width + i
-
     while tree[1] != NONE:
         i = tree[1] % width
         gone = after[i]
-        end = after[gone]
-        after[i] = end
+        end = after[i] = after[gone]
+        renewed = [(gone, NONE)]
+        rank = None
         if end < n:
             before[end] = i
-        put(gone, NONE)
-        put(i, pair(i, end))
+            rank = get(piece[i : after[end]])
+        renewed.append((i, NONE if rank is None else rank * width + i))
         left = before[i]
         if left >= 0:
-            put(left, pair(left, i))
+            rank = get(piece[left:end])
+            renewed.append((left, NONE if rank is None else rank * width + left))
+        for node, value in renewed:
+            node += width
+            while node and tree[node] != value:
+                tree[node] = value
+                # The other child of the parent decides with this one.
+                other = tree[node ^ 1]
+                node >>= 1
+                if other < value:
+                    value = other
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -92,40 +91,56 @@ def encoder(ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS)
     where the pattern always begins a new match; what lies between is remembered with its ids.
     """
     matches = regex.compile(pattern).findall
-    cut = regex.compile(r" (?=\S)").split
-    memo: dict[str, bytes] = {}
-    pieces: dict[str, bytes] = {}
+    cut = re.compile(r" (?=\S)").split
+    words, pieces = Memo(memo_words), Memo(memo_words)
 
     def packed(word: str) -> bytes:
         out = []
         for piece in matches(word):
             ids = pieces.get(piece)
             if ids is None:
-                if len(pieces) >= memo_words:
-                    pieces.clear()
-                ids = b"".join(i.to_bytes(4, "little") for i in merge(piece.encode(), ranks))
-                if len(piece) < 64:
-                    pieces[piece] = ids
+                found = merge(piece.encode(), ranks)
+                ids = pieces.put(piece, struct.pack(f"<{len(found)}I", *found))
             out.append(ids)
         return b"".join(out)
 
     def encode(text: str) -> bytes:
         first, *rest = cut(text)
         out = [packed(first)]
+        get = words.young.get
         for word in rest:
-            ids = memo.get(word)
+            ids = get(word)
             if ids is None:
-                if len(memo) >= memo_words:
-                    memo.clear()
-                ids = packed(" " + word)
-                if len(word) < 64:
-                    memo[word] = ids
+                ids = words.get(word)
+                if ids is None:
+                    ids = words.put(word, packed(" " + word))
+                get = words.young.get
             out.append(ids)
         return b"".join(out)
 
     return encode
 
 
+class Memo:
+    """What was found for short strings. When the young half is full the old half goes; what is used again stays."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = max(size // 2, 1), {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(key) < 64:
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
 @cache
 def _shared_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     return encoder(load_ranks(path), pattern)
