@@ -23,7 +23,6 @@ from larkspan.session import settle
 SEED = 42
 # Distinct fingerprints of a bucket that one task compares.
 MAX_BUCKET = 20_000
-ANCHORS = 500
 HASHES_AT_ONCE = 200_000
 ROWS_AT_ONCE = 60_000
 PLANES_AT_ONCE = 32
@@ -281,7 +280,7 @@ def links_between(nodes: DataFrame, tables: list[list[int]], radius: int, exact:
     Buckets above ``max_bucket`` are not compared in one task. With ``exact`` (64 bits, radius 2) their
     fingerprints are linked through the 65 values at most one bit away: two fingerprints are within two
     bits just when they share such a value, and no value is shared by more than 65. Without, such a bucket
-    is cut into parts that share some hundred of its rows, so that parts of one cluster still meet.
+    is cut into parts, and every two parts are compared in a task of their own, so that no pair is left out.
     """
     keyed = _bucketed(nodes, tables)
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > max_bucket)
@@ -293,11 +292,11 @@ def links_between(nodes: DataFrame, tables: list[list[int]], radius: int, exact:
         large = keyed.join(hot, "bucket", "left_semi").select("node", "fingerprint").distinct()
         keyed = keyed.join(hot, "bucket", "left_anti").withColumn("part", F.lit(0))
     else:
-        parts = F.ceil(F.col("members") / F.lit(max_bucket)).cast("int")
-        draw = F.xxhash64("node")
-        anchor = F.pmod(draw, F.ceil(F.col("members") / F.lit(ANCHORS))) == 0
-        chosen = F.when(F.col("members").isNull(), F.array(F.lit(0))).when(anchor, F.sequence(F.lit(0), parts - 1))
-        chosen = chosen.otherwise(F.array(F.pmod(F.hash("node"), parts).cast("int")))
+        # Part i and part j meet in task i * parts + j, i <= j; parts of half the bound make a task of the bound.
+        parts = F.ceil(2 * F.col("members") / F.lit(max_bucket)).cast("long")
+        own = F.pmod(F.xxhash64("node", "bucket"), parts)
+        met = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: F.least(i, own) * parts + F.greatest(i, own))
+        chosen = F.when(F.col("members").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met)
         keyed = keyed.join(hot, "bucket", "left").withColumn("part", F.explode(chosen)).drop("members")
     compared = (
         keyed.select("bucket", "part", "node", "fingerprint")

@@ -131,3 +131,15 @@ def test_wide_fingerprints_find_similar_texts(spark, max_bucket):
     for group in range(6):
         assert len({groups[1000 + group * 10 + c] for c in range(4)}) == 1
     assert all(groups[5000 + i] == 5000 + i for i in range(40))
+
+
+def test_lone_near_copies_in_a_hot_bucket(spark):
+    rng = random.Random(6)
+    prints = []
+    for _ in range(150):
+        # All share the first 16 bits; each two that follow each other differ in one.
+        one = rng.getrandbits(240)
+        prints += [one, one ^ 1 << rng.randrange(240)]
+    nodes = spark.createDataFrame([(i, bytearray(p.to_bytes(32, "big"))) for i, p in enumerate(prints)], "node long, fingerprint binary")
+    links = simhash.links_between(nodes, [list(range(16))], 40, False, 20).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links} == {(i, i + 1) for i in range(0, 300, 2)}
