@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
+from larkspan.llm import bestfit, bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +187,12 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         "refers_to",
     )
+
+
+@query()
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens and their places in as few sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bestfit.pieces(load(spark, sf_dir, "documents"), path)
+    narrow = found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return bestfit.pack(narrow)
