@@ -9,7 +9,6 @@ capacity. Every piece then finds its bin by its number among the pieces of its l
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -123,12 +122,7 @@ class Slots:
 
 @cache
 def _memo(path: str) -> words.Memo:
-    # A task has one core.
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return words.Memo(lambda chunks: [e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False)])
+    return words.Memo(words.chunk_encoder(path))
 
 
 def pieces(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit, bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
+from larkspan.llm import alignment, bestfit, bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,23 @@ def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bestfit.pieces(load(spark, sf_dir, "documents"), path)
     narrow = found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return bestfit.pack(narrow)
+
+
+@query()
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned, with corpus-wide counts of the pairs that end together."""
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.index(load(spark, sf_dir, "documents"), a, b)
+    # A document without tokens has no groups to hash.
+    digest = F.when(F.col("n_links") > 0, F.sha2(F.col("groups"), 256)).otherwise(F.when(F.col("pair").isNull(), F.lit("")))
+    found = settle(found.withColumn("groups", digest))
+    return alignment.scored(found, alignment.pieces_of(b)).select(
+        F.col("id").alias("doc_id"),
+        "n_a",
+        "n_b",
+        F.col("n_links").alias("n_groups"),
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.col("groups").alias("groups_sha256"),
+    )

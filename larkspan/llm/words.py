@@ -6,17 +6,115 @@ the worker has not met lately reach the tokenizer.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import re
 from collections.abc import Callable, Iterator, Sequence
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 # Text of the documents that are worked on at once, unless one document has more.
 BLOCK_BYTES = 4 << 20
 # Chunks that a worker remembers; results never depend on it.
-MEMO_CHUNKS = 200_000
+MEMO_CHUNKS = 300_000
+
+
+def load_tokenizer(path: str) -> Tokenizer:
+    """A tokenizer of the library of that name for use in a task.
+
+    A task has one core. The library's own memo of words is left out: when it is full, asking it costs a
+    multiple of the encoding.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer, models
+
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    if model.pop("type") == "BPE":
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+        options = {k: v for k, v in model.items() if v is not None}
+        tokenizer.model = models.BPE(merges=merges, cache_capacity=0, **options)
+    return tokenizer
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: printable bytes stand for themselves, others from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+# Characters whose composed and lower-case forms do not depend on their neighbours.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+
+
+def chunk_encoder(path: str, memo: int = MEMO_CHUNKS) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of each chunk, without special tokens added.
+
+    Where the file says that a text is composed, lower-cased and cut by a pattern into byte-level pieces, chunks
+    of plain letters are cut so here and only new pieces reach the model; everything else goes through the tokenizer.
+    """
+    tokenizer = load_tokenizer(path)
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+
+    def whole(chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def steps(key: str, inner: str) -> list[dict]:
+        return (form[key] or {}).get(inner, [])
+
+    cut = steps("pre_tokenizer", "pretokenizers")
+    if (
+        [n["type"] for n in steps("normalizer", "normalizers")] != ["NFC", "Replace", "Lowercase"]
+        or steps("normalizer", "normalizers")[1] != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        or [c["type"] for c in cut] != ["Split", "ByteLevel"]
+        or (cut[0]["behavior"], cut[0]["invert"]) != ("Removed", True)
+        or cut[1]["add_prefix_space"]
+        or cut[1]["use_regex"]
+    ):
+        return whole
+    find, added = regex.compile(cut[0]["pattern"]["Regex"]).findall, [t["content"] for t in form["added_tokens"]]
+    letters, model, known = byte_letters(), tokenizer.model, {}
+
+    def piece_ids(piece: str) -> list[int]:
+        if len(known) >= memo:
+            known.clear()
+        spelled = piece if piece.isascii() else "".join(map(letters.__getitem__, piece.encode()))
+        ids = known[piece] = [t.id for t in model.tokenize(spelled)]
+        return ids
+
+    def encode(chunks: list[str]) -> list[list[int]]:
+        out, odd = [], []
+        for i, chunk in enumerate(chunks):
+            if not _PLAIN(chunk) or any(a in chunk for a in added):
+                odd.append(i)
+                out.append([])
+                continue
+            pieces = find(chunk.lower())
+            if len(pieces) == 1:
+                ids = known.get(pieces[0])
+                out.append(piece_ids(pieces[0]) if ids is None else ids)
+                continue
+            ids = []
+            for piece in pieces:
+                found = known.get(piece)
+                ids += piece_ids(piece) if found is None else found
+            out.append(ids)
+        for i, ids in zip(odd, whole([chunks[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    return encode
 
 
 class Chunks(NamedTuple):
@@ -27,11 +125,11 @@ class Chunks(NamedTuple):
     ends: np.ndarray
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of whole documents of some ``limit`` bytes with their first row; NULL becomes the empty text."""
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of whole documents of some ``limit`` bytes and at most ``rows`` rows with their first row; NULL becomes ''."""
     texts = pc.fill_null(texts, "")
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    number = (np.cumsum(size) - size) // limit
+    number = np.maximum((np.cumsum(size) - size) // limit, 0) * len(texts) + np.arange(len(texts)) // rows
     starts = np.flatnonzero(np.diff(number, prepend=-1))
     for start, end in zip(starts, [*starts[1:], len(texts)], strict=True):
         yield int(start), texts.slice(start, end - start)
@@ -61,24 +159,26 @@ def sums(sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Memo:
     """What an encoder gave for the chunks met lately: rows of numbers, laid end to end."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = MEMO_CHUNKS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = MEMO_CHUNKS, dtype: type = np.uint32):
+        self.encode, self.limit, self.dtype = encode, limit, dtype
         self._renew()
 
     def _renew(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
+        self.ids = np.empty(0, self.dtype)
         self.starts = self.sizes = np.empty(0, np.int64)
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """The row of each chunk. Rows of an earlier call may be gone."""
-        if len(self.place) + len(chunks) > self.limit:
-            self._renew()
         place = self.place
-        if fresh := [c for c in chunks if c not in place]:
+        fresh = [c for c in chunks if c not in place]
+        if place and fresh and len(place) + len(fresh) > self.limit:
+            self._renew()
+            place, fresh = self.place, chunks
+        if fresh:
             found = self.encode(fresh)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.concatenate([np.empty(0, np.uint32), *[np.asarray(f, np.uint32) for f in found if len(f)]])
+            ids = np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(sizes.sum()))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.ids = np.concatenate([self.ids, ids])
