@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ def pieces(
     """The tokens of every document and ``end_id``, cut after each ``capacity`` ids.
 
     One row per piece: id, piece (from 0), start (ids of the document before it), length, ids (binary, unsigned
-    little-endian 32-bit integers). The tokenizer file lies on every node; it must match nothing across a space
-    and give spaces no ids. Strings of special tokens get their ids, but none are added. A NULL or empty text has
+    little-endian 32-bit integers). The tokenizer file lies on every node; it must match nothing across white space
+    and give white space no ids. Strings of special tokens get their ids, but none are added. A NULL or empty text has
     just ``end_id``. Texts are encoded whole; repeated rows and NULL ids stay; further columns are ignored; an
     empty table gives no rows. No shuffle.
     """
@@ -142,7 +143,7 @@ def pieces(
         memo = _memo(path)
         for batch in batches:
             for first, texts in words.blocks(batch.column("text")):
-                ids, begin = memo.encoded(words.split(texts))
+                ids, begin = memo.encoded(words.split(pc.replace_substring(texts, "\n", " ")))
                 ids = np.insert(ids, begin[1:], end_id)
                 begin = begin + np.arange(len(begin))
                 count = -(-np.diff(begin) // capacity)

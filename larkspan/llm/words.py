@@ -24,7 +24,7 @@ if TYPE_CHECKING:
 # Text of the documents that are worked on at once, unless one document has more.
 BLOCK_BYTES = 4 << 20
 # Chunks that a worker remembers; results never depend on it.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 500_000
 
 
 def load_tokenizer(path: str) -> Tokenizer:
@@ -83,7 +83,10 @@ def chunk_encoder(path: str, memo: int = MEMO_CHUNKS) -> Callable[[list[str]], l
         or cut[1]["use_regex"]
     ):
         return whole
-    find, added = regex.compile(cut[0]["pattern"]["Regex"]).findall, [t["content"] for t in form["added_tokens"]]
+    # Lower-case letters and digits among the plain characters.
+    pattern = cut[0]["pattern"]["Regex"].replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+    find = (regex if "\\p" in pattern else re).compile(pattern).findall
+    added = [t["content"] for t in form["added_tokens"]]
     letters, model, known = byte_letters(), tokenizer.model, {}
 
     def piece_ids(piece: str) -> list[int]:
