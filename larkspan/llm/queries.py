@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import alignment, bestfit, bpe, exact, knn, packing, pii, repeats, sharding, simhash, toxicity, warc
+from larkspan.llm import alignment, bestfit, bpe, exact, knn, packing, periodic, pii, repeats, sharding, simhash, toxicity, warc
 from larkspan.session import load, settle, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,46 @@ def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "count_sum",
         F.col("groups").alias("groups_sha256"),
     )
+
+
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """The words of each tenth text, by the checksum of its id, repeat from one of them on; other texts stay. A NULL id counts as no tenth."""
+    checksum = F.crc32(doc_id.cast("string"))
+    drawn = F.floor(checksum / 10)
+
+    def rewritten(listed: Column) -> Column:
+        n = F.size(listed).cast("long")
+        first = drawn % n
+        period = 1 + F.floor((n - first) / (3 + drawn % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        moved = F.transform(places, lambda i: F.get(listed, F.when(i < first, i).otherwise(first + (i - first) % period).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise("")
+
+    listed = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    # As an element of an array the words are split once.
+    return F.when(checksum % 10 == 0, F.get(F.transform(F.array(listed), rewritten), 0)).otherwise(text)
+
+
+@query()
+def op11_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, the strongest of them, and the text without the repeats."""
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text"))
+
+    def stronger(x: Column, y: Column) -> Column:
+        repeats_x, repeats_y = x["length"] * y["period"], y["length"] * x["period"]
+        by_place = F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise((x["period"] - y["period"]).cast("int"))
+        return F.when(repeats_x > repeats_y, -1).when(repeats_x < repeats_y, 1).otherwise(by_place)
+
+    found = periodic.periodic_runs(docs).withColumn("best", F.get(F.array_sort("runs", stronger), 0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
