@@ -13,14 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import exact, nearcopies, packing, pii, toxicity
+from larkspan.llm import exact, packing, pii, simhash, toxicity
 from larkspan.llm.common import keep_rows
 from larkspan.session import load, settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# Near copies share 0.8 or more of their runs of so many words.
-NEAR_WORDS = 5
+# Near copies have fingerprints of shingles of so many words that differ in at most so many bits.
+SHINGLE_WORDS = 3
+RADIUS = 2
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id goes on."""
-    found = nearcopies.groups(docs, NEAR_WORDS)
+    """Of each component of linked fingerprints the document with the smallest id goes on."""
+    found = simhash.clusters(docs, words=SHINGLE_WORDS, radius=RADIUS)
     order = F.struct(F.col("id").isNull(), "id", "row_key")
     return keep_rows(docs, found.groupBy("cluster").agg(F.min_by("row_key", order).alias("row_key")))
 
