@@ -33,11 +33,6 @@ BLOCK_BYTES = 8 << 20
 SPACE = "▁"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
-_CUT = re.compile(r"(?<=\S) (?=\S)").split
-# White space by Unicode, for a pattern engine whose own class has only that of ASCII.
-_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_NOT_SINGLE = rf"^{_WHITE}|{_WHITE}$|{_WHITE} | {_WHITE}"
-
 _INDEX = (
     "block long, place int, id long, n_a long, n_b long, n_links long, groups string, "
     "pair long, docs binary, planes array<binary>"
@@ -115,15 +110,6 @@ def pieces_of(path_b: str) -> int:
     return SentencePieceProcessor(model_file=path_b).get_piece_size()
 
 
-def chunks_of(texts: pa.Array) -> words.Chunks:
-    """Chunks of each text: cut at single spaces between characters other than white space."""
-    odd = pc.match_substring_regex(texts, _NOT_SINGLE)
-    if not pc.any(odd).as_py():
-        return words.split(texts)
-    parts = [_CUT(text) if o else text.split(" ") for text, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
-    return words.split(texts, pa.array(parts, pa.list_(pa.string())))
-
-
 def bitmaps(slot: np.ndarray, place: np.ndarray, slots: int) -> pa.Array:
     """One compressed bitmap per slot, of its places; rows lie by slot, then place."""
     counts = np.bincount(slot, minlength=slots)
@@ -240,7 +226,7 @@ def index(
         aligner, block = _aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, texts in words.blocks(batch.column("text"), block_bytes, BLOCK_DOCS):
-                found = chunks_of(texts)
+                found = words.chunks_of(texts)
                 rows = aligner.places(found.chunks)[found.places]
                 counts = np.stack([words.sums(c, found.ends) for c in aligner.table()[rows].T], axis=1)
                 good = (counts[:, 2] == 0) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)

@@ -7,20 +7,21 @@ document of any length is one cheap Arrow cell.
 from __future__ import annotations
 
 import base64
-import re
-import struct
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm import words
 from larkspan.llm.common import pick
 
-# Entries of a worker's memo; results never depend on it.
-MEMO_WORDS = 250_000
+# Chunks and pieces that a worker remembers; results never depend on them.
+MEMO_CHUNKS = 300_000
+MEMO_PIECES = 200_000
 NONE = 1 << 62
 
 
@@ -84,66 +85,52 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def encoder(ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS) -> Callable[[str], bytes]:
-    """A function from a text to its packed ids.
+def chunk_encoder(ranks: dict[bytes, int], pattern: str, memo: int = MEMO_PIECES) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of each chunk of a text: each match of the pattern by itself. Pieces met lately are remembered."""
+    matches, known = regex.compile(pattern).findall, {}
 
-    The text is first cut before every single space that stands before a character other than white space,
-    where the pattern always begins a new match; what lies between is remembered with its ids.
-    """
-    matches = regex.compile(pattern).findall
-    cut = re.compile(r" (?=\S)").split
-    words, pieces = Memo(memo_words), Memo(memo_words)
+    def ids_of(piece: str) -> list[int]:
+        if len(known) >= memo:
+            known.clear()
+        ids = merge(piece.encode(), ranks)
+        if len(piece) < 64:
+            known[piece] = ids
+        return ids
 
-    def packed(word: str) -> bytes:
+    def encode(chunks: list[str]) -> list[list[int]]:
         out = []
-        for piece in matches(word):
-            ids = pieces.get(piece)
-            if ids is None:
-                found = merge(piece.encode(), ranks)
-                ids = pieces.put(piece, struct.pack(f"<{len(found)}I", *found))
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(text: str) -> bytes:
-        first, *rest = cut(text)
-        out = [packed(first)]
-        get = words.young.get
-        for word in rest:
-            ids = get(word)
-            if ids is None:
-                ids = words.get(word)
-                if ids is None:
-                    ids = words.put(word, packed(" " + word))
-                get = words.young.get
+        for chunk in chunks:
+            ids = []
+            for piece in matches(chunk):
+                found = known.get(piece)
+                ids += ids_of(piece) if found is None else found
             out.append(ids)
-        return b"".join(out)
+        return out
 
     return encode
 
 
-class Memo:
-    """What was found for short strings. When the young half is full the old half goes; what is used again stays."""
+def encoder(ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_CHUNKS) -> Callable[[str], bytes]:
+    """A function from a text to its packed ids."""
+    memo = words.Memo(chunk_encoder(ranks, pattern, memo_words), memo_words)
+    return lambda text: memo.encoded(words.spaced(words.chunks_of(pa.array([text]))))[0].astype("<u4").tobytes()
 
-    def __init__(self, size: int):
-        self.half, self.young, self.old = max(size // 2, 1), {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(key) < 64:
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
-        return value
+@cache
+def _shared_memo(path: str, pattern: str) -> words.Memo:
+    return words.Memo(chunk_encoder(load_ranks(path), pattern), MEMO_CHUNKS)
 
 
 @cache
-def _shared_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    return encoder(load_ranks(path), pattern)
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens by rank, and where each begins and how many it has; unknown ranks have -1."""
+    ranks = load_ranks(path)
+    table = np.full((max(ranks.values(), default=-1) + 1, 2), -1)
+    at = 0
+    for token, rank in ranks.items():
+        table[rank] = at, len(token)
+        at += len(token)
+    return np.frombuffer(b"".join(ranks), np.uint8), table[:, 0], table[:, 1]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,25 +141,39 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = _shared_encoder(path, pattern)
+        memo = _shared_memo(path, pattern)
         for batch in batches:
-            ids = [to_ids(t) if t else b"" for t in batch.column("text").to_pylist()]
-            yield pa.record_batch(
-                [batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["id", "n_tokens", "ids"],
-            )
+            for first, texts in words.blocks(batch.column("text")):
+                # The pattern begins a new match before a single space that stands before a character.
+                ids, begin = memo.encoded(words.spaced(words.chunks_of(texts)))
+                columns = [
+                    batch.column("id").slice(first, len(texts)),
+                    pa.array(np.diff(begin)),
+                    words.packed(ids, begin).cast(pa.binary()),
+                ]
+                yield pa.record_batch(columns, names=["id", "n_tokens", "ids"])
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
     return rows.mapInArrow(run, "id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add ``decoded``, the bytes of the tokens in ``ids``; NULL ids give no bytes, an unknown id is an error."""
+    """Add ``decoded``, the bytes of the tokens in ``ids``; NULL ids give no bytes, an unknown id is an error.
+
+    Further columns go along, but for one named ``decoded``.
+    """
+    schema = encoded.drop("decoded").schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in load_ranks(path).items()}.__getitem__
+        data, starts, sizes = _token_bytes(path)
         for batch in batches:
-            texts = [b"".join(map(token, memoryview(ids).cast("I"))) if ids else b"" for ids in batch.column("ids").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, f"id long, n_tokens long, ids binary, decoded binary")
+            packed = batch.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(p for p in packed if p), "<u4")
+            if len(ids) and (int(ids.max()) >= len(starts) or (starts[ids] < 0).any()):
+                raise ValueError("an id is not in the rank file")
+            # Some documents at a time, as all bytes of a batch need not fit one array.
+            ends = np.cumsum([0, *[len(p or b"") // 4 for p in packed]])
+            texts = [words.gathered(data, starts[own], sizes[own]).tobytes() for own in np.split(ids, ends[1:-1])] if packed else []
+            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+
+    return encoded.drop("decoded").mapInArrow(run, schema)

@@ -53,6 +53,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
+# White space by Unicode, for a pattern engine whose own class has only that of ASCII.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NOT_SINGLE = rf"^{_WHITE}|{_WHITE}$|{_WHITE} | {_WHITE}"
+
 # Characters whose composed and lower-case forms do not depend on their neighbours.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
 
@@ -147,6 +152,26 @@ def split(texts: pa.Array, parts: pa.ListArray | None = None) -> Chunks:
     return Chunks(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0])
 
 
+def chunks_of(texts: pa.Array) -> Chunks:
+    """Chunks of each text: cut at single spaces between characters other than white space."""
+    odd = pc.match_substring_regex(texts, _NOT_SINGLE)
+    if not pc.any(odd).as_py():
+        return split(texts)
+    parts = [_CUT(text) if o else text.split(" ") for text, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+    return split(texts, pa.array(parts, pa.list_(pa.string())))
+
+
+def spaced(found: Chunks) -> Chunks:
+    """The chunks with the space before them, but for the first of each document."""
+    n = len(found.chunks)
+    places = found.places + n
+    places[found.ends[:-1]] -= n
+    used = np.zeros(2 * n, bool)
+    used[places] = True
+    chunks = [found.chunks[i] if i < n else " " + found.chunks[i - n] for i in np.flatnonzero(used).tolist()]
+    return Chunks(chunks, (np.cumsum(used) - 1)[places], found.ends)
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[s : s + n] for every start and size, one after another."""
     before = np.cumsum(sizes) - sizes
