@@ -90,7 +90,11 @@ def registry_rows(
     # One row per URL before the join, so that a URL that fills the dump is no hot key in it. Forcing
     # loads a known file again, but a known URL never gets a second row.
     fresh = first_per_key(links.where("is_valid"), ["link"], [F.col("display_name").asc_nulls_last()])
-    fresh = unknown_links(fresh, registry)
+    return new_rows(unknown_links(fresh, registry), run_at, source_id)
+
+
+def new_rows(fresh: DataFrame, run_at: Column, source_id: int = 1) -> DataFrame:
+    """B18. Registry rows of links that are new."""
     name = names.attachment_name(F.col("link"), F.col("display_name"), run_at)
     return fresh.select(
         F.lit(source_id).cast("int").alias("source_id"),
@@ -170,14 +174,18 @@ def outcome(downloaded: Column, extracted: Column, files: Column) -> Column:
     )
 
 
-def update_status(sources: DataFrame, results: DataFrame, run_at: Column) -> DataFrame:
-    """G4. Sources with the time and status of this run; sources without a result are unchanged."""
-    changes = results.select(
+def status_changes(results: DataFrame, run_at: Column) -> DataFrame:
+    """G4. Time and status of this run for each source with a result."""
+    return results.select(
         "id",
         run_at.alias("last_update"),
         outcome(F.col("downloaded"), F.col("extracted"), F.col("files")).alias("update_status"),
     )
-    known = changes.join(sources.select("id"), "id", "left_semi")
+
+
+def update_status(sources: DataFrame, results: DataFrame, run_at: Column) -> DataFrame:
+    """G4. Sources with the time and status of this run; sources without a result are unchanged."""
+    known = status_changes(results, run_at).join(sources.select("id"), "id", "left_semi")
     return upsert(sources, known, "id", ["last_update", "update_status"])
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import values as V
 from larkspan.operators import listings as L
-from larkspan.operators import state
+from larkspan.operators import keyed, state
 from larkspan.operators.lookups import strict_lookup, unknown_names
 from larkspan.plans.catalog import query
-from larkspan.session import load, small, staging_path
+from larkspan.session import load, settle, small, staging_path
 from larkspan.sources import tables
 
 EXCLUDED = "7"
@@ -365,6 +365,21 @@ def g2_upsert(spark: SparkSession, d: str) -> DataFrame:
     return state.upsert(_target(spark, d), _changes(spark, d), "id", L.UPDATED_BY_SCRAPE)
 
 
+@query(
+    f"""WITH {CHANGES}, {TARGET} SELECT coalesce(t.id, c.id) AS id, coalesce(c.last_update_date, t.last_update_date) AS last_update_date,
+  coalesce(c.price_value, t.price_value) AS price_value, coalesce(c.price_currency, t.price_currency) AS price_currency,
+  coalesce(c.rooms, t.rooms) AS rooms, coalesce(c.description, t.description) AS description,
+  coalesce(t.url, c.url) AS url FROM target t FULL JOIN changes c ON t.id = c.id"""
+)
+def g2_upsert_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a stored table, in two changes of some of its buckets each."""
+    path, changes = staging_path(spark, "listings"), settle(_changes(spark, d))
+    keyed.create(_target(spark, d), path, "id", buckets=16)
+    for part in (0, 1):
+        keyed.upsert(spark, path, changes.where(F.col("id") % 2 == part), L.UPDATED_BY_SCRAPE)
+    return keyed.read(spark, path)
+
+
 @query(f"WITH {CHANGES} SELECT id, price_value, rooms, url FROM changes")
 def g5_first_per_id(spark: SparkSession, d: str) -> DataFrame:
     return _changes(spark, d).select("id", "price_value", "rooms", "url")

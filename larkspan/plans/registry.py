@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspan.operators import registry as R
 from larkspan.operators.corpus import known_files
-from larkspan.operators import retrieval, state
+from larkspan.operators import keyed, known, retrieval, state
 from larkspan.plans.catalog import query
 from larkspan.plans.scalars import RUN_AT, _run_at
-from larkspan.session import load
+from larkspan.session import load, settle, staging_path
 from larkspan.sources import lines as S
 
 
@@ -111,6 +111,43 @@ def g3_insert_absent(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _stored_registry(spark: SparkSession, d: str) -> known.Registry:
+    """The known URLs stored in two loads."""
+    rows = known_registry(spark, d).distinct()
+    early = F.length("url") % 2 == 0
+    stored = known.create(rows.where(early), staging_path(spark, "registry"))
+    known.add(stored, rows.where(~early))
+    return stored
+
+
+@query(f"WITH {LINKS} SELECT url AS link FROM links WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.url = links.url)")
+def d3_unknown_links_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same against a registry that lies in buckets with a sketch."""
+    items = S.parse_json_lines(dump_lines(spark, d))
+    links = settle(R.attachment_rows(R.categorised(items)).where("is_valid"))
+    return known.unknown_links(links, _stored_registry(spark, d)).select("link")
+
+
+@query(
+    f"""WITH {LINKS}, new AS (SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT url FROM known))
+SELECT url, CAST(NULL AS VARCHAR) AS original_file_name FROM known GROUP BY url
+UNION ALL SELECT url, '20240506_070809_' || (SELECT min(display_name) FROM links l WHERE l.url = new.url)
+  || coalesce(nullif(regexp_extract(split_part(url, '/', -1), '(?s)^\\.*[^.].*(\\.[^.]*)$', 1), ''), '.pdf')
+    .regexp_replace('[\\\\/*?:"<>|]', '_', 'g') FROM new"""
+)
+def g3_insert_into_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The whole stored registry after a dump was loaded into it twice."""
+    items = S.parse_json_lines(dump_lines(spark, d))
+    links = settle(R.attachment_rows(R.categorised(items)).where("is_valid"))
+    rows = known_registry(spark, d).distinct().withColumn("original_file_name", F.lit(None).cast("string"))
+    stored = known.create(rows, staging_path(spark, "registry"))
+    for _ in range(2):
+        fresh = state.first_per_key(links, ["link"], [F.col("display_name").asc_nulls_last()])
+        fresh = R.new_rows(known.unknown_links(fresh, stored), _run_at())
+        known.add(stored, fresh.select("url", "original_file_name"))
+    return known.open_registry(spark, stored.path).rows().select("url", "original_file_name")
+
+
 @query(
     f"""WITH {LINKS}, per_shape AS (SELECT page_id % 8 AS s, count(*) AS n FROM pages GROUP BY 1),
 new AS (SELECT count(DISTINCT url) AS n FROM links WHERE url NOT IN (SELECT url FROM known))
@@ -155,6 +192,26 @@ def g4_status_update(spark: SparkSession, d: str) -> DataFrame:
     return R.update_status(_sources(spark, d), results, F.lit("2024-05-06"))
 
 
+@query(
+    """SELECT CAST(s_suppkey + 3 AS INTEGER) AS id, s_name AS url,
+  CASE WHEN s_nationkey > 3 THEN '2024-05-06' ELSE 'never' END AS last_update,
+  CASE WHEN s_nationkey <= 3 THEN NULL WHEN s_acctbal < 1000 THEN 'download_failed' WHEN s_nationkey = 9 THEN 'extraction_failed'
+    WHEN s_nationkey = 4 THEN 'empty_archive' ELSE 'success' END AS update_status FROM supplier"""
+)
+def g4_status_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a stored table, of which only buckets with a result are written anew."""
+    path = staging_path(spark, "sources")
+    keyed.create(_sources(spark, d), path, "id", buckets=8)
+    results = load(spark, d, "supplier").where("s_nationkey > 3").select(
+        (F.col("s_suppkey") + 3).cast("int").alias("id"), (F.col("s_acctbal") >= 1000).alias("downloaded"),
+        (F.col("s_nationkey") != 9).alias("extracted"), (F.col("s_nationkey") - 4).alias("files"),
+    )
+    # A result of a source that is not there changes nothing.
+    stray = results.limit(1).withColumn("id", F.lit(-1))
+    keyed.update_status(spark, path, results.unionByName(stray), F.lit("2024-05-06"))
+    return keyed.read(spark, path)
+
+
 @query(
     """SELECT event_id AS path, event_id % 4 <> 3 AS reload FROM events WHERE event_id % 4 <> 2
 UNION ALL SELECT event_id, floor(epoch(ts) + 1.4) - floor(epoch(ts)) >= 2 FROM events WHERE event_id % 4 = 2"""
