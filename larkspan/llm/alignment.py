@@ -9,6 +9,7 @@ the postings to the documents.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -28,7 +29,9 @@ from larkspan.session import settle
 BLOCK_DOCS = 4096
 BITMAP_BYTES = BLOCK_DOCS // 8
 DENSE = BITMAP_BYTES // 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+# Chunks that a worker remembers, with their groups as text.
+MEMO_CHUNKS = 250_000
 # The mark of a space in the pieces of the second tokenizer, and its pieces of a single byte.
 SPACE = "▁"
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -46,61 +49,92 @@ class Aligner(words.Memo):
     across its borders, and both end a token there.
     """
 
-    def __init__(self, path_a: str, path_b: str, limit: int = words.MEMO_CHUNKS):
+    def __init__(self, path_a: str, path_b: str, limit: int = MEMO_CHUNKS):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-        self.a, self.b = words.load_tokenizer(path_a), SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.a, self.b = words.chunk_encoder(path_a, special=False), SentencePieceProcessor(model_file=path_b)
         letters = {letter: byte for byte, letter in words.byte_letters().items()}
-        entries = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(letters[c] for c in entry) for entry, i in entries.items()}
+        entries = Tokenizer.from_file(path_a).get_vocab(with_added_tokens=False)
+        bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            bytes_a[i] = bytes(letters[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError("pieces that go on after a word cannot be aligned chunk by chunk")
-        self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
+        bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.size_b = len(pieces)
-        if (len(entries) + 1) * self.size_b * BLOCK_DOCS >= 1 << 62:
+        if len(bytes_a) * self.size_b * BLOCK_DOCS >= 1 << 62:
             raise ValueError("the vocabularies are too large for pairs of 64 bits")
+        self.sides = [_Tokens(bytes_a), _Tokens(bytes_b)]
         super().__init__(self._pairs, limit, np.int64)
 
     def _renew(self) -> None:
         super()._renew()
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, bool]] = []
-
-    def _pairs(self, chunks: list[str]) -> list[list[int]]:
-        """The linked pairs of each chunk; its groups, numbers of tokens and whether both have its bytes are kept."""
-        out = []
-        first = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        second = self.b.encode(chunks, num_threads=1)
-        for chunk, a, b in zip(chunks, (e.ids for e in first), second, strict=True):
-            bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            same = b"".join(bytes_a) == b"".join(bytes_b) == b" " + chunk.encode()
-            pairs, groups = [], []
-            if same:
-                i = j = from_i = from_j = end_a = end_b = 0
-                while i < len(a):
-                    # The side that is behind goes on; no token is empty.
-                    if end_a <= end_b:
-                        end_a += len(bytes_a[i])
-                        i += 1
-                    while end_b < end_a:
-                        end_b += len(bytes_b[j])
-                        j += 1
-                    if end_a == end_b:
-                        groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                        pairs.append(a[i - 1] * self.size_b + b[j - 1])
-                        from_i, from_j = i, j
-            out.append(pairs)
-            self.groups.append(";".join(groups))
-            self.counts.append((len(a), len(b), same))
-        return out
-
-    def table(self) -> np.ndarray:
-        """Rows of tokens of the first, of the second, and 1 if the bytes differ, one for each chunk remembered."""
-        table = np.array(self.counts, np.int64).reshape(-1, 3)
-        table[:, 2] = 1 - table[:, 2]
-        return table
+        self.counts = np.empty((0, 3), np.int64)
+
+    def _pairs(self, chunks: list[str]) -> list[np.ndarray]:
+        """The linked pairs of each chunk. Its groups and its row of ``counts`` are kept: tokens of both sides, 1 if bytes differ."""
+        texts = [f" {c}" for c in chunks]
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, many, length = [], [], []
+        for listed, side in zip((self.a(texts), self.b.encode(chunks, num_threads=1)), self.sides, strict=True):
+            many.append(np.fromiter(map(len, listed), np.int64, len(listed)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(listed), np.int64, int(many[-1].sum())))
+            owner = np.repeat(np.arange(len(raw)), many[-1])
+            length.append(np.bincount(owner, side.sizes[ids[-1]], len(raw)).astype(np.int64))
+        fits = (length[0] == size) & (length[1] == size)
+        same = fits.copy()
+        # Of the chunks with the right lengths all bytes are laid end to end and compared.
+        joined = np.frombuffer(b"".join([r for r, s in zip(raw, fits, strict=True) if s]), np.uint8)
+        place = np.repeat(np.flatnonzero(fits), size[fits])
+        for k, side in enumerate(self.sides):
+            kept = ids[k][np.repeat(fits, many[k])]
+            wrong = place[words.gathered(side.data, side.starts[kept], side.sizes[kept]) != joined]
+            same[wrong] = False
+        pairs, per_chunk = self._link([i[np.repeat(same, m)] for i, m in zip(ids, many, strict=True)], [np.where(same, m, 0) for m in many])
+        self.counts = np.concatenate([self.counts, np.stack([*many, ~same], axis=1)])
+        return np.split(pairs, np.cumsum(per_chunk)[:-1])
+
+    def _link(self, ids: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of chunks laid end to end and how many each has; the text of their groups is kept."""
+        ends = [np.cumsum(side.sizes[i]) for i, side in zip(ids, self.sides, strict=True)]
+        # No token is empty, so ends ascend on both sides.
+        common, last_a, last_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        pairs = ids[0][last_a] * self.size_b + ids[1][last_b]
+        chunk = np.repeat(np.arange(len(many[0])), many[0])[last_a]
+        per_chunk = np.bincount(chunk, minlength=len(many[0]))
+        # Tokens by group, first those of a; what follows each tells whether its side or group goes on.
+        group = np.concatenate([np.searchsorted(common, e) for e in ends])
+        order = np.argsort(group, kind="stable")
+        closing = np.zeros(len(group), np.int64)
+        closing[last_a], closing[len(ids[0]) + last_b] = 1, 2
+        token = (np.concatenate(ids) * 3 + closing)[order]
+        spelled = _decimals(max(len(s.sizes) for s in self.sides))
+        sizes = spelled.sizes[token]
+        text = words.gathered(spelled.data, spelled.starts[token], sizes)
+        cut = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(many[0] + many[1])))].tolist()
+        whole = text.tobytes().decode("ascii")
+        # Without the mark after the last group.
+        self.groups += [whole[s : e - 1] if e > s else "" for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        return pairs, per_chunk
+
+
+class _Tokens:
+    """The bytes of a vocabulary, laid end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+@cache
+def _decimals(count: int) -> _Tokens:
+    """Each number below ``count`` followed by a comma, a bar and a semicolon, in this order."""
+    return _Tokens([f"{i}{mark}".encode() for i in range(count) for mark in ",|;"])
 
 
 def pieces_of(path_b: str) -> int:
@@ -228,7 +262,7 @@ def index(
             for first, texts in words.blocks(batch.column("text"), block_bytes, BLOCK_DOCS):
                 found = words.chunks_of(texts)
                 rows = aligner.places(found.chunks)[found.places]
-                counts = np.stack([words.sums(c, found.ends) for c in aligner.table()[rows].T], axis=1)
+                counts = np.stack([words.sums(c, found.ends) for c in aligner.counts[rows].T], axis=1)
                 good = (counts[:, 2] == 0) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
                 counts[~good] = 0
                 doc = np.repeat(np.arange(len(texts)), np.diff(found.ends))

@@ -16,15 +16,15 @@ from typing import TYPE_CHECKING, NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 # Text of the documents that are worked on at once, unless one document has more.
 BLOCK_BYTES = 4 << 20
-# Chunks that a worker remembers; results never depend on it.
+# Chunks and pieces that a worker remembers; results never depend on it.
 MEMO_CHUNKS = 500_000
+MEMO_PIECES = 200_000
 
 
 def load_tokenizer(path: str) -> Tokenizer:
@@ -60,45 +60,61 @@ _NOT_SINGLE = rf"^{_WHITE}|{_WHITE}$|{_WHITE} | {_WHITE}"
 
 # Characters whose composed and lower-case forms do not depend on their neighbours.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+# Fixed value: how the library cuts a text for a byte-level vocabulary.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def chunk_encoder(path: str, memo: int = MEMO_CHUNKS) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of each chunk, without special tokens added.
+def _cutting(form: dict) -> tuple[str, bool] | None:
+    """The pattern that cuts a text into byte-level pieces and whether it is lower-cased first; None for other forms."""
+    normal, cut = form["normalizer"], form["pre_tokenizer"] or {}
+    if normal is None and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
+        return BYTE_LEVEL, False
+    steps, cuts = (normal or {}).get("normalizers", []), cut.get("pretokenizers", [])
+    if (
+        [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+    ):
+        return cuts[0]["pattern"]["Regex"], True
+    return None
+
 
-    Where the file says that a text is composed, lower-cased and cut by a pattern into byte-level pieces, chunks
-    of plain letters are cut so here and only new pieces reach the model; everything else goes through the tokenizer.
+def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of each chunk, without special tokens added; strings of special tokens get their ids only if ``special``.
+
+    Where the file says that a text is cut by a pattern into byte-level pieces, chunks of plain letters are cut so
+    here and only new pieces reach the model; everything else goes through the tokenizer.
     """
     tokenizer = load_tokenizer(path)
+    tokenizer.encode_special_tokens = not special
     with open(path, encoding="utf-8") as file:
         form = json.load(file)
 
     def whole(chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def steps(key: str, inner: str) -> list[dict]:
-        return (form[key] or {}).get(inner, [])
-
-    cut = steps("pre_tokenizer", "pretokenizers")
-    if (
-        [n["type"] for n in steps("normalizer", "normalizers")] != ["NFC", "Replace", "Lowercase"]
-        or steps("normalizer", "normalizers")[1] != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
-        or [c["type"] for c in cut] != ["Split", "ByteLevel"]
-        or (cut[0]["behavior"], cut[0]["invert"]) != ("Removed", True)
-        or cut[1]["add_prefix_space"]
-        or cut[1]["use_regex"]
-    ):
+    cutting = _cutting(form)
+    if cutting is None:
+        return whole
+    pattern, lowered = cutting
+    # The letters and digits among the plain characters, in a set of their own or as part of one.
+    letter, digit = "a-zß-öø-ÿ" if lowered else "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letter}{digit}]").replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+    if re.search(r"\[[^\]]*\\p", pattern):
+        return whole
+    pattern = pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
+    if r"\p" in pattern:
         return whole
-    # Lower-case letters and digits among the plain characters.
-    pattern = cut[0]["pattern"]["Regex"].replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
-    find = (regex if "\\p" in pattern else re).compile(pattern).findall
-    added = [t["content"] for t in form["added_tokens"]]
+    find, added = re.compile(pattern).findall, [t["content"] for t in form["added_tokens"]] if special else []
     letters, model, known = byte_letters(), tokenizer.model, {}
 
     def piece_ids(piece: str) -> list[int]:
         if len(known) >= memo:
             known.clear()
-        spelled = piece if piece.isascii() else "".join(map(letters.__getitem__, piece.encode()))
-        ids = known[piece] = [t.id for t in model.tokenize(spelled)]
+        ids = known[piece] = [t.id for t in model.tokenize("".join(map(letters.__getitem__, piece.encode())))]
         return ids
 
     def encode(chunks: list[str]) -> list[list[int]]:
@@ -108,7 +124,7 @@ def chunk_encoder(path: str, memo: int = MEMO_CHUNKS) -> Callable[[list[str]], l
                 odd.append(i)
                 out.append([])
                 continue
-            pieces = find(chunk.lower())
+            pieces = find(chunk.lower() if lowered else chunk)
             if len(pieces) == 1:
                 ids = known.get(pieces[0])
                 out.append(piece_ids(pieces[0]) if ids is None else ids)
@@ -118,7 +134,7 @@ def chunk_encoder(path: str, memo: int = MEMO_CHUNKS) -> Callable[[list[str]], l
                 found = known.get(piece)
                 ids += piece_ids(piece) if found is None else found
             out.append(ids)
-        for i, ids in zip(odd, whole([chunks[i] for i in odd]), strict=True):
+        for i, ids in zip(odd, whole([chunks[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         return out
 
