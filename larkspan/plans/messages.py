@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import messages as G
 from larkspan.plans.catalog import query
 from larkspan.session import load, staging_path
+from larkspan.streaming import backfill, tiers
 from larkspan.streaming import messages as T
 
 MINUTE = "yyyy-MM-dd HH:mm"
@@ -192,15 +193,29 @@ def h2_periodic_merge(spark: SparkSession, d: str) -> DataFrame:
 
     out, marks = staging_path(spark, "history"), staging_path(spark, "history-checkpoint")
     stored = lines(load(spark, d, "events").where("event_type <> 'click'"))
-    new = lines(_stream(spark, d).where("event_type = 'click'"))
-    # The stored rest is the first history; the stream's batches come after it.
-    G.merge_logs(stored.limit(0), stored).drop("origin").write.parquet(f"{out}/history/upto=-1")
-    T.start_merge(new, out, marks, live=None).awaitTermination()
-    T.fold_history(spark, out, stored.schema)
-    folded = T.read_history(spark, out, stored.schema)
-    is_new = F.col("event_type") == "click"
-    origin = load(spark, d, "events").select(F.col("event_id").alias("position"), (~is_new).cast("int").alias("origin"))
-    return folded.join(origin, "position").select("chat", "position", "date", "origin", "place")
+    # The stored rest is the first run; the stream's batches come after it.
+    tiers.add_run(stored, out, level=1)
+    tiers.start(lines(_stream(spark, d).where("event_type = 'click'")), out, marks, live=None).awaitTermination()
+    origin = (F.col("run") == 0).cast("int").alias("origin")
+    return tiers.read(spark, out, stored.schema).select("chat", "position", "date", origin, "place")
+
+
+@query(
+    """SELECT user_id AS chat, event_id AS msg_id,
+  CASE WHEN event_id <= (SELECT 7 * max(event_id) // 10 FROM events) THEN 'history' ELSE 'live' END AS part FROM events"""
+)
+def h4_backfill_then_live(spark: SparkSession, d: str) -> DataFrame:
+    """History pages of every chat up to a point in time, and a live stream that began before it: each message once."""
+    path, marks = staging_path(spark, "chats"), staging_path(spark, "chats-checkpoint")
+    messages = _messages(spark, d).select("chat", "msg_id", "date", "text")
+    last = load(spark, d, "events").agg(F.max("event_id")).first()[0] or 0
+    history = messages.where(F.col("msg_id") <= 7 * last // 10)
+    live = event_messages(_stream(spark, d)).select(*messages.columns).where(F.col("msg_id") > last // 2)
+    backfill.begin(messages.select("chat"), history, path)
+    backfill.backfill(history, path, max_rounds=1)
+    backfill.start_live(live, path, marks).awaitTermination()
+    backfill.backfill(history, path)
+    return backfill.read(spark, path, messages).select("chat", "msg_id", "part")
 
 
 @query("SELECT DISTINCT user_id AS chat FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)")
