@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators import retrieval as R
+from larkspan.operators import text_index
 from larkspan.plans.catalog import query
 from larkspan.plans.scalars import CHUNKS
-from larkspan.session import load, settle
+from larkspan.session import load, settle, staging_path
 
 SEARCH = f"""{CHUNKS},
 lengths AS (SELECT doc_id, chunk_no, len(tokens) AS length FROM chunks),
@@ -45,6 +46,17 @@ def i1_text_search_passes(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_hits(spark, d, pass_terms=400))
 
 
+@query(f"WITH {SEARCH} SELECT query_id, doc_id, chunk_no, round(score, 4) AS score, rank FROM hits")
+def i1_text_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stored index of two segments."""
+    path, documents = staging_path(spark, "index"), load(spark, d, "documents").select("doc_id", "text")
+    late = F.col("doc_id") % 4 == 3
+    for part in (~late, late):
+        text_index.add_documents(documents.where(part), path)
+    queries = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _shown(text_index.search(spark, path, queries))
+
+
 @query(
     f"""WITH {SEARCH} SELECT query_id, rank AS citation, doc_id, chunk_no, source, lang, md5(array_to_string(tokens, ' ')) AS fragment
 FROM hits JOIN chunks USING (doc_id, chunk_no) JOIN documents USING (doc_id)"""
