@@ -7,6 +7,7 @@ document of any length is one cheap Arrow cell.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -23,6 +24,9 @@ from larkspan.llm.common import pick
 MEMO_CHUNKS = 300_000
 MEMO_PIECES = 200_000
 NONE = 1 << 62
+# Longer pieces have a tree of their own; nodes that trees in step have together.
+MOST_BYTES = 64
+TREE_NODES = 1 << 19
 
 
 @cache
@@ -85,27 +89,99 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Pairs:
+    """Two neighbouring tokens and the rank of what they join to, for all pairs that join."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values(), default=0) + 1
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        found = {
+            left * self.size + right: rank
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
+        }
+        self.keys = np.array(sorted(found) or [-1], np.int64)
+        self.joined = np.array([found.get(k, NONE) for k in self.keys.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joined[at], NONE)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
+    """Ids of many pieces by ``merge``; pieces of like length share arrays of trees, a row each, and merge in step."""
+    out: list[list[int]] = [[]] * len(pieces)
+    by_width: dict[int, list[int]] = {}
+    for i, piece in enumerate(pieces):
+        if piece in pairs.ranks or len(piece) < 2 or len(piece) > MOST_BYTES:
+            out[i] = merge(piece, pairs.ranks)
+        else:
+            by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
+    for width, members in by_width.items():
+        for first in range(0, len(members), max(1, TREE_NODES // width)):
+            some = members[first : first + max(1, TREE_NODES // width)]
+            for i, ids in zip(some, _merge_rows([pieces[i] for i in some], width, pairs), strict=True):
+                out[i] = ids
+    return out
+
+
+def _merge_rows(pieces: list[bytes], width: int, pairs: Pairs) -> list[list[int]]:
+    """As ``merge``, one piece a row."""
+    rows = len(pieces)
+    size = np.fromiter(map(len, pieces), np.int64, rows)
+    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(rows, width)
+    place = np.arange(width)
+    inside = place < size[:, None]
+    token = pairs.bytes[raw]
+    live = inside.copy()
+    after, before = np.tile(place + 1, (rows, 1)), np.tile(place - 1, (rows, 1))
+    tree = np.full((rows, 2 * width), NONE)
+    rank = pairs.rank(token[:, :-1], token[:, 1:])
+    tree[:, width : 2 * width - 1] = np.where(inside[:, 1:] & (rank != NONE), rank * width + place[:-1], NONE)
+    level = width
+    while level > 1:
+        tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+        level //= 2
+    at = np.flatnonzero(tree[:, 1] != NONE)
+    while len(at):
+        joined, i = np.divmod(tree[at, 1], width)
+        gone = after[at, i]
+        end = after[at, gone]
+        token[at, i], after[at, i], live[at, gone] = joined, end, False
+        tree[at, width + gone] = NONE
+        more, left = end < size[at], before[at, i]
+        follows = np.minimum(end, width - 1)
+        before[at[more], end[more]] = i[more]
+        rank = np.where(more, pairs.rank(joined, token[at, follows]), NONE)
+        tree[at, width + i] = np.where(rank != NONE, rank * width + i, NONE)
+        # What stands before is renewed too; without it the leaf of the merge is written again.
+        some = left >= 0
+        other = np.where(some, left, i)
+        rank = np.where(some, pairs.rank(token[at, other], joined), rank)
+        tree[at, width + other] = np.where(rank != NONE, rank * width + other, NONE)
+        for node in (width + gone, width + i, width + other):
+            while node[0] > 1:
+                node = node >> 1
+                tree[at, node] = np.minimum(tree[at, 2 * node], tree[at, 2 * node + 1])
+        at = at[tree[at, 1] != NONE]
+    ids, ends = token[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+    return [ids[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def chunk_encoder(ranks: dict[bytes, int], pattern: str, memo: int = MEMO_PIECES) -> Callable[[list[str]], list[list[int]]]:
     """Ids of each chunk of a text: each match of the pattern by itself. Pieces met lately are remembered."""
-    matches, known = regex.compile(pattern).findall, {}
-
-    def ids_of(piece: str) -> list[int]:
-        if len(known) >= memo:
-            known.clear()
-        ids = merge(piece.encode(), ranks)
-        if len(piece) < 64:
-            known[piece] = ids
-        return ids
+    matches, pairs, known = regex.compile(pattern).findall, Pairs(ranks), {}
+    find = words.plain_find(pattern) or matches
 
     def encode(chunks: list[str]) -> list[list[int]]:
-        out = []
-        for chunk in chunks:
-            ids = []
-            for piece in matches(chunk):
-                found = known.get(piece)
-                ids += ids_of(piece) if found is None else found
-            out.append(ids)
-        return out
+        cut = [(find if words.is_plain(chunk) else matches)(chunk) for chunk in chunks]
+        if len(known) > memo:
+            known.clear()
+        fresh = [p for p in set(itertools.chain.from_iterable(cut)) if p not in known]
+        known.update(zip(fresh, merge_many([p.encode() for p in fresh], pairs), strict=True))
+        return [known[p[0]] if len(p) == 1 else list(itertools.chain.from_iterable([known[x] for x in p])) for p in cut]
 
     return encode
 

@@ -64,6 +64,21 @@ _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def is_plain(text: str) -> bool:
+    return _PLAIN(text) is not None
+
+
+def plain_find(pattern: str, lowered: bool = False) -> Callable[[str], list[str]] | None:
+    """All matches of a pattern in plain text, with classes of letters and digits spelled out; None if others are asked for."""
+    letter, digit = "a-zß-öø-ÿ" if lowered else "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
+    # In a set of their own or as part of one.
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letter}{digit}]").replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+    if re.search(r"\[[^\]]*\\p", pattern):
+        return None
+    pattern = pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
+    return None if r"\p" in pattern else re.compile(pattern).findall
+
+
 def _cutting(form: dict) -> tuple[str, bool] | None:
     """The pattern that cuts a text into byte-level pieces and whether it is lower-cased first; None for other forms."""
     normal, cut = form["normalizer"], form["pre_tokenizer"] or {}
@@ -100,15 +115,10 @@ def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> C
     if cutting is None:
         return whole
     pattern, lowered = cutting
-    # The letters and digits among the plain characters, in a set of their own or as part of one.
-    letter, digit = "a-zß-öø-ÿ" if lowered else "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letter}{digit}]").replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
-    if re.search(r"\[[^\]]*\\p", pattern):
-        return whole
-    pattern = pattern.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]")
-    if r"\p" in pattern:
+    find = plain_find(pattern, lowered)
+    if find is None:
         return whole
-    find, added = re.compile(pattern).findall, [t["content"] for t in form["added_tokens"]] if special else []
+    added = [t["content"] for t in form["added_tokens"]] if special else []
     letters, model, known = byte_letters(), tokenizer.model, {}
 
     def piece_ids(piece: str) -> list[int]:
@@ -120,7 +130,7 @@ def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> C
     def encode(chunks: list[str]) -> list[list[int]]:
         out, odd = [], []
         for i, chunk in enumerate(chunks):
-            if not _PLAIN(chunk) or any(a in chunk for a in added):
+            if not is_plain(chunk) or any(a in chunk for a in added):
                 odd.append(i)
                 out.append([])
                 continue
