@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators import retrieval as R
-from larkspan.operators import text_index
+from larkspan.operators import text_index, vector_index
 from larkspan.plans.catalog import query
 from larkspan.plans.scalars import CHUNKS
 from larkspan.session import load, settle, staging_path
@@ -90,3 +90,13 @@ def i2_vector_search(spark: SparkSession, d: str) -> DataFrame:
 def i2_vector_search_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The same with a query set treated as too large to send to every task."""
     return _nearest(spark, d, pass_numbers=200)
+
+
+@query(NEAREST)
+def i2_vector_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from stored cells."""
+    vectors = load(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    path = staging_path(spark, "cells")
+    vector_index.build(vectors.select("vec_id", "vector"), path, cell_vectors=200)
+    hits = vector_index.search(spark, path, settle(R.centroids(vectors, "label")))
+    return hits.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
