@@ -93,6 +93,52 @@ def a1_offer_feed_gzip(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, offer_feed(spark, d, "gzip"), partitions=spark.sparkContext.defaultParallelism)
 
 
+@query(FEED_SQL)
+def b8_leaf_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The same columns from the leaves in document order."""
+    flat = feeds.flat_leaves(feeds.read_leaves(spark, offer_feed(spark, d))).select(*FEED_COLUMNS)
+    return flat.withColumns({name: F.array_join(name, ",") for name in ("image", "rejected_fields")})
+
+
+def mixed_feed(spark: SparkSession, d: str) -> str:
+    """Offers whose address stands before or after the localities, with elements that no list has."""
+    key, shape = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 4
+    address = F.concat(F.lit("<address>дом "), key, F.lit("</address>"))
+    localities = F.lit("<locality-name></locality-name><locality-name>Москва</locality-name><locality-name>улица &amp; 1</locality-name>")
+    place = F.when(shape == 0, F.concat(address, localities)).when(shape == 1, F.concat(localities, address))
+    place = place.when(shape == 2, F.concat(F.lit("<locality-name>Химки</locality-name>"), address)).otherwise(F.lit("<district>ЦАО</district>"))
+    view = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("<view>"), key, F.lit("</view><view> море </view><deep><pool-depth>2</pool-depth></deep>")))
+    broken = F.when(F.col("o_custkey") % 11 == 0, F.lit("<rooms>")).otherwise(F.lit("<rooms>1</rooms>"))
+    offer = F.concat(F.lit('<offer internal-id="'), key, F.lit('"><location>'), place, F.lit("</location>"), F.coalesce(view, F.lit("")), broken, F.lit("</offer>"))
+    path = staging_path(spark, "mixed")
+    load(spark, d, "orders").select(offer.alias("value")).write.text(path)
+    return path
+
+
+@query(
+    """SELECT o_orderkey AS id, CAST(1 AS INTEGER) AS rooms, CASE o_custkey % 4 WHEN 2 THEN 'Химки' WHEN 3 THEN NULL ELSE 'Москва' END AS location_locality_name,
+  CASE o_custkey % 4 WHEN 0 THEN 'улица & 1' WHEN 3 THEN NULL ELSE 'дом ' || o_orderkey END AS location_address,
+  CASE WHEN o_custkey % 3 = 0 THEN 'deep/pool-depth=2,view=море' ELSE '' END AS other FROM orders WHERE o_custkey % 11 > 0"""
+)
+def b10_ordered_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Routing by the order of different elements, unknown leaves in a map, a repeated one by its last text."""
+    flat = feeds.flat_leaves(feeds.read_leaves(spark, mixed_feed(spark, d)))
+    other = F.transform(F.array_sort(F.map_entries("other")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return flat.select("id", "rooms", "location_locality_name", "location_address", F.array_join(other, ",").alias("other"))
+
+
+@query(
+    """WITH good AS (SELECT *, o_custkey % 4 AS s, o_custkey % 3 = 0 AS v FROM orders WHERE o_custkey % 11 > 0),
+paths AS (SELECT '_internal-id' AS path, 1 AS times FROM good UNION ALL SELECT 'rooms', 1 FROM good
+  UNION ALL SELECT 'location/address', 1 FROM good WHERE s < 3 UNION ALL SELECT 'location/district', 1 FROM good WHERE s = 3
+  UNION ALL SELECT 'location/locality-name', CASE WHEN s = 2 THEN 1 ELSE 3 END FROM good WHERE s < 3
+  UNION ALL SELECT 'view', 2 FROM good WHERE v UNION ALL SELECT 'deep/pool-depth', 1 FROM good WHERE v)
+SELECT path, count(*) AS records, CAST(max(times) AS INTEGER) AS most FROM paths GROUP BY path"""
+)
+def b8_leaf_paths(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.leaf_paths(feeds.read_leaves(spark, mixed_feed(spark, d)))
+
+
 def damaged_feed(spark: SparkSession, d: str) -> str:
     """The feed with an unclosed element in every seventh offer and a letter in every eleventh id."""
     whole, damaged = offer_feed(spark, d), staging_path(spark, "damaged")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 from larkspan.functions import texts
 from larkspan.functions import values as V
 
-# Element names of the feed by the type rule of their text. ``district`` is in no list
-# and in no schema, so it is never read.
+# Element names of the feed by the type rule of their text, and the one that is never read.
+IGNORED = "district"
 LENIENT_INTS = ["newobject-id", "agency-id", "rooms"]
 STRICT_INTS = ["time-on-foot", "floor", "floors-total", "built-year"]
 TRUTHY = ["payed-adv", "manually-added", "new-flat"]
@@ -85,12 +87,10 @@ def default_rules(unescape: Callable[[Column], Column] = texts.unescape_html) ->
     return rules
 
 
-def read_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
-    """Rows of a UTF-8 XML file, plain or gzip. Empty elements give '' so that blank and absent differ.
+def _records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """The text of each record of a UTF-8 XML file, plain or gzip; a plain file is read in splits.
 
-    The file is cut at the closing tags and again before opening tags, each record parsed by itself: an
-    element that is not well-formed costs no other one, and a plain file is read in splits. Such a record
-    keeps its text in ``_malformed``.
+    The file is cut at the closing tags and again before opening tags.
     """
     parts = spark.read.option("lineSep", f"</{row_tag}>").text(path)
     records = F.split("value", f"(?s)(?=<{row_tag}[\\s/>])")
@@ -99,13 +99,95 @@ def read_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
     # Only the last part of a piece stands before a closing tag; an element without content has none.
     closed = F.transform(opened, lambda r, i: F.when(i == last, F.concat(r, F.lit(f"</{row_tag}>"))).otherwise(r))
     alone = rf"(?s)^(<{row_tag}(?:\s[^>]*)?/>).*$"
-    record = F.regexp_replace(F.col("record"), alone, "$1")
+    return parts.select(F.explode(closed).alias("record")).select(F.regexp_replace("record", alone, "$1").alias("record"))
+
+
+def read_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+    """Rows of a UTF-8 XML file, plain or gzip. Empty elements give '' so that blank and absent differ.
+
+    Each record is parsed by itself: an element that is not well-formed costs no other one. Such a record keeps
+    its text in ``_malformed``.
+    """
     kind = T.StructType([*schema, T.StructField(MALFORMED, T.StringType())])
     options = {
         "rowTag": row_tag, "nullValue": "\0", "ignoreSurroundingSpaces": "true", "columnNameOfCorruptRecord": MALFORMED,
     }
-    parsed = parts.select(F.explode(closed).alias("record")).select(F.from_xml(record, kind, options).alias("row"))
-    return parsed.select("row.*")
+    return _records(spark, path, row_tag).select(F.from_xml("record", kind, options).alias("row")).select("row.*")
+
+
+LEAVES = T.StructType(
+    [
+        T.StructField("leaves", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))),
+        T.StructField("last", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
+
+
+def _leaves_of(record: str) -> list[tuple[str, str]] | None:
+    """(path, text) of the attributes of the record and of its elements without children, in order; None if malformed."""
+    path: list[str] = []
+    content: list[str] | None = None
+    found: list[tuple[str, str]] = []
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        nonlocal content
+        if path:
+            content = []
+        else:
+            found.extend((f"_{k}", v) for k, v in attributes.items())
+        path.append(name)
+
+    def end(_: str) -> None:
+        nonlocal content
+        if content is not None:
+            found.append(("/".join(path[1:]), "".join(content).strip()))
+        content = None
+        path.pop()
+
+    def text(data: str) -> None:
+        if content is not None:
+            content.append(data)
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    try:
+        parser.Parse(record, True)
+    except expat.ExpatError:
+        return None
+    return found
+
+
+def _parse_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        records = batch.column("record").to_pylist()
+        found = [_leaves_of(r) for r in records]
+        leaves = [None if f is None else [{"path": p, "value": v} for p, v in f] for f in found]
+        # Of a repeated element the last one counts.
+        last = [None if f is None else list(dict(f).items()) for f in found]
+        kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+        columns = [
+            pa.array(leaves, kind),
+            pa.array(last, pa.map_(pa.string(), pa.string())),
+            pa.array([r if f is None else None for r, f in zip(records, found, strict=True)], pa.string()),
+        ]
+        yield pa.record_batch(columns, names=["leaves", "last", MALFORMED])
+
+
+def read_leaves(spark: SparkSession, path: str, row_tag: str = "offer") -> DataFrame:
+    """A1, B8. The leaves of each record in document order, whatever their names.
+
+    ``leaves`` has path (elements below the record joined by ``/``, attributes of the record with ``_``) and text,
+    ``last`` the last text of each path; a record that is not well-formed has only its text in ``_malformed``.
+    """
+    kind = T.StructType([*LEAVES, T.StructField(MALFORMED, T.StringType())])
+    return _records(spark, path, row_tag).mapInArrow(_parse_leaves, kind)
+
+
+def leaf_paths(rows: DataFrame) -> DataFrame:
+    """B8. Every path of a feed, with the records that have it and how often at most: one aggregation."""
+    per_record = F.transform(F.map_keys("last"), lambda k: F.struct(k.alias("path"), F.size(F.filter("leaves", lambda x: x["path"] == k)).alias("times")))
+    each = rows.select(F.explode(per_record).alias("p")).select("p.*")
+    return each.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.max("times").alias("most"))
 
 
 def malformed(rows: DataFrame) -> DataFrame:
@@ -136,23 +218,57 @@ def flat_offers(offers: DataFrame, rules: dict[str, Callable[[Column], Column]]
     The agent's telephone keeps its text; the yes/no rule for ``phone`` is for the listing's own field. An id
     that is no number is NULL and listed in ``rejected_fields``; malformed records are left out.
     """
-    if MALFORMED in offers.columns:
-        offers = offers.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
+    offers = _well_formed(offers).drop(MALFORMED)
+    localities = F.col("location.`locality-name`")
+    given = {
+        ("location", "locality-name"): first_locality(localities),
+        ("location", "address"): F.coalesce(F.col("location.address"), later_locality(localities)),
+    }
+    return offers.select(*_typed(offers.schema, lambda path: F.col(".".join(f"`{name}`" for name in path)), given, rules))
+
+
+def flat_leaves(rows: DataFrame, rules: dict[str, Callable[[Column], Column]] | None = None, schema: T.StructType = OFFER_SCHEMA) -> DataFrame:
+    """B8-B11. As ``flat_offers``, from the leaves of ``read_leaves``, with their order and with unknown ones.
+
+    Of address elements and localities after the first non-empty one, the last in the document is the address.
+    ``other`` maps the paths that the schema lacks to their last text; ``district`` is ignored wherever it is.
+    """
+    rows = _well_formed(rows)
+    named = F.transform("leaves", lambda x, i: F.struct(x["path"].alias("path"), x["value"].alias("value"), i.alias("at")))
+    places = F.filter(named, lambda x: x["path"] == "location/locality-name")
+    first = F.coalesce(F.get(F.filter(places, lambda x: x["value"] != ""), F.lit(0)), F.get(places, F.lit(0)))
+    settled = F.when(first["value"] != "", first["at"])
+    addresses = F.filter(
+        named, lambda x: (x["path"] == "location/address") | ((x["path"] == "location/locality-name") & (x["at"] > settled))
+    )
+    given = {
+        ("location", "locality-name"): first["value"],
+        ("location", "address"): F.try_element_at(addresses, F.lit(-1))["value"],
+        ("image",): F.nullif(F.transform(F.filter("leaves", lambda x: x["path"] == "image"), lambda x: x["value"]), F.array().cast("array<string>")),
+    }
+    known = ["/".join(path) for path, _ in _leaves(schema)]
+    columns = _typed(schema, lambda path: F.try_element_at("last", F.lit("/".join(path))), given, rules)
+    other = F.map_filter("last", lambda k, _: ~k.isin(known) & (F.substring_index(k, "/", -1) != IGNORED))
+    return rows.select(*columns, other.alias("other"))
+
+
+def _typed(
+    schema: T.StructType,
+    source_of: Callable[[tuple[str, ...]], Column],
+    given: dict[tuple[str, ...], Column],
+    rules: dict[str, Callable[[Column], Column]] | None,
+) -> list[Column]:
+    """A column for every leaf of the schema and the list of those whose text has not the leaf's type."""
     rules = default_rules() if rules is None else rules
     columns, rejects = [], []
-    for path, data_type in _leaves(offers.schema):
-        source = F.col(".".join(f"`{name}`" for name in path))
-        name = "_".join(path).replace("-", "_")
-        leaf = path[-1]
+    for path, data_type in _leaves(schema):
+        name, leaf = "_".join(path).replace("-", "_"), path[-1]
+        source = given[path] if path in given else source_of(path)
         if leaf == ID_ATTRIBUTE:
             number = source.try_cast("long")
             columns.append(number.alias("id"))
             rejects.append(F.when(source.isNotNull() & number.isNull(), F.lit("id")))
-        elif leaf == "locality-name":
-            columns.append(first_locality(source).alias(name))
-        elif path == ("location", "address"):
-            columns.append(F.coalesce(source, later_locality(F.col("location.`locality-name`"))).alias(name))
-        elif isinstance(data_type, T.ArrayType) or path == ("sales-agent", "phone") or leaf not in rules:
+        elif path in given or isinstance(data_type, T.ArrayType) or path == ("sales-agent", "phone") or leaf not in rules:
             columns.append(source.alias(name))
         else:
             columns.append(rules[leaf](source).alias(name))
@@ -160,7 +276,7 @@ def flat_offers(offers: DataFrame, rules: dict[str, Callable[[Column], Column]]
                 rejects.append(F.when(V.int_rejected(source, leaf in LENIENT_INTS), F.lit(name)))
             elif leaf in FLOATS:
                 rejects.append(F.when(source.isNotNull() & V.comma_float(source).isNull(), F.lit(name)))
-    return offers.select(*columns, F.array_compact(F.array(*rejects)).alias("rejected_fields"))
+    return [*columns, F.array_compact(F.array(*rejects)).alias("rejected_fields")]
 
 
 def first_locality(names: Column) -> Column:
