@@ -317,6 +317,20 @@ def a5_empty_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH f AS (SELECT s_nationkey, string_agg(s_name || chr(10), '' ORDER BY s_suppkey) AS content FROM supplier GROUP BY s_nationkey)
+SELECT CAST(s_nationkey AS VARCHAR) AS nation, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS md5, sha256(content) AS sha256 FROM f"""
+)
+def b20_file_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Files of suppliers' names, one per nation, digested as they are read."""
+    path = staging_path(spark, "names")
+    rows = load(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    dealt = rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    dealt.select("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(path)
+    found = files.digests(spark, path, recursive=True, glob="*.txt")
+    return found.select(F.regexp_extract("path", "s_nationkey=([^/]+)/", 1).alias("nation"), "size", "md5", "sha256")
+
+
 @query(
     """SELECT CASE WHEN event_type = 'error' THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
   CASE WHEN event_type = 'error' THEN props ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || props || ' | x' END AS line FROM events"""

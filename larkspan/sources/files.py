@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.sax.saxutils import unescape
 
 import pandas as pd
@@ -22,6 +25,8 @@ from larkspan.session import settle
 MAIN_PART = "word/document.xml"
 TEXT_PARTS = [MAIN_PART, "word/document2.xml", "word/header1.xml", "word/footer1.xml"]
 RUN = re.compile(r"<w:t[^>]*>(.*?)</w:t>", re.DOTALL)
+# What a task holds of a file that it digests.
+PIECE_BYTES = 8 << 20
 PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.DOTALL)
 
 
@@ -38,16 +43,19 @@ def inventory(spark: SparkSession, path: str, recursive: bool = False, glob: str
 def empty_files(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """A5. Path, size 0 and time of the empty files, which Spark's file sources leave out.
 
-    Folders are listed in tasks, one level of the tree at a time; as in Spark, names that begin with a dot or an
+    ``path`` is a folder, a file or a pattern of either. Folders are listed in tasks, one level of the tree at a time; as in Spark, names that begin with a dot or an
     underscore are hidden. The store must be one that pyarrow reaches.
     """
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    roots = [(s.getPath().toString(),) for s in store.globStatus(root) or [] if s.isDirectory()]
-    found = spark.createDataFrame([], "path string, size long, mtime double")
-    folders = spark.createDataFrame(roots, "path string")
+    matched = store.globStatus(root) or []
+    roots = [(s.getPath().toString(),) for s in matched if s.isDirectory()]
     wanted = F.lit(True) if glob is None else names.basename(F.col("path")).rlike(fnmatch.translate(glob))
+    empty = [(s.getPath().toString(), 0, s.getModificationTime() / 1e3) for s in matched if s.isFile() and s.getLen() == 0]
+    empty = [row for row in empty if row[0].rsplit("/", 1)[-1][0] not in "._"]
+    found = spark.createDataFrame(empty, "path string, size long, mtime double").where(wanted)
+    folders = spark.createDataFrame(roots, "path string")
     while roots:
         listed = settle(folders.repartition("path").mapInPandas(_listed, "path string, folder boolean, size long, mtime double"))
         found = found.unionByName(listed.where(~F.col("folder") & (F.col("size") == 0) & wanted).select("path", "size", "mtime"))
@@ -61,9 +69,7 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries of each folder."""
     for batch in batches:
         for folder in batch["path"]:
-            # Hadoop writes a local path as file:/a, pyarrow wants file:///a.
-            uri = re.sub(r"^([a-z0-9]+):/(?!/)", r"\1:///", folder)
-            store, place = fs.FileSystem.from_uri(uri)
+            store, place = _opened(folder)
             rows = [
                 (f"{folder.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, i.mtime_ns / 1e9 if i.mtime_ns else None)
                 for i in store.get_file_info(fs.FileSelector(place))
@@ -72,6 +78,42 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["path", "folder", "size", "mtime"])
 
 
+def _opened(folder_or_file: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Hadoop writes it, and the place in it."""
+    # Hadoop writes a local path as file:/a and leaves blanks as they are, pyarrow wants file:///a and %20.
+    return fs.FileSystem.from_uri(quote(re.sub(r"^([a-z0-9]+):/(?!/)", r"\1:///", folder_or_file), safe="/:@"))
+
+
+def digests(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, piece: int = PIECE_BYTES) -> DataFrame:
+    """B20, A5. Path, name, size and MD5, SHA-256 and CRC-32 of files of any size, empty ones included.
+
+    Tasks open the files of an inventory and digest them piece by piece as they read, so a file needs no more
+    memory than a piece and may be larger than a row can be. The store must be one that pyarrow reaches.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_digest(place, piece) for place in batch["path"]]
+            yield batch.assign(**pd.DataFrame(rows, columns=["md5", "sha256", "crc32"]).to_dict("list"))
+
+    found = inventory(spark, path, recursive, glob).select("path", "name", "size")
+    # Files of one task would else be those of a part of the listing.
+    spread = found.repartition("path")
+    return spread.mapInPandas(run, "path string, name string, size long, md5 string, sha256 string, crc32 long")
+
+
+def _digest(place: str, piece: int) -> tuple[str, str, int]:
+    store, inner = _opened(place)
+    md5, sha256, crc = hashlib.md5(usedforsecurity=False), hashlib.sha256(), 0
+    # Without a buffer of its own the stream reads just what is asked for.
+    with store.open_input_stream(inner, compression=None, buffer_size=0) as stream:
+        while data := stream.read(piece):
+            md5.update(data)
+            sha256.update(data)
+            crc = zlib.crc32(data, crc)
+    return md5.hexdigest(), sha256.hexdigest(), crc
+
+
 def contents(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Files with their bytes, for hashing, typing and extraction."""
     return _binary(spark, path, recursive, glob).select(

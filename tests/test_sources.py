@@ -1,9 +1,12 @@
 """Feeds, dumps, logs and binary documents from literal fixtures."""
 
 import gzip
+import hashlib
 import io
 import json
+import tracemalloc
 import zipfile
+import zlib
 
 import pytest
 from conftest import rows
@@ -231,6 +234,67 @@ def test_documents(spark, tmp_path):
     assert listing == [("cut.docx", 40), ("good.docx", len(good)), ("old.doc", 12)]
 
 
+def test_empty_files_by_file_and_pattern(spark, tmp_path):
+    folder = tmp_path / "in x"
+    folder.mkdir()
+    for name, content in {"a.txt": b"", "b.txt": b"bb", "c.doc": b"", "_hidden.txt": b""}.items():
+        (folder / name).write_bytes(content)
+    listed = lambda *a, **k: rows(files.inventory(spark, *a, **k), "name", "size")
+    assert listed(str(folder / "a.txt")) == [("a.txt", 0)]
+    assert listed(str(folder / "*.txt")) == [("a.txt", 0), ("b.txt", 2)]
+    assert listed(str(folder / "*"), glob="*.doc") == [("c.doc", 0)]
+    assert listed(str(tmp_path / "in*")) == [("a.txt", 0), ("b.txt", 2), ("c.doc", 0)]
+
+
+def test_digests_of_files_larger_than_a_piece(spark, tmp_path):
+    folder = tmp_path / "in x"
+    folder.mkdir()
+    contents = {"a.bin": b"", "b.bin": bytes(range(256)) * 1000, "c д.bin": b"x" * 4096, "d%20.bin": b"1"}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    found = {r["name"]: (r["size"], r["md5"], r["sha256"], r["crc32"]) for r in files.digests(spark, str(folder), piece=4096).collect()}
+    assert found == {
+        n: (len(c), hashlib.md5(c).hexdigest(), hashlib.sha256(c).hexdigest(), zlib.crc32(c)) for n, c in contents.items()
+    }
+
+
+def test_digest_holds_a_piece_of_the_file_only(tmp_path):
+    place = tmp_path / "large"
+    with open(place, "wb") as file:
+        file.truncate(64 << 20)
+    tracemalloc.start()
+    try:
+        assert files._digest(f"file:{place}", 1 << 16)[0] == hashlib.md5(bytes(64 << 20)).hexdigest()
+        tracemalloc.reset_peak()
+        files._digest(f"file:{place}", 1 << 16)
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_leaves_keep_order_and_unknown_elements(spark, tmp_path):
+    offers = [
+        '<offer internal-id="1"><location><address>A</address><locality-name></locality-name><locality-name>B</locality-name></location><view>1</view><view> 2 </view></offer>',
+        '<offer internal-id="2"><location><locality-name>B</locality-name><locality-name>C</locality-name><address>A</address><district>D</district></location></offer>',
+        '<offer internal-id="3"><location><address>A</address><locality-name>B</locality-name><locality-name>C</locality-name></location><image>x</image><image>y</image></offer>',
+        '<offer internal-id="4"><rooms>2</offer>',
+        '<offer internal-id="5"/>',
+        '<offer internal-id="x6"><rooms>&lt;3</rooms><a><b>mixed<c>&#65;</c></b></a></offer>',
+    ]
+    path = tmp_path / "feed.xml"
+    path.write_text("<realty-feed>" + "\n".join(offers) + "</realty-feed>", encoding="utf-8")
+    leaves = feeds.read_leaves(spark, str(path))
+    assert rows(feeds.malformed(leaves)) == [(offers[3],)]
+    flat = {r["id"]: r for r in feeds.flat_leaves(leaves).collect()}
+    assert [flat[i]["location_address"] for i in (1, 2, 3, 5)] == ["A", "A", "C", None]
+    assert [flat[i]["location_locality_name"] for i in (1, 2, 3, 5)] == ["B", "B", "B", None]
+    assert flat[1]["other"] == {"view": "2"} and flat[2]["other"] == {} and flat[None]["other"] == {"a/b/c": "A"}
+    assert flat[3]["image"] == ["x", "y"] and flat[1]["image"] is None
+    assert sorted(flat[None]["rejected_fields"]) == ["id", "rooms"]
+    paths = {r["path"]: (r["records"], r["most"]) for r in feeds.leaf_paths(leaves).collect()}
+    assert paths["view"] == (1, 2) and paths["location/locality-name"] == (3, 2) and paths["_internal-id"] == (5, 1)
+
+
 def test_operation_log(spark, tmp_path):
     log = spark.createDataFrame(
         [("t", "CONVERT", 'a "b", c.doc', None, "doc", "ERROR", "line\nbreak")], ", ".join(f"{c} string" for c in tables.LOG_COLUMNS)
