@@ -162,6 +162,8 @@ def match_counts(
     done = [settle(exact)]
     length = max(8 * seconds, 1)
     width = math.log1p(max(8 * percent, 1.0) / 100)
+    if percent >= 100 or -math.log1p(-percent / 100) > width / 2:
+        raise ValueError(f"pairs {percent} percent apart would not share a cell of some grid; some 60 percent are the most")
 
     def remaining(files: DataFrame, size: str, sec: str, grid: tuple[int, int]) -> DataFrame:
         flows = reduce(DataFrame.unionByName, done)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkspan.functions import names
@@ -125,7 +125,8 @@ def funnel(items: DataFrame, registry: DataFrame, part: str = CATEGORY_PART) ->
     """E6. One row of counts per level. A URL seen twice is new once and existing after that."""
     attachments = F.try_variant_get("item", "$.attachments", "variant")
     matches = F.coalesce(contains_folded(category_text(), part), F.lit(False))
-    # The dump is parsed once, into flags and the valid links of each line.
+    # The dump is parsed once, into flags and the valid links of each line; the levels are counted as it is written.
+    seen = Observation()
     rows = settle(
         items.select("is_json", F.col("item").isNotNull().alias("is_object"), matches.alias("m"), attachments.alias("a"))
         .select("is_json", (F.col("is_object") & F.col("m")).alias("matches"), "a")
@@ -133,13 +134,15 @@ def funnel(items: DataFrame, registry: DataFrame, part: str = CATEGORY_PART) ->
             "is_json", "matches", (F.col("matches") & has_attachments(F.col("a"))).alias("attached"),
             F.when(F.col("matches"), valid_links(F.col("a"))).alias("links"),
         )
+        .observe(
+            seen,
+            F.count(F.lit(1)).alias("total"),
+            F.count_if("is_json").alias("valid_json"),
+            F.count_if("matches").alias("matching_category"),
+            F.count_if("attached").alias("has_attachments"),
+        )
     )
-    lines = rows.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("is_json").alias("valid_json"),
-        F.count_if("matches").alias("matching_category"),
-        F.count_if("attached").alias("has_attachments"),
-    )
+    lines = items.sparkSession.createDataFrame([tuple(seen.get[level] for level in FUNNEL[:4])], ", ".join(f"{level} long" for level in FUNNEL[:4]))
     # Counted per URL first, so a URL that fills the dump is one row in the join.
     per_url = rows.select(F.explode("links").alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("seen"))
     known = registry.select(F.col("url").alias("link")).distinct().withColumn("known", F.lit(True))

@@ -14,7 +14,7 @@ from larkspan.operators.lookups import strict_lookup
 from larkspan.plans.catalog import query
 from larkspan.plans.scalars import _run_at
 from larkspan.session import load, staging_path
-from larkspan.sources import feeds, files, lines, tables
+from larkspan.sources import feeds, files, lines, tables, versions
 
 
 def offer_feed(spark: SparkSession, d: str, compression: str = "none") -> str:
@@ -286,6 +286,19 @@ def a4_links_after_skip(spark: SparkSession, d: str) -> DataFrame:
     return lines.links(found).select("url")
 
 
+@query("SELECT o_orderkey AS id, count(l_linenumber) AS houses FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def a11_refresh_together(spark: SparkSession, d: str) -> DataFrame:
+    """Parents and children replaced at once, twice; the reader gets both of the last load."""
+    path = staging_path(spark, "pair")
+    parents = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    children = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), "l_linenumber")
+    versions.refresh_together({"parents": parents.where("id % 2 = 0"), "children": children.where("parent % 2 = 0")}, path)
+    versions.refresh_together({"parents": parents, "children": children}, path)
+    parents, children = versions.read_together(spark, path, "parents", "children")
+    counted = children.groupBy(F.col("parent").alias("id")).agg(F.count("l_linenumber").alias("houses"))
+    return parents.join(counted, "id", "left").select("id", F.coalesce("houses", F.lit(0)).alias("houses"))
+
+
 @query("SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def a5_file_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Texts written in one folder per language and listed recursively."""

@@ -384,3 +384,10 @@ def test_citations(spark):
     schema = "answer_id long, citations array<struct<sources: array<struct<type: string, part: string>>>>"
     got = rows(retrieval.citation_sources(spark.createDataFrame(data, schema)), "answer_id", "number", "part")
     assert got == [(1, 1, "a"), (1, 1, "b"), (1, 3, "d")]
+
+
+def test_tolerances_too_wide_for_the_cells_are_refused(spark):
+    files = spark.createDataFrame([("a", 100, 1.0)], "path string, size long, mtime double")
+    with pytest.raises(ValueError, match="percent"):
+        M.match_files(files, files, percent=70)
+    assert M.match_files(files, files, percent=50).count() == 1
