@@ -44,6 +44,12 @@ HEADLINE = [
     "a1_offer_feed",
     "b31_document_text",
     "h1_live_logs",
+    "i1_text_search_indexed",
+    "i2_vector_search_indexed",
+    "g2_upsert_in_place",
+    "d3_unknown_links_stored",
+    "h4_backfill_then_live",
+    "b8_leaf_columns",
 ]
 
 

@@ -54,8 +54,9 @@ def _block(rows: pa.RecordBatch, block: int) -> pa.RecordBatch:
     lengths = np.diff(ends)
     coded = tokens.flatten().dictionary_encode()
     # Each different token is lower-cased once; spellings that become equal get one number.
-    names, number = np.unique(np.array([t.lower() for t in coded.dictionary.to_pylist()], dtype=object), return_inverse=True)
-    codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    names: dict[str, int] = {}
+    number = np.array([names.setdefault(t.lower(), len(names)) for t in coded.dictionary.to_pylist()], np.int64)
+    codes = number[coded.indices.to_numpy(zero_copy_only=False)]
     chunk = np.repeat(np.arange(len(lengths)), lengths)
     key, tf = np.unique(codes * BLOCK_CHUNKS + chunk, return_counts=True)
     term, place = np.divmod(key, BLOCK_CHUNKS)
@@ -67,7 +68,7 @@ def _block(rows: pa.RecordBatch, block: int) -> pa.RecordBatch:
     whole = np.array([0, len(lengths)])
     columns = {
         "block": pa.array(np.full(n + 1, block)),
-        "term": pa.array([*names.tolist(), None], pa.string()),
+        "term": pa.array([*names, None], pa.string()),
         "chunks": pa.array(np.append(np.diff(bounds), len(lengths)), pa.int32()),
         "max_tf": pa.array(np.append(np.maximum.reduceat(tf, first) if n else tf, 0), pa.int32()),
         "min_length": pa.array(np.append(np.minimum.reduceat(lengths[place], first) if n else tf, 0), pa.int32()),
@@ -113,12 +114,10 @@ def add_documents(
     folder = versions.fresh(path, "segment")
     dealt = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", "term", "block")
     dealt.write.partitionBy("part").parquet(folder)
-    stored = spark.read.schema(_STORED).parquet(folder).where(F.col("part") == _DIRECTORY)
-    total = F.expr("chunks").cast("long")
-    tokens = spark.read.schema(_STORED).parquet(folder).where(F.col("part") == _DIRECTORY).mapInArrow(_lengths, "tokens long")
-    chunks = stored.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
-    length = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    segment = {"folder": folder, "chunks": chunks, "tokens": length}
+    blocks = spark.read.schema(_STORED).parquet(folder).where(F.col("part") == _DIRECTORY)
+    sizes = blocks.select("lengths").mapInArrow(_sizes, "chunks long, tokens long")
+    chunks, tokens = sizes.agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    segment = {"folder": folder, "chunks": chunks, "tokens": tokens}
     versions.publish(spark, path, content | {"segments": [*content["segments"], segment]}, number)
 
 
@@ -126,10 +125,12 @@ def _part(parts: int):
     return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks and tokens of each block."""
     for batch in batches:
-        sums = [int(np.frombuffer(b, "<i4").sum()) for b in batch.column("lengths").to_pylist()]
-        yield pa.record_batch([pa.array(sums, pa.int64())], names=["tokens"])
+        lengths = [np.frombuffer(b, "<i4") for b in batch.column("lengths").to_pylist()]
+        columns = [pa.array([len(x) for x in lengths], pa.int64()), pa.array([int(x.sum()) for x in lengths], pa.int64())]
+        yield pa.record_batch(columns, names=["chunks", "tokens"])
 
 
 class Search:
