@@ -83,8 +83,8 @@ def _text_pass(chunks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     n, mean_length = counted.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     df = np.zeros(len(names))
     # At most one row a term of the pass.
-    for row in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[row["term"]] = row["count"]
+    found = counted.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()
+    df[found["term"].to_numpy()] = found["count"].to_numpy()
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     # The queries of each term, one after another.
     by_term = np.argsort(term_of, kind="stable")
