@@ -18,13 +18,14 @@ from larkspan.streaming.messages import MERGE_INTERVAL
 
 # Runs of a level that are merged into one of the next.
 FAN = 8
-# Runs of one merge are small enough for this many files a level; each file is a range of chats and dates.
-FILES_PER_LEVEL = 4
 
 
 def _sorted_run(lines: DataFrame, folder: str, level: int) -> None:
-    """Files are ranges of chat and date, so that a reader of one chat skips the others and a busy chat has several."""
-    ranges = lines.repartitionByRange(max(1, level * FILES_PER_LEVEL), "chat", "date") if level else lines.coalesce(1)
+    """Files of merged runs are ranges of chat and date, so that a reader of one chat skips the others and a busy chat has several.
+
+    Their number is that of the shuffle's partitions, of which Spark merges small ones; a batch stays in its own.
+    """
+    ranges = lines.repartitionByRange("chat", "date") if level else lines
     ranges.sortWithinPartitions("chat", "date", "run", "position").write.parquet(folder)
 
 
