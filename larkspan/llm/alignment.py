@@ -74,8 +74,8 @@ class Aligner(words.Memo):
         self.groups: list[str] = []
         self.counts = np.empty((0, 3), np.int64)
 
-    def _pairs(self, chunks: list[str]) -> list[np.ndarray]:
-        """The linked pairs of each chunk. Its groups and its row of ``counts`` are kept: tokens of both sides, 1 if bytes differ."""
+    def _pairs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of the chunks and how many each has. Its groups and its row of ``counts`` are kept: tokens of both sides, 1 if bytes differ."""
         texts = [f" {c}" for c in chunks]
         raw = [t.encode() for t in texts]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -94,9 +94,9 @@ class Aligner(words.Memo):
             kept = ids[k][np.repeat(fits, many[k])]
             wrong = place[words.gathered(side.data, side.starts[kept], side.sizes[kept]) != joined]
             same[wrong] = False
-        pairs, per_chunk = self._link([i[np.repeat(same, m)] for i, m in zip(ids, many, strict=True)], [np.where(same, m, 0) for m in many])
+        found = self._link([i[np.repeat(same, m)] for i, m in zip(ids, many, strict=True)], [np.where(same, m, 0) for m in many])
         self.counts = np.concatenate([self.counts, np.stack([*many, ~same], axis=1)])
-        return np.split(pairs, np.cumsum(per_chunk)[:-1])
+        return found
 
     def _link(self, ids: list[np.ndarray], many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of chunks laid end to end and how many each has; the text of their groups is kept."""

@@ -118,19 +118,23 @@ def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> C
     find = plain_find(pattern, lowered)
     if find is None:
         return whole
-    added = [t["content"] for t in form["added_tokens"]] if special else []
-    letters, model, known = byte_letters(), tokenizer.model, {}
+    added = [re.escape(t["content"]) for t in form["added_tokens"]] if special else []
+    # Without any, nothing matches.
+    find_added = re.compile("|".join(added) or "(?!)").search
+    letters, tokens_of, known, plain = byte_letters(), tokenizer.model.tokenize, {}, _PLAIN
+    ascii_letters = {b: letter for b, letter in letters.items() if b < 128 and letter != chr(b)}
 
     def piece_ids(piece: str) -> list[int]:
         if len(known) >= memo:
             known.clear()
-        ids = known[piece] = [t.id for t in model.tokenize("".join(map(letters.__getitem__, piece.encode())))]
+        spelled = piece.translate(ascii_letters) if piece.isascii() else "".join(map(letters.__getitem__, piece.encode()))
+        ids = known[piece] = [t.id for t in tokens_of(spelled)]
         return ids
 
     def encode(chunks: list[str]) -> list[list[int]]:
         out, odd = [], []
         for i, chunk in enumerate(chunks):
-            if not is_plain(chunk) or any(a in chunk for a in added):
+            if plain(chunk) is None or find_added(chunk) is not None:
                 odd.append(i)
                 out.append([])
                 continue
@@ -210,10 +214,14 @@ def sums(sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+# The numbers of each chunk, as lists or laid end to end with how many each has.
+Encoded = Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]
+
+
 class Memo:
     """What an encoder gave for the chunks met lately: rows of numbers, laid end to end."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = MEMO_CHUNKS, dtype: type = np.uint32):
+    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = MEMO_CHUNKS, dtype: type = np.uint32):
         self.encode, self.limit, self.dtype = encode, limit, dtype
         self._renew()
 
@@ -231,8 +239,11 @@ class Memo:
             place, fresh = self.place, chunks
         if fresh:
             found = self.encode(fresh)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(sizes.sum()))
+            if isinstance(found, tuple):
+                ids, sizes = found
+            else:
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(sizes.sum()))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.ids = np.concatenate([self.ids, ids])
