@@ -21,12 +21,14 @@ from larkspan.llm import words
 from larkspan.llm.common import pick
 
 # Chunks and pieces that a worker remembers; results never depend on them.
-MEMO_CHUNKS = 300_000
-MEMO_PIECES = 200_000
+MEMO_CHUNKS = 150_000
+MEMO_PIECES = 100_000
 NONE = 1 << 62
 # Longer pieces have a tree of their own; nodes that trees in step have together.
 MOST_BYTES = 64
-TREE_NODES = 1 << 19
+TREE_NODES = 1 << 18
+# Documents whose bytes are put together at once.
+DECODED_AT_ONCE = 500
 
 
 @cache
@@ -242,14 +244,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, sizes = _token_bytes(path)
-        for batch in batches:
-            packed = batch.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(p for p in packed if p), "<u4")
-            if len(ids) and (int(ids.max()) >= len(starts) or (starts[ids] < 0).any()):
-                raise ValueError("an id is not in the rank file")
-            # Some documents at a time, as all bytes of a batch need not fit one array.
-            ends = np.cumsum([0, *[len(p or b"") // 4 for p in packed]])
-            texts = [words.gathered(data, starts[own], sizes[own]).tobytes() for own in np.split(ids, ends[1:-1])] if packed else []
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+        for whole in batches:
+            for at in range(0, len(whole), DECODED_AT_ONCE):
+                batch = whole.slice(at, DECODED_AT_ONCE)
+                packed = batch.column("ids").to_pylist()
+                ids = np.frombuffer(b"".join(p for p in packed if p), "<u4")
+                if len(ids) and (int(ids.max()) >= len(starts) or (starts[ids] < 0).any()):
+                    raise ValueError("an id is not in the rank file")
+                ends = np.cumsum([0, *[len(p or b"") // 4 for p in packed]])
+                texts = [words.gathered(data, starts[own], sizes[own]).tobytes() for own in np.split(ids, ends[1:-1])]
+                yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
