@@ -13,12 +13,12 @@ from pyspark.sql.types import BinaryType
 from larkspan.operators.lookups import strict_lookup
 from larkspan.plans.catalog import query
 from larkspan.plans.scalars import _run_at
-from larkspan.session import load, staging_path
+from larkspan.session import load, settle, staging_path
 from larkspan.sources import feeds, files, lines, tables, versions
 
 
-def offer_feed(spark: SparkSession, d: str, compression: str = "none") -> str:
-    """Orders as a nested listing feed; returns its path."""
+def nested_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as nested offers."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     text = cust.cast("string")
 
@@ -30,7 +30,7 @@ def offer_feed(spark: SparkSession, d: str, compression: str = "none") -> str:
         .when(cust % 4 == 1, F.array(F.lit("Москва"), F.lit("улица 1"), F.concat(F.lit("дом "), text)))
         .when(cust % 4 == 2, F.array(F.lit(""), F.lit("Химки"), F.lit("улица 2")))
     )
-    offers = load(spark, d, "orders").select(
+    return load(spark, d, "orders").select(
         key.alias("_internal-id"),
         F.when(F.col("o_orderstatus") == "O", "квартира").otherwise("дом").alias("category"),
         F.when(cust % 2 == 0, "0").otherwise("").alias("payed-adv"),
@@ -51,8 +51,12 @@ def offer_feed(spark: SparkSession, d: str, compression: str = "none") -> str:
         F.when(cust % 4 == 0, "Да").when(cust % 4 == 1, "нет").when(cust % 4 == 2, "1").alias("lift"),
         F.when(cust % 2 == 0, "да").otherwise("").alias("phone"),
     )
+
+
+def offer_feed(spark: SparkSession, d: str, compression: str = "none") -> str:
+    """Orders as a nested listing feed; returns its path."""
     path = staging_path(spark, "feed")
-    feeds.write_offers(offers, path, compression)
+    feeds.write_offers(nested_offers(spark, d), path, compression)
     return path
 
 
@@ -141,13 +145,14 @@ def b8_leaf_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def damaged_feed(spark: SparkSession, d: str) -> str:
     """The feed with an unclosed element in every seventh offer and a letter in every eleventh id."""
-    whole, damaged = offer_feed(spark, d), staging_path(spark, "damaged")
+    path = staging_path(spark, "damaged")
+    offer = F.to_xml(F.struct("*"), {"rowTag": "offer", "indent": ""})
+    parts = nested_offers(spark, d).select(offer.alias("value"))
     key = F.regexp_extract("value", '<offer internal-id="([0-9]+)"', 1).try_cast("long")
     value = F.when(key % 7 == 0, F.replace("value", F.lit("</category>"), F.lit(""))).otherwise(F.col("value"))
     value = F.when(key % 11 == 0, F.replace(value, F.lit('internal-id="'), F.lit('internal-id="x'))).otherwise(value)
-    parts = spark.read.option("lineSep", "</offer>").text(whole)
-    parts.select(value.alias("value")).write.option("lineSep", "</offer>").text(damaged)
-    return damaged
+    parts.select(value.alias("value")).write.text(path)
+    return path
 
 
 @query(
@@ -157,7 +162,8 @@ UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), o_orderkey % 11 = 0, tr
 )
 def a1_damaged_feed(spark: SparkSession, d: str) -> DataFrame:
     """Offers after a malformed one are read, and it is kept as text."""
-    offers = feeds.read_offers(spark, damaged_feed(spark, d))
+    # Landed, as both kinds are taken from it.
+    offers = settle(feeds.read_offers(spark, damaged_feed(spark, d)))
     flat = feeds.flat_offers(offers).select(
         "id",
         F.col("sales_agent_agency_id").cast("string").alias("agency"),
@@ -236,7 +242,7 @@ def complex_feed(spark: SparkSession, d: str) -> str:
         )
     )
     path = staging_path(spark, "complexes")
-    nested.write.format("xml").option("rowTag", "newobject").option("rootTag", "newobjects").save(path)
+    nested.write.format("xml").option("rowTag", "newobject").option("rootTag", "newobjects").option("indent", "").save(path)
     return path
 
 

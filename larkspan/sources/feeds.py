@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
@@ -93,26 +94,35 @@ def _records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     The file is cut at the closing tags and again before opening tags.
     """
     parts = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    records = F.split("value", f"(?s)(?=<{row_tag}[\\s/>])")
-    opened = F.filter(records, lambda r: F.startswith(r, F.lit(f"<{row_tag}")))
-    last = F.size(opened) - 1
-    # Only the last part of a piece stands before a closing tag; an element without content has none.
-    closed = F.transform(opened, lambda r, i: F.when(i == last, F.concat(r, F.lit(f"</{row_tag}>"))).otherwise(r))
+    # Of a piece only its last part stands before the closing tag. The pattern begins with plain letters, which are looked for fast.
+    pieces = F.split(F.concat("value", F.lit(f"</{row_tag}>")), f"<{row_tag}(?=[\\s/>])")
+    named = parts.select(F.posexplode(pieces).alias("at", "piece"))
+    # What stands before the first opening tag is no record, but for an element whose name only begins like it.
+    opened = named.where((F.col("at") > 0) | F.startswith("piece", F.lit(f"<{row_tag}")))
+    record = F.when(F.col("at") > 0, F.concat(F.lit(f"<{row_tag}"), "piece")).otherwise(F.col("piece"))
+    # An element without content has no closing tag of its own.
     alone = rf"(?s)^(<{row_tag}(?:\s[^>]*)?/>).*$"
-    return parts.select(F.explode(closed).alias("record")).select(F.regexp_replace("record", alone, "$1").alias("record"))
+    closed = F.endswith(F.substring_index("record", ">", 1), F.lit("/"))
+    shorter = F.when(closed, F.regexp_replace("record", alone, "$1")).otherwise(F.col("record"))
+    return opened.select(record.alias("record")).select(shorter.alias("record"))
 
 
-def read_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+def read_rows(
+    spark: SparkSession, path: str, row_tag: str, schema: T.StructType, partitions: int | None = None
+) -> DataFrame:
     """Rows of a UTF-8 XML file, plain or gzip. Empty elements give '' so that blank and absent differ.
 
     Each record is parsed by itself: an element that is not well-formed costs no other one. Such a record keeps
-    its text in ``_malformed``.
+    its text in ``_malformed``. With ``partitions`` the texts are spread before they are parsed.
     """
     kind = T.StructType([*schema, T.StructField(MALFORMED, T.StringType())])
     options = {
         "rowTag": row_tag, "nullValue": "\0", "ignoreSurroundingSpaces": "true", "columnNameOfCorruptRecord": MALFORMED,
     }
-    return _records(spark, path, row_tag).select(F.from_xml("record", kind, options).alias("row")).select("row.*")
+    records = _records(spark, path, row_tag)
+    records = records.repartition(partitions) if partitions else records
+    # A filter on the columns would move below a plain select and parse each record once more; it stays above an explode.
+    return records.select(F.explode(F.array(F.from_xml("record", kind, options))).alias("row")).select("row.*")
 
 
 LEAVES = T.StructType(
@@ -125,30 +135,34 @@ LEAVES = T.StructType(
 
 def _leaves_of(record: str) -> list[tuple[str, str]] | None:
     """(path, text) of the attributes of the record and of its elements without children, in order; None if malformed."""
-    path: list[str] = []
+    # The paths of the open elements.
+    open_paths: list[str] = []
     content: list[str] | None = None
     found: list[tuple[str, str]] = []
 
     def start(name: str, attributes: dict[str, str]) -> None:
         nonlocal content
-        if path:
+        if open_paths:
             content = []
+            above = open_paths[-1]
+            open_paths.append(f"{above}/{name}" if above else name)
         else:
             found.extend((f"_{k}", v) for k, v in attributes.items())
-        path.append(name)
+            open_paths.append("")
 
     def end(_: str) -> None:
         nonlocal content
+        path = open_paths.pop()
         if content is not None:
-            found.append(("/".join(path[1:]), "".join(content).strip()))
-        content = None
-        path.pop()
+            found.append((path, "".join(content).strip()))
+            content = None
 
     def text(data: str) -> None:
         if content is not None:
             content.append(data)
 
     parser = expat.ParserCreate()
+    parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
     try:
         parser.Parse(record, True)
@@ -157,17 +171,24 @@ def _leaves_of(record: str) -> list[tuple[str, str]] | None:
     return found
 
 
+def _pairs(found: list[list[tuple[str, str]] | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Where the pairs of each record begin, with NULL for a malformed one, and all paths and texts one after another."""
+    ends = itertools.accumulate((len(f or ()) for f in found), initial=0)
+    offsets = pa.array([end if f is not None else None for end, f in zip(ends, [*found, []], strict=True)], pa.int32())
+    pairs = [pair for f in found if f is not None for pair in f]
+    return offsets, pa.array([path for path, _ in pairs], pa.string()), pa.array([value for _, value in pairs], pa.string())
+
+
 def _parse_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         records = batch.column("record").to_pylist()
         found = [_leaves_of(r) for r in records]
-        leaves = [None if f is None else [{"path": p, "value": v} for p, v in f] for f in found]
+        offsets, paths, values = _pairs(found)
         # Of a repeated element the last one counts.
-        last = [None if f is None else list(dict(f).items()) for f in found]
-        kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+        last = _pairs([None if f is None else list(dict(f).items()) for f in found])
         columns = [
-            pa.array(leaves, kind),
-            pa.array(last, pa.map_(pa.string(), pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([paths, values], ["path", "value"])),
+            pa.MapArray.from_arrays(*last),
             pa.array([r if f is None else None for r, f in zip(records, found, strict=True)], pa.string()),
         ]
         yield pa.record_batch(columns, names=["leaves", "last", MALFORMED])
@@ -200,8 +221,7 @@ def read_offers(spark: SparkSession, path: str, partitions: int | None = None) -
 
     A gzip file is one task: pass ``partitions`` to spread its rows.
     """
-    offers = read_rows(spark, path, "offer", OFFER_SCHEMA)
-    return offers.repartition(partitions) if partitions else offers
+    return read_rows(spark, path, "offer", OFFER_SCHEMA, partitions)
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
@@ -233,16 +253,15 @@ def flat_leaves(rows: DataFrame, rules: dict[str, Callable[[Column], Column]] |
     Of address elements and localities after the first non-empty one, the last in the document is the address.
     ``other`` maps the paths that the schema lacks to their last text; ``district`` is ignored wherever it is.
     """
-    rows = _well_formed(rows)
-    named = F.transform("leaves", lambda x, i: F.struct(x["path"].alias("path"), x["value"].alias("value"), i.alias("at")))
-    places = F.filter(named, lambda x: x["path"] == "location/locality-name")
-    first = F.coalesce(F.get(F.filter(places, lambda x: x["value"] != ""), F.lit(0)), F.get(places, F.lit(0)))
-    settled = F.when(first["value"] != "", first["at"])
-    addresses = F.filter(
-        named, lambda x: (x["path"] == "location/address") | ((x["path"] == "location/locality-name") & (x["at"] > settled))
-    )
+    locality, address = (lambda x: x["path"] == "location/locality-name"), (lambda x: x["path"] == "location/address")
+    filled = F.transform("leaves", lambda x, i: F.when(locality(x) & (x["value"] != ""), i))
+    # In a select of its own, or it is found again for every use.
+    rows = _well_formed(rows).select("leaves", "last", F.array_min(filled).alias("settled"))
+    addresses = F.filter("leaves", lambda x, i: address(x) | (locality(x) & (i > F.col("settled"))))
     given = {
-        ("location", "locality-name"): first["value"],
+        ("location", "locality-name"): F.coalesce(
+            F.get("leaves", F.col("settled"))["value"], F.get(F.filter("leaves", locality), F.lit(0))["value"]
+        ),
         ("location", "address"): F.try_element_at(addresses, F.lit(-1))["value"],
         ("image",): F.nullif(F.transform(F.filter("leaves", lambda x: x["path"] == "image"), lambda x: x["value"]), F.array().cast("array<string>")),
     }
@@ -276,7 +295,9 @@ def _typed(
                 rejects.append(F.when(V.int_rejected(source, leaf in LENIENT_INTS), F.lit(name)))
             elif leaf in FLOATS:
                 rejects.append(F.when(source.isNotNull() & V.comma_float(source).isNull(), F.lit(name)))
-    return [*columns, F.array_compact(F.array(*rejects)).alias("rejected_fields")]
+    # A filter of an array would leave the generated code, and all rules with it.
+    named = F.array(*[F.coalesce(r, F.lit("")) for r in rejects])
+    return [*columns, F.array_remove(named, "").alias("rejected_fields")]
 
 
 def first_locality(names: Column) -> Column:
@@ -316,11 +337,12 @@ def _well_formed(nested: DataFrame) -> DataFrame:
 
 
 def write_offers(offers: DataFrame, path: str, compression: str = "none") -> None:
-    """Nested offers as a feed; malformed records are left out."""
+    """Nested offers as a feed, a line each; malformed records are left out."""
     (
         _well_formed(offers).drop(MALFORMED).write.format("xml")
         .option("rowTag", "offer")
         .option("rootTag", "realty-feed")
+        .option("indent", "")
         .option("compression", compression)
         .save(path)
     )
@@ -334,6 +356,5 @@ def feed_sample(offers: DataFrame, count: int = 100) -> DataFrame:
 
 def offer_count(spark: SparkSession, path: str) -> DataFrame:
     """A14. Number of offers in a feed, malformed ones included."""
-    return read_rows(spark, path, "offer", T.StructType(_strings(ID_ATTRIBUTE))).agg(
-        F.count(F.lit(1)).alias("offers")
-    )
+    # A record counts whether it can be parsed or not, so none is.
+    return _records(spark, path, "offer").agg(F.count(F.lit(1)).alias("offers"))

@@ -8,6 +8,7 @@ import tracemalloc
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import registry as R
 from larkspan.operators.listings import keep_rule
 from larkspan.operators.lookups import strict_lookup, unknown_names
+from larkspan.plans import sources as plans
 from larkspan.sources import feeds, files, lines, tables
 
 FEED = """<?xml version="1.0" encoding="utf-8"?><realty-feed><generation-date>2024-01-01</generation-date>
@@ -83,6 +85,52 @@ def test_feed_sample(spark, feed, tmp_path):
     assert rows(again, "id", "location_address") == [(1, "дом 2"), (2, None)]
 
 
+def test_records_are_parsed_once(spark, feed):
+    flat = feeds.flat_offers(feeds.read_offers(spark, feed))
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
+def test_offers_are_written_a_line_each(spark, feed, tmp_path):
+    path = tmp_path / "lines"
+    feeds.write_offers(feeds.read_offers(spark, feed).coalesce(1), str(path))
+    (part,) = path.glob("part-*")
+    text = part.read_text(encoding="utf-8")
+    assert sum(line.startswith("<offer ") for line in text.splitlines()) == 5
+    assert ">\n    <" not in text
+
+
+def test_damaged_feed_is_written_once(spark, tmp_path, monkeypatch):
+    orders = [(7, "O", 1.5, "1-URGENT", 3), (8, "F", 2.5, "5-LOW", 4), (11, "O", 3.5, "5-LOW", 5), (None, "F", 4.5, "5-LOW", 6)]
+    kind = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, o_custkey long"
+    spark.createDataFrame(orders, kind).write.parquet(str(tmp_path / "orders.parquet"))
+    labels, staging = [], plans.staging_path
+    monkeypatch.setattr(plans, "staging_path", lambda session, label: labels.append(label) or staging(session, label))
+    path = plans.damaged_feed(spark, str(tmp_path))
+    assert labels == ["damaged"]
+    offers = feeds.read_offers(spark, path)
+    got = [(r["id"], r["rejected_fields"]) for r in feeds.flat_offers(offers).collect()]
+    assert sorted(got, key=str) == [(8, ["floor"]), (None, ["floor"]), (None, ["id", "rooms"])]
+    assert feeds.malformed(offers).count() == 1
+    assert feeds.offer_count(spark, path).first()["offers"] == 4
+
+
+def test_records_between_odd_elements(spark, tmp_path):
+    path = tmp_path / "odd.xml"
+    path.write_text('<r><offers/><offer internal-id="1"/>x<offer internal-id="2"><rooms>1</rooms></offer><offer><offer internal-id="3"></offer></r>')
+    got = [r["record"] for r in feeds._records(spark, str(path), "offer").collect()]
+    assert sorted(got, key=len) == ["<offer>", '<offer internal-id="1"/>', '<offer internal-id="3"></offer>', '<offer internal-id="2"><rooms>1</rooms></offer>']
+
+
+def test_archive_texts_in_small_frames():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr(files.MAIN_PART, "<w:p><w:t>" + "x" * 100 + "</w:t></w:p>")
+    batch = pd.Series([buffer.getvalue(), None] * 5)
+    frames = list(files.archive_texts(iter([batch]), limit=300))
+    assert max(len(f) for f in frames) < 5
+    assert [t is None for f in frames for t in f["run_text"]] == [False, True] * 5
+
+
 COMPLEXES = """<newobjects><newobject id="1"><name>A</name><region>Чеченская Республика</region><address>x</address>
 <houses><house Id="11"><name>h1</name><address>a1</address></house><house Id="12"><name>h2</name><address>a2</address></house></houses></newobject>
 <newobject id="2"><name>B</name><region>Нигде</region><address>y</address><houses/></newobject></newobjects>"""
