@@ -27,6 +27,8 @@ TEXT_PARTS = [MAIN_PART, "word/document2.xml", "word/header1.xml", "word/footer1
 RUN = re.compile(r"<w:t[^>]*>(.*?)</w:t>", re.DOTALL)
 # What a task holds of a file that it digests.
 PIECE_BYTES = 8 << 20
+# Text of archives that a task holds before it is handed on.
+ARCHIVE_BYTES = 4 << 20
 PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.DOTALL)
 
 
@@ -163,11 +165,23 @@ ARCHIVE = T.StructType(
 )
 
 
+def archive_texts(batches: Iterator[pd.Series], limit: int = ARCHIVE_BYTES) -> Iterator[pd.DataFrame]:
+    """Text of archives in frames of some ``limit`` bytes of text, however many rows a batch has."""
+    for batch in batches:
+        rows, held = [], 0
+        for data in batch:
+            rows.append((None, None, None, None) if data is None else _archive_text(data))
+            held += sum(len(text) for text in rows[-1][1:] if text)
+            if held >= limit:
+                yield pd.DataFrame(rows, columns=ARCHIVE.names, dtype=object)
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=ARCHIVE.names, dtype=object)
+
+
 @F.pandas_udf(ARCHIVE)
-def open_archive(content: pd.Series) -> pd.DataFrame:
-    """B31. Text of the zip archives in a batch; NULL stays NULL."""
-    rows = [(None, None, None, None) if data is None else _archive_text(data) for data in content]
-    return pd.DataFrame(rows, columns=ARCHIVE.names, dtype=object)
+def open_archive(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """B31. Text of the zip archives; NULL stays NULL."""
+    return archive_texts(content)
 
 
 def documents(files: DataFrame) -> DataFrame:
