@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,26 +62,74 @@ def term_counts(chunks: DataFrame, number: dict[str, int]) -> DataFrame:
     return chunks.mapInPandas(count, "doc_id long, chunk_no int, length int, terms array<int>, tfs array<int>")
 
 
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """Length of each chunk, and all its words in lower case with their counts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [Counter(map(str.lower, words)) for words in batch["tokens"]]
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"],
+                    "chunk_no": batch["chunk_no"],
+                    "length": [len(words) for words in batch["tokens"]],
+                    "words": [list(c) for c in found],
+                    "tfs": [list(c.values()) for c in found],
+                }
+            )
+
+    return chunks.mapInPandas(count, "doc_id long, chunk_no int, length int, words array<string>, tfs array<int>")
+
+
+def known_counts(counted: DataFrame, names: list[str]) -> DataFrame:
+    """``term_counts`` of chunks whose ``word_counts`` are there: Arrow looks the words up, Python holds none of them."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            words, tfs = batch.column("words"), batch.column("tfs")
+            found = pc.index_in(words.flatten(), value_set=known)
+            met = found.is_valid()
+            ends = words.offsets.to_numpy().astype(np.int64)
+            before = np.concatenate(([0], np.cumsum(met.to_numpy(zero_copy_only=False))))
+            offsets = pa.array(before[ends - ends[0]], pa.int32())
+            columns = [
+                *(batch.column(name) for name in ("doc_id", "chunk_no", "length")),
+                pa.ListArray.from_arrays(offsets, found.filter(met)),
+                pa.ListArray.from_arrays(offsets, tfs.flatten().filter(met)),
+            ]
+            yield pa.record_batch(columns, names=["doc_id", "chunk_no", "length", "terms", "tfs"])
+
+    return counted.mapInArrow(number, "doc_id long, chunk_no int, length int, terms array<int>, tfs array<int>")
+
+
 def text_search(chunks: DataFrame, queries: DataFrame, k: int = 5, pass_terms: int = PASS_TERMS) -> DataFrame:
     """I1. The k best chunks per query by BM25.
 
     The texts are read once, for the counts of the queries' terms in each chunk. A chunk is scored where its
     counts are read, by one sparse product a batch, and only k rows for each query and batch move. Queries
-    with more than ``pass_terms`` terms together are searched in several such passes.
+    with more than ``pass_terms`` terms together are searched in several such passes over the counts of all words,
+    which are written once.
     """
     terms = settle(query_terms(queries))
     blocks = max(1, -(-terms.count() // pass_terms))
-    hits = [
-        _text_pass(chunks, terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k) for block in range(blocks)
-    ]
+    if blocks == 1:
+        count = partial(_counts_of_terms, chunks)
+    else:
+        count = partial(known_counts, settle(word_counts(chunks)))
+    hits = [_text_pass(count, terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k) for block in range(blocks)]
     return _top(reduce(DataFrame.unionByName, hits), k, [F.col("key").desc(), F.col("doc_id"), F.col("chunk_no")])
 
 
-def _text_pass(chunks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def _counts_of_terms(chunks: DataFrame, names: list[str]) -> DataFrame:
+    return term_counts(chunks, {t: i for i, t in enumerate(names)})
+
+
+def _text_pass(count: Callable[[list[str]], DataFrame], terms: DataFrame, k: int) -> DataFrame:
     known = terms.toPandas()
     names, term_of = np.unique(known["term"].to_numpy(dtype=str), return_inverse=True)
     query_ids, query_of = np.unique(known["query_id"].to_numpy(dtype=np.int64), return_inverse=True)
-    counted = settle(term_counts(chunks, {t: i for i, t in enumerate(names.tolist())}))
+    counted = settle(count(names.tolist()))
     n, mean_length = counted.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     df = np.zeros(len(names))
     # At most one row a term of the pass.

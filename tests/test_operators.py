@@ -391,3 +391,27 @@ def test_tolerances_too_wide_for_the_cells_are_refused(spark):
     with pytest.raises(ValueError, match="percent"):
         M.match_files(files, files, percent=70)
     assert M.match_files(files, files, percent=50).count() == 1
+
+
+def test_passes_of_a_text_search_share_the_reading_of_texts(spark, tmp_path):
+    """Any number of passes cuts and counts the texts once and finds what one pass finds."""
+    folder = str(tmp_path)
+
+    def noted(batches):
+        import os
+        import uuid
+
+        for batch in batches:
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            yield batch
+
+    texts = [(1, "The cat sat on the mat"), (2, "a Dog met a cat"), (3, ""), (None, "mat"), (5, None), (2, "a Dog met a cat")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    chunks = retrieval.chunk_table(documents.mapInPandas(noted, documents.schema), 4, 1)
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["cat mat", "dog", "the cat", "none here", "met a"])], "query_id long, text string")
+    columns = ("query_id", "doc_id", "chunk_no", "score", "rank")
+    several = [tuple(r) for r in retrieval.text_search(chunks, queries, k=3, pass_terms=2).select(*columns).collect()]
+    assert len(list(tmp_path.iterdir())) == 1
+    one = [tuple(r) for r in retrieval.text_search(chunks, queries, k=3).select(*columns).collect()]
+    assert sorted(map(str, several)) == sorted(map(str, one))
+    assert several
