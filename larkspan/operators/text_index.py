@@ -13,20 +13,25 @@ are scored; then only blocks whose bound reaches the query's k-th score so far.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import texts
-from larkspan.operators.retrieval import B, K1, TEXT_PLACES, chunk_table, query_terms
+from larkspan.operators.retrieval import B, K1, TEXT_PLACES, TILE_SCORES, _highest, query_terms
 from larkspan.session import settle
 from larkspan.sources import versions
 
 PARTS = 64
 BLOCK_CHUNKS = 1_024
+# Text of the documents that a task cuts into chunks at once, unless one document has more.
+SLICE_BYTES = 32 << 20
 # Blocks of each query that are scored before the others are held against the k-th score.
 FIRST_BLOCKS = 2
 # Part of the rows that describe blocks.
@@ -46,50 +51,99 @@ def _cells(values: np.ndarray, ends: np.ndarray, kind: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _block(rows: pa.RecordBatch, block: int) -> pa.RecordBatch:
-    """The postings of a block of chunks and the row that describes it."""
-    tokens = rows.column("tokens")
-    ends = tokens.offsets.to_numpy().astype(np.int64)
+class _Chunks(NamedTuple):
+    """Chunks of some documents: ``length`` words from place ``first`` on of all their words, which are numbers of ``terms``."""
+
+    words: np.ndarray
+    terms: pa.Array
+    doc_id: np.ndarray
+    chunk_no: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+
+
+def _lower(words: pa.Array) -> pa.Array:
+    """As Python lower-cases; only words with letters beyond ASCII go through it."""
+    odd = pc.invert(pc.string_is_ascii(words))
+    changed = pa.array([w.lower() for w in words.filter(odd).to_pylist()], words.type)
+    return pc.replace_with_mask(pc.ascii_lower(words), odd, changed)
+
+
+def _cut(documents: pa.RecordBatch, size: int, overlap: int) -> _Chunks:
+    """The chunks of ``retrieval.chunk_table``; a word that lies in two of them is looked at once."""
+    # Arrow's white space of ASCII is that of ``texts.tokens``.
+    trimmed = pc.ascii_trim_whitespace(documents.column("text"))
+    filled = pc.fill_null(pc.greater(pc.binary_length(trimmed), 0), False)
+    split = pc.ascii_split_whitespace(trimmed.filter(filled))
+    ends = split.offsets.to_numpy().astype(np.int64)
     ends -= ends[0]
-    lengths = np.diff(ends)
-    coded = tokens.flatten().dictionary_encode()
-    # Each different token is lower-cased once; spellings that become equal get one number.
-    names: dict[str, int] = {}
-    number = np.array([names.setdefault(t.lower(), len(names)) for t in coded.dictionary.to_pylist()], np.int64)
-    codes = number[coded.indices.to_numpy(zero_copy_only=False)]
+    coded = split.flatten().dictionary_encode()
+    # Each different word is lower-cased once; spellings that become equal get one number.
+    named = _lower(coded.dictionary).dictionary_encode()
+    number = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    step = size - overlap
+    count = np.maximum(np.diff(ends) - overlap - 1, 0) // step + 1
+    document = np.repeat(np.arange(len(count)), count)
+    chunk_no = np.arange(len(document)) - np.repeat(np.cumsum(count) - count, count)
+    first = ends[document] + chunk_no * step
+    return _Chunks(
+        number[coded.indices.to_numpy(zero_copy_only=False)],
+        named.dictionary,
+        documents.column("doc_id").filter(filled).to_numpy()[document],
+        chunk_no,
+        first,
+        np.minimum(ends[document + 1] - first, size),
+    )
+
+
+def _block(rows: _Chunks, start: int, end: int, block: int) -> pa.RecordBatch:
+    """The postings of the block of these chunks and the row that describes it."""
+    lengths = rows.length[start:end]
+    before = np.cumsum(lengths) - lengths
+    word = rows.words[np.repeat(rows.first[start:end] - before, lengths) + np.arange(int(lengths.sum()))]
     chunk = np.repeat(np.arange(len(lengths)), lengths)
-    key, tf = np.unique(codes * BLOCK_CHUNKS + chunk, return_counts=True)
+    key, tf = np.unique(word * BLOCK_CHUNKS + chunk, return_counts=True)
     term, place = np.divmod(key, BLOCK_CHUNKS)
-    first = np.searchsorted(term, np.arange(len(names)))
+    first = np.flatnonzero(np.diff(term, prepend=-1))
     bounds = np.append(first, len(term))
     steps = np.diff(place, prepend=0)
     steps[first] = place[first]
-    n = len(names)
+    n = len(first)
     whole = np.array([0, len(lengths)])
     columns = {
         "block": pa.array(np.full(n + 1, block)),
-        "term": pa.array([*names, None], pa.string()),
+        "term": pa.concat_arrays([rows.terms.take(pa.array(term[first])), pa.nulls(1, pa.string())]),
         "chunks": pa.array(np.append(np.diff(bounds), len(lengths)), pa.int32()),
-        "max_tf": pa.array(np.append(np.maximum.reduceat(tf, first) if n else tf, 0), pa.int32()),
-        "min_length": pa.array(np.append(np.minimum.reduceat(lengths[place], first) if n else tf, 0), pa.int32()),
+        "max_tf": pa.array(np.append(np.maximum.reduceat(tf, first), 0), pa.int32()),
+        "min_length": pa.array(np.append(np.minimum.reduceat(lengths[place], first), 0), pa.int32()),
         "steps": pa.concat_arrays([_cells(steps, bounds, "<u2"), pa.nulls(1, pa.binary())]),
         "tfs": pa.concat_arrays([_cells(tf, bounds, "<u4"), pa.nulls(1, pa.binary())]),
-        "doc_ids": pa.concat_arrays([pa.nulls(n, pa.binary()), _cells(rows.column("doc_id").to_numpy(), whole, "<i8")]),
-        "chunk_nos": pa.concat_arrays([pa.nulls(n, pa.binary()), _cells(rows.column("chunk_no").to_numpy(), whole, "<i4")]),
+        "doc_ids": pa.concat_arrays([pa.nulls(n, pa.binary()), _cells(rows.doc_id[start:end], whole, "<i8")]),
+        "chunk_nos": pa.concat_arrays([pa.nulls(n, pa.binary()), _cells(rows.chunk_no[start:end], whole, "<i4")]),
         "lengths": pa.concat_arrays([pa.nulls(n, pa.binary()), _cells(lengths, whole, "<i4")]),
     }
     return pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def _postings(chunks: DataFrame, block_chunks: int) -> DataFrame:
+def _slices(documents: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of whole documents of some ``SLICE_BYTES`` of text."""
+    size = pc.fill_null(pc.binary_length(documents.column("text")), 0).to_numpy().astype(np.int64)
+    starts = np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE_BYTES, prepend=-1))
+    for start, end in pairwise([*starts.tolist(), len(size)]):
+        yield documents.slice(start, end - start)
+
+
+def _postings(documents: DataFrame, size: int, overlap: int, block_chunks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, len(batch), block_chunks):
-                yield _block(batch.slice(at, block_chunks), block)
-                block += 1
+            for documents in _slices(batch):
+                rows = _cut(documents, size, overlap)
+                for start in range(0, len(rows.length), block_chunks):
+                    yield _block(rows, start, min(start + block_chunks, len(rows.length)), block)
+                    block += 1
 
-    return chunks.select("doc_id", "chunk_no", "tokens").mapInArrow(run, _ROW)
+    return documents.select("doc_id", "text").mapInArrow(run, _ROW)
 
 
 def add_documents(
@@ -109,10 +163,10 @@ def add_documents(
     spark = documents.sparkSession
     number, content = versions.current(spark, path)
     content = content or {"size": size, "overlap": overlap, "parts": parts, "segments": []}
-    rows = _postings(chunk_table(documents, content["size"], content["overlap"]), block_chunks)
+    rows = _postings(documents, content["size"], content["overlap"], block_chunks)
     part = F.when(F.col("term").isNull(), F.lit(_DIRECTORY)).otherwise(_part(content["parts"]))
     folder = versions.fresh(path, "segment")
-    dealt = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", "term", "block")
+    dealt = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part")
     dealt.write.partitionBy("part").parquet(folder)
     blocks = spark.read.schema(_STORED).parquet(folder).where(F.col("part") == _DIRECTORY)
     sizes = blocks.select("lengths").mapInArrow(_sizes, "chunks long, tokens long")
@@ -156,9 +210,11 @@ class Search:
         return out
 
     def asked(self) -> DataFrame:
-        """The terms of the queries that the index has, with their weight; written."""
-        postings = self.stored(self.parts).select("term", "segment", "block", "chunks", "max_tf", "min_length")
-        wanted = settle(postings.join(self.terms.select("term").distinct(), "term", "left_semi"))
+        """The postings of the queries' terms, with the terms' weight. They are read once and written, with their content."""
+        fields = ["term", "segment", "block", "chunks", "max_tf", "min_length", "steps", "tfs"]
+        postings = self.stored(self.parts).select(*fields)
+        self.postings = settle(postings.join(self.terms.select("term").distinct(), "term", "left_semi"))
+        wanted = self.postings.drop("steps", "tfs")
         df = wanted.groupBy("term").agg(F.sum("chunks").alias("df"))
         idf = F.log1p((self.chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return wanted.join(df.select("term", idf.alias("idf")), "term")
@@ -173,10 +229,10 @@ class Search:
         return settle(bound.groupBy("query_id", "segment", "block").agg(F.sum("most").alias("bound")))
 
     def scores(self, pairs: DataFrame, k: int) -> DataFrame:
-        """The k best chunks of each query in each of the blocks (query_id, segment, block)."""
+        """The k best chunks of each query in each of the blocks (query_id, segment, block); ``bounds`` comes before."""
         asking = pairs.join(self.terms, "query_id").join(self.weights, "term")
         terms = asking.select("term", "segment", "block").distinct()
-        postings = self.stored(self.parts).join(terms, ["term", "segment", "block"], "left_semi").join(self.weights, "term")
+        postings = self.postings.join(terms, ["term", "segment", "block"], "left_semi").join(self.weights, "term")
         blocks = self.stored([_DIRECTORY]).join(pairs.select("segment", "block").distinct(), ["segment", "block"], "left_semi")
         fields = ["segment", "block", "kind", "query_id", "term", "idf", "steps", "tfs", "doc_ids", "chunk_nos", "lengths"]
         rows = (
@@ -191,67 +247,105 @@ class Search:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = _Block(mean_length, k)
             for batch in batches:
-                columns = [batch.column(f).to_pylist() for f in fields]
-                for segment, block, kind, *row in zip(*columns, strict=True):
-                    if (segment, block) != state.key:
+                # Stretches of one block and kind.
+                keys = [batch.column(f).to_numpy() for f in ("segment", "block", "kind")]
+                starts = np.flatnonzero(np.any([np.diff(key, prepend=key[:1] - 1) != 0 for key in keys], axis=0))
+                for start, end in pairwise([*starts.tolist(), len(batch)]):
+                    key = (int(keys[0][start]), int(keys[1][start]))
+                    if key != state.key:
                         yield from state.finish()
-                        state.key = (segment, block)
-                    state.take(kind, *row)
-                if state.full():
-                    yield from state.flush()
+                        state.key = key
+                    yield from state.take(int(keys[2][start]), batch.slice(start, end - start))
             yield from state.finish()
 
         return dealt.mapInArrow(run, "query_id long, doc_id long, chunk_no int, score double")
 
 
+def _joined(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary values one after another, and how many each has."""
+    size = pc.binary_length(cells).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(cells.to_pylist()), kind), size
+
+
 class _Block:
-    """Scores of one block after another; rows come by block, kind and query."""
+    """Scores of one block after another; rows come by block, kind and query.
+
+    What is held is the block's postings of the terms asked for, and the terms of some thousand rows of queries.
+    """
 
     def __init__(self, mean_length: float, k: int):
         self.mean_length, self.k, self.key = mean_length, k, None
-        self.query: int | None = None
-        self.found: list[tuple] = []
-        self.added: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._clear()
 
-    def take(self, kind, query_id, term, idf, steps, tfs, doc_ids, chunk_nos, lengths) -> None:
+    def _clear(self) -> None:
+        self.stored: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.terms: pa.Array | None = None
+        self.query = self.term = np.empty(0, np.int64)
+
+    def take(self, kind: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if kind == 0:
+            doc_ids, chunk_nos, lengths = (rows.column(c)[0].as_py() for c in ("doc_ids", "chunk_nos", "lengths"))
             self.doc_ids, self.chunk_nos = np.frombuffer(doc_ids, "<i8"), np.frombuffer(chunk_nos, "<i4")
             self.norm = K1 * (1 - B + B * np.frombuffer(lengths, "<i4") / self.mean_length)
             self.by_place = np.lexsort((self.chunk_nos, self.doc_ids))
         elif kind == 1:
-            place, tf = np.cumsum(np.frombuffer(steps, "<u2").astype(np.int64)), np.frombuffer(tfs, "<u4").astype(np.float64)
-            self.added[term] = place, idf * tf * (K1 + 1) / (tf + self.norm[place])
+            steps, size = _joined(rows.column("steps"), "<u2")
+            tf = _joined(rows.column("tfs"), "<u4")[0].astype(np.float64)
+            # Steps add up to places within each posting.
+            total = np.cumsum(steps.astype(np.int64))
+            before = np.concatenate(([0], total))[np.cumsum(size) - size]
+            place = total - np.repeat(before, size)
+            idf = np.repeat(rows.column("idf").to_numpy(), size)
+            self.stored.append((rows.column("term"), size, place, idf * tf * (K1 + 1) / (tf + self.norm[place])))
         else:
-            if query_id != self.query:
-                self._end_query()
-                self.query, self.score, self.met = query_id, np.zeros(len(self.norm)), np.zeros(len(self.norm), bool)
-            if term in self.added:
-                place, value = self.added[term]
-                self.score[place] += value
-                self.met[place] = True
-
-    def _end_query(self) -> None:
-        if self.query is None:
+            if self.terms is None:
+                self._ready()
+            self.query = np.append(self.query, rows.column("query_id").to_numpy())
+            self.term = np.append(self.term, pc.fill_null(pc.index_in(rows.column("term"), self.terms), -1).to_numpy())
+            # The last query may go on in the next batch.
+            done = int(np.searchsorted(self.query, self.query[-1]))
+            yield from self._scored(self.query[:done], self.term[:done])
+            self.query, self.term = self.query[done:], self.term[done:]
+
+    def _ready(self) -> None:
+        terms, sizes, places, values = zip(*self.stored, strict=True) if self.stored else ([pa.array([], pa.string())], *[[np.empty(0, np.int64)]] * 3)
+        self.terms, self.size = pa.concat_arrays(terms), np.concatenate(sizes)
+        self.place, self.value = np.concatenate(places), np.concatenate(values)
+        self.first = np.cumsum(self.size) - self.size
+
+    def _scored(self, query: np.ndarray, term: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The k best chunks of each query, some queries at a time."""
+        starts = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+        size = np.where(term >= 0, self.size[term], 0) if len(self.size) else np.zeros(len(term), np.int64)
+        if not size.any():
             return
-        # By rounded score, then document and chunk.
-        place = self.by_place[self.met[self.by_place]]
-        best = place[np.argsort(-np.round(self.score[place], TEXT_PLACES), kind="stable")[: self.k]]
-        self.found.append((np.full(len(best), self.query), self.doc_ids[best], self.chunk_nos[best], self.score[best]))
-        self.query = None
-
-    def full(self) -> bool:
-        return len(self.found) > 10_000
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.found:
-            columns = [np.concatenate(c) for c in zip(*self.found, strict=True)]
-            self.found = []
-            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "doc_id", "chunk_no", "score"])
+        # A query costs the scores of all chunks and what its postings add.
+        cost = np.add.reduceat(size, starts) + len(self.norm)
+        tile = (np.cumsum(cost) - cost) // TILE_SCORES
+        edges = np.append(starts[np.flatnonzero(np.diff(tile, prepend=-1))], len(query))
+        for start, end in pairwise(edges.tolist()):
+            yield self._tile(query[start:end], term[start:end], size[start:end])
+
+    def _tile(self, query: np.ndarray, term: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        ids, line = np.unique(query, return_inverse=True)
+        n = len(self.norm)
+        at = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        cell = np.repeat(line * n, size) + self.place[at]
+        score = np.bincount(cell, self.value[at], minlength=len(ids) * n).reshape(len(ids), n)
+        # All weights are positive. By rounded score, then document and chunk.
+        key = np.where(score > 0, np.round(score, TEXT_PLACES), -np.inf)[:, self.by_place]
+        best = self.by_place[_highest(key, self.k)]
+        line = np.repeat(np.arange(len(ids)), best.shape[1])
+        best = best.ravel()
+        met = score[line, best] > 0
+        line, best = line[met], best[met]
+        columns = [ids[line], self.doc_ids[best], self.chunk_nos[best], score[line, best]]
+        return pa.record_batch([pa.array(c) for c in columns], names=["query_id", "doc_id", "chunk_no", "score"])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        self._end_query()
-        self.added = {}
-        yield from self.flush()
+        if len(self.query):
+            yield from self._scored(self.query, self.term)
+        self._clear()
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:

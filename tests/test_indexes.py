@@ -68,6 +68,24 @@ def test_search_reads_the_parts_of_its_terms_only(spark, library, built):
     assert len(asked.parts) == 1 and 0 < files(asked.parts) < files(list(range(4)))
 
 
+def test_scores_read_only_the_postings_asked_for(spark, library, built):
+    asked = text_index.Search(spark, built, library[1])
+    bounds = asked.bounds()
+    assert re.search(r"part#\d+ IN ", plan(asked.stored(asked.parts)))
+    # The postings in the index are read once, for the bounds.
+    assert not re.search(r"part#\d+ IN ", plan(asked.scores(bounds, 4)))
+
+
+def test_words_of_an_index_are_those_of_chunks(spark, tmp_path):
+    texts = ["a\x0bB  c\x0cA\r\n\tb ", "x\x1cy\x85z\xa0w X", "\u0130stanbul \u03a3\u03a3 \u00c9T\u00c9 a", "   ", None, "", "b " * 40 + "C", "\u3000", "b " * 9]
+    docs = spark.createDataFrame([*enumerate(texts), (1, "again a"), (6, None)], "doc_id long, text string")
+    asked = [(i, t) for i, t in enumerate(texts)] + [(50, "c a b z"), (50, "again")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    path = str(tmp_path / "index")
+    text_index.add_documents(docs, path, size=7, overlap=3, parts=3, block_chunks=4)
+    assert shown(text_index.search(spark, path, queries, k=3)) == shown(R.text_search(R.chunk_table(docs, 7, 3), queries, k=3))
+
+
 def test_postings_hold_the_counts(spark, library, built):
     docs, queries = library
     asked = text_index.Search(spark, built, queries)
