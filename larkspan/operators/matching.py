@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
@@ -150,54 +151,78 @@ def match_counts(
     a cell in neither, one or both directions, so any pair within the tolerance shares a cell of some grid.
     Within a cell the closest remaining pair is always served first; a pair across the edge of a cell comes
     after those inside. So no free pair is left over, and the passes are four whatever the files. A cell holds
-    distinct keys only, of its seconds and its range of sizes, however many files have them.
+    distinct keys only, of its seconds and its range of sizes, however many files have them. A grid hands on the
+    keys that it leaves, so a later one reads no more than these.
     """
-    s = settle(sources.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
-    t = settle(targets.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files")))
-    exact = s.join(t.withColumnRenamed("files", "t_files"), ["size", "sec"]).select(
-        "size", "sec", F.col("size").alias("t_size"), F.col("sec").alias("t_sec"),
-        F.least("files", "t_files").alias("qty"), F.lit(0).cast("long").alias("s_from"),
-        F.lit(0).cast("long").alias("t_from"), F.lit("exact").alias("kind"),
+    s = sources.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files"))
+    t = targets.groupBy("size", "sec").agg(F.count(F.lit(1)).alias("files"))
+    keys = settle(s.withColumnRenamed("files", "s_files").join(t.withColumnRenamed("files", "t_files"), ["size", "sec"], "full"))
+    none = F.lit(0).cast("long")
+    qty = F.least(F.coalesce("s_files", none), F.coalesce("t_files", none))
+    exact = keys.where(qty > 0).select(
+        "size", "sec", F.col("size").alias("t_size"), F.col("sec").alias("t_sec"), qty.alias("qty"),
+        none.alias("s_from"), none.alias("t_from"), F.lit("exact").alias("kind"),
     )
-    done = [settle(exact)]
+    done = [exact]
     length = max(8 * seconds, 1)
     width = math.log1p(max(8 * percent, 1.0) / 100)
     if percent >= 100 or -math.log1p(-percent / 100) > width / 2:
         raise ValueError(f"pairs {percent} percent apart would not share a cell of some grid; some 60 percent are the most")
 
-    def remaining(files: DataFrame, size: str, sec: str, grid: tuple[int, int]) -> DataFrame:
-        flows = reduce(DataFrame.unionByName, done)
-        used = flows.groupBy(F.col(size).alias("size"), F.col(sec).alias("sec")).agg(F.sum("qty").alias("used"))
-        left = files.join(used, ["size", "sec"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+    def free(is_target: int, files: str) -> DataFrame:
+        """Keys with files beyond the exact pairs; one without size or time has no partner."""
+        rows = keys.where((F.col(files) > qty) & F.col("size").isNotNull() & F.col("sec").isNotNull())
+        return rows.select(
+            F.lit(is_target).cast("long").alias("is_target"), "size", "sec", qty.alias("used"), (F.col(files) - qty).alias("left")
+        )
+
+    def in_cells(rows: DataFrame, grid: tuple[int, int]) -> DataFrame:
         log = F.log(F.greatest("size", F.lit(1)).cast("double")) / width
-        return left.where("files > used").select(
-            "size", "sec", "used", (F.col("files") - F.col("used")).alias("left"),
+        return rows.select(
             F.floor((F.col("sec") + grid[0] * (length // 2)) / F.lit(length)).cast("long").alias("when"),
             F.floor(log + grid[1] / 2).cast("long").alias("shelf"),
+            "is_target", "size", "sec", "used", "left",
         )
 
-    schema = "size long, sec long, t_size long, t_sec long, qty long, s_from long, t_from long"
+    # Pairs, and the keys of the sources (0) and targets (1) that are left for the next grid.
+    schema = "size long, sec long, t_size long, t_sec long, qty long, s_from long, t_from long, left_of long"
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    def pairs_and_rest(sides: tuple[list, list]) -> Iterator[tuple]:
+        flows = cell_flows(*sides, percent, seconds)
+        taken: tuple[Counter, Counter] = (Counter(), Counter())
+        for size, sec, t_size, t_sec, qty, s_from, t_from in flows:
+            yield size, sec, t_size, t_sec, qty, s_from, t_from, -1
+            taken[0][size, sec] += qty
+            taken[1][t_size, t_sec] += qty
+        for is_target, side in enumerate(sides):
+            for size, sec, used, left in side:
+                gone = taken[is_target][size, sec]
+                if gone < left:
+                    yield size, sec, 0, 0, left - gone, used + gone, 0, is_target
+
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by cell; only the keys of the present cell are held."""
         now, sides = None, ([], [])
         for batch in batches:
-            flows = []
+            found = []
             for *cell, is_target, size, sec, used, left in batch[columns].itertuples(index=False):
                 if cell != now:
-                    flows += cell_flows(*sides, percent, seconds)
+                    found += pairs_and_rest(sides)
                     now, sides = cell, ([], [])
                 sides[is_target].append((size, sec, used, left))
-            yield pd.DataFrame(flows, columns=names, dtype="int64")
-        yield pd.DataFrame(cell_flows(*sides, percent, seconds), columns=names, dtype="int64")
+            yield pd.DataFrame(found, columns=names, dtype="int64")
+        yield pd.DataFrame(list(pairs_and_rest(sides)), columns=names, dtype="int64")
 
     columns = ["when", "shelf", "is_target", "size", "sec", "used", "left"]
+    rest = free(0, "s_files").unionByName(free(1, "t_files"))
     for grid in GRIDS:
-        free_s = remaining(s, "size", "sec", grid).withColumn("is_target", F.lit(0))
-        free_t = remaining(t, "t_size", "t_sec", grid).withColumn("is_target", F.lit(1))
-        both = free_s.unionByName(free_t).repartition("when", "shelf").sortWithinPartitions("when", "shelf")
-        done.append(settle(both.mapInPandas(meet, schema).withColumn("kind", F.lit("near"))))
+        dealt = in_cells(rest, grid).repartition("when", "shelf").sortWithinPartitions("when", "shelf")
+        met = settle(dealt.mapInPandas(meet, schema))
+        done.append(met.where("left_of < 0").drop("left_of").withColumn("kind", F.lit("near")))
+        rest = met.where("left_of >= 0").select(
+            F.col("left_of").alias("is_target"), "size", "sec", F.col("s_from").alias("used"), F.col("qty").alias("left")
+        )
     return reduce(DataFrame.unionByName, done)
 
 

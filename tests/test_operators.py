@@ -329,6 +329,17 @@ def test_tolerance_bounds(spark):
     assert rows(M.match_files(s, t)) == [("s1", "t1", "near"), ("s4", "t4", "exact"), ("s5", "t5", "exact")]
 
 
+def test_later_grids_read_only_what_is_left(spark, monkeypatch):
+    plans, settle = [], M.settle
+    monkeypatch.setattr(M, "settle", lambda f: plans.append(f._jdf.queryExecution().optimizedPlan().toString()) or settle(f))
+    s = spark.createDataFrame([(1000, 5), (1000, 5), (1000, 99), (3000, 7), (None, 5), (7, None)], "size long, sec long")
+    t = spark.createDataFrame([(1000, 5), (1003, 8), (1004, 106), (5000, 7), (None, 5), (7, None)], "size long, sec long")
+    found = rows(M.match_counts(s, t).select("size", "sec", "t_size", "t_sec", "qty", "s_from", "t_from", "kind"))
+    assert found == [(1000, 5, 1000, 5, 1, 0, 0, "exact"), (1000, 5, 1003, 8, 1, 1, 0, "near"), (1000, 99, 1004, 106, 1, 0, 0, "near")]
+    # The last three grids read the table of the one before and nothing else.
+    assert [p.count("Relation ") for p in plans[-3:]] == [1, 1, 1]
+
+
 def test_snapshots(spark):
     schema = "path string, size long, mtime double"
     remote = spark.createDataFrame([("a", 1, 10.9), ("b", 1, 10.0), ("c", 1, 10.0), ("d", 1, 10.0)], schema)
