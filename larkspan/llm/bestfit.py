@@ -123,7 +123,7 @@ class Slots:
 
 @cache
 def _memo(path: str) -> words.Memo:
-    return words.Memo(words.chunk_encoder(path))
+    return words.Memo(words.chunk_encoder(path, flat=True))
 
 
 def pieces(

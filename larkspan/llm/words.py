@@ -6,6 +6,7 @@ the worker has not met lately reach the tokenizer.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import json
 import os
@@ -97,11 +98,12 @@ def _cutting(form: dict) -> tuple[str, bool] | None:
     return None
 
 
-def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> Callable[[list[str]], list[list[int]]]:
+def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES, flat: bool = False) -> Callable[[list[str]], Encoded]:
     """Ids of each chunk, without special tokens added; strings of special tokens get their ids only if ``special``.
 
     Where the file says that a text is cut by a pattern into byte-level pieces, chunks of plain letters are cut so
-    here and only new pieces reach the model; everything else goes through the tokenizer.
+    here and only new pieces reach the model; everything else goes through the tokenizer. With ``flat`` they are
+    cut all at once where the pattern allows it, and the ids come laid end to end.
     """
     tokenizer = load_tokenizer(path)
     tokenizer.encode_special_tokens = not special
@@ -121,17 +123,51 @@ def chunk_encoder(path: str, special: bool = True, memo: int = MEMO_PIECES) -> C
     added = [re.escape(t["content"]) for t in form["added_tokens"]] if special else []
     # Without any, nothing matches.
     find_added = re.compile("|".join(added) or "(?!)").search
-    letters, tokens_of, known, plain = byte_letters(), tokenizer.model.tokenize, {}, _PLAIN
-    ascii_letters = {b: letter for b, letter in letters.items() if b < 128 and letter != chr(b)}
+    letters = "".join(letter for _, letter in sorted(byte_letters().items()))
+    tokens_of, known, plain = tokenizer.model.tokenize, {}, _PLAIN
+
+    def spell(piece: str) -> str:
+        return codecs.charmap_decode(piece.encode(), "strict", letters)[0]
 
     def piece_ids(piece: str) -> list[int]:
         if len(known) >= memo:
             known.clear()
-        spelled = piece.translate(ascii_letters) if piece.isascii() else "".join(map(letters.__getitem__, piece.encode()))
-        ids = known[piece] = [t.id for t in tokens_of(spelled)]
+        ids = known[piece] = [t.id for t in tokens_of(spell(piece))]
         return ids
 
-    def encode(chunks: list[str]) -> list[list[int]]:
+    # Where no match holds or looks at white space, a line end between chunks parts them, and all are cut at once.
+    find_lines = plain_find(rf"{pattern}|\n", lowered) if flat and lowered and not find(" \t\n\r") and "(?" not in pattern else None
+
+    def encode_lines(joined: str) -> Encoded:
+        pieces = find_lines(f"{joined}\n".lower())
+        fresh = set(pieces) - known.keys()
+        if len(known) + len(fresh) > memo:
+            known.clear()
+            fresh = set(pieces)
+        for piece in fresh:
+            known[piece] = [t.id for t in tokens_of(spell(piece))] if piece != "\n" else []
+        found = list(map(known.__getitem__, pieces))
+        total = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(total[-1]))
+        last = np.fromiter((i for i, piece in enumerate(pieces) if piece == "\n"), np.int64)
+        return ids, np.diff(total[last], prepend=0)
+
+    def encode(chunks: list[str]) -> Encoded:
+        if find_lines is not None and chunks:
+            joined = "\n".join(chunks)
+            if plain(joined) is not None and find_added(joined) is None and joined.count("\n") == len(chunks) - 1:
+                return encode_lines(joined)
+            odd = np.array([plain(c) is None or "\n" in c or find_added(c) is not None for c in chunks])
+            if not odd.all():
+                ids, sizes = encode_lines("\n".join(itertools.compress(chunks, ~odd)))
+                rest = whole(list(itertools.compress(chunks, odd)))
+                # The plain chunks first, then back in order.
+                order = np.argsort(odd, kind="stable")
+                starts, size = np.empty_like(order), np.empty_like(order)
+                size[order] = [*sizes, *map(len, rest)]
+                starts[order] = np.cumsum(size[order]) - size[order]
+                ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), np.uint32)])
+                return gathered(ids, starts, size), size
         out, odd = [], []
         for i, chunk in enumerate(chunks):
             if plain(chunk) is None or find_added(chunk) is not None:
@@ -179,7 +215,8 @@ def split(texts: pa.Array, parts: pa.ListArray | None = None) -> Chunks:
         parts = pc.split_pattern(texts, " ")
     ends = parts.offsets.to_numpy().astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    return Chunks(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0])
+    # By way of numpy, as Arrow makes a scalar of each value for a list.
+    return Chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0])
 
 
 def chunks_of(texts: pa.Array) -> Chunks:

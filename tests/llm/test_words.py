@@ -40,6 +40,30 @@ def test_chunk_encoder_equals_the_tokenizer(name, special):
     assert [list(f) for f in found] == [e.ids for e in plain.encode_batch(chunks, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("special", [True, False])
+@pytest.mark.parametrize("parts", [PARTS, ["The", "end.", "'s", "'LL", "42", "é", "Ä", "ß", "÷", "\t"], ["中", "\n"]])
+def test_flat_encoder_equals_the_tokenizer(special, parts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = not special
+    rng = random.Random(12)
+    encode = words.chunk_encoder(path, special, memo=50, flat=True)
+    for n in (0, 1, 2, 700, 700):
+        chunks = ["".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(n)]
+        found = encode(chunks)
+        if isinstance(found, tuple):
+            ids, sizes = found
+            found = [ids[end - size : end].tolist() for end, size in zip(np.cumsum(sizes), sizes, strict=True)]
+        assert found == [e.ids for e in plain.encode_batch(chunks, add_special_tokens=False)]
+
+
+def test_flat_encoder_cuts_plain_chunks_at_once():
+    found = words.chunk_encoder(public_tokenizers.path("word_bpe_49k.json"), flat=True)(["The end", "", "don't"])
+    assert isinstance(found, tuple) and len(found[1]) == 3
+
+
 def test_memo_renews_itself():
     memo = words.Memo(lambda chunks: [[len(c)] * len(c) for c in chunks], limit=3)
     for texts in (["a bb", "ccc"], ["dddd eeeee a"], ["a bb ccc dddd eeeee"]):
