@@ -5,7 +5,7 @@ steps from one to the next, their counts, and the most that the term can add to
 highest count and the least length of a chunk with it. Postings lie in parts by the hash of the term, so a search
 reads the parts of its terms only, and a frequent term is cut by blocks.
 
-A search first adds up the bounds, which needs no posting's content. The blocks with the best bounds of each query
+A search reads the postings of its terms once, writes these few and adds up the bounds. The blocks with the best bounds of each query
 are scored; then only blocks whose bound reaches the query's k-th score so far. Scores are those of
 ``retrieval.text_search`` over all segments together.
 """
